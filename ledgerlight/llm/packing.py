@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import written
 
-LENGTH, BIN, END_ID = 2048, 8, 1
+LENGTH, BIN, END_ID = 2048, 16, 1
 _encoders: dict = {}
 
 
@@ -90,16 +90,30 @@ def price(values: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
     return pattern
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows) and how often each is used, fractionally, in an optimal (or near optimal) cover of the demand."""
+def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 3000, gap: float = 1e-3, smoothing: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (rows) and how often each is used, fractionally, in a cover of the demand within ``gap`` of the optimum.
+    Duals are smoothed towards those of the best lower bound, which ends the method's long tail."""
     m = len(sizes)
     basis = np.diag(np.maximum(room // sizes, 1)).astype(float)  # columns are patterns: each bin by itself to begin with
     inverse = np.diag(1 / np.diag(basis))
-    x = inverse @ demand
+    x, bound, centre = inverse @ demand, 0.0, None
+
+    def priced(dual: np.ndarray) -> np.ndarray:
+        """The best pattern; the program's value at these duals over its worth is a lower bound."""
+        nonlocal bound, centre
+        dual = np.maximum(dual, 0)
+        pattern = price(dual, sizes, room)
+        worth = max(float(dual @ pattern), 1.0)
+        if dual @ demand / worth > bound:
+            bound, centre = dual @ demand / worth, dual / worth
+        return pattern
+
     for k in range(rounds):
         dual = inverse.sum(axis=0)  # every pattern costs one sequence
-        pattern = price(np.maximum(dual, 0), sizes, room)
-        if dual @ pattern <= 1 + 1e-7:
+        pattern = priced(dual if centre is None else smoothing * centre + (1 - smoothing) * dual)
+        if dual @ pattern <= 1 + 1e-9:
+            pattern = priced(dual)
+        if x.sum() - bound <= gap * x.sum() or dual @ pattern <= 1 + 1e-9:
             break
         step = inverse @ pattern
         up = step > 1e-9

@@ -59,7 +59,7 @@ class Level:
             return F.lit(False)
         words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded into a constant
         at = lambda i: _position(key, depth, i, self.bits)
-        hit = lambda p: F.shiftright(F.get(words, F.shiftright(p, 5).cast("int")), (p % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
+        hit = lambda p: F.call_function("shiftright", F.get(words, F.shiftright(p, 5).cast("int")), (p % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
         return reduce(lambda a, b: a & b, [hit(at(i)) for i in range(HASHES)])
 
 
@@ -84,7 +84,7 @@ def _level(keys: DataFrame, depth: int, count: int, bits_per_key: int) -> Level:
     if bits > MAX_BITS:
         raise ValueError(f"a filter of {count} keys takes {bits} bits, over the bound of {MAX_BITS}; split the list")
     places = keys.select(F.explode(F.array(*[_position(F.col("key"), depth, i, bits) for i in range(HASHES)])).alias("p"))
-    words = places.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 32).cast("int"))).alias("b"))
+    words = places.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int"))).alias("b"))
     out = [0] * ((bits + 31) // 32)
     for w, b in words.collect():  # at most MAX_BITS / 32 rows
         out[w] = b
