@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import langid, media, packing, sharding, toxicity, url_filter
+from ledgerlight.llm import langid, media, minhash, packing, sharding, substring, toxicity, url_filter
 from ledgerlight.llm.common import crc_mod5_is_0, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -32,6 +32,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicate_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents"))
 
@@ -43,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_url_filter, op4_media_columns, op5_packing, op8_sharding, op10_toxicity)
+    f.__name__: f for f in (op1_language_id, op2_url_filter, op4_media_columns, op5_packing, op6_substring_dedup, op7_minhash, op8_sharding, op10_toxicity)
 }
 
 _RULES_SQL = ", ".join(f"('{r[: r.index('/')]}', '{r[r.index('/') :]}', '{a}')" for a, r in URL_RULES)
