@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import langid, media, minhash, packing, sharding, substring, toxicity, url_filter
+from ledgerlight.llm import decontaminate, langid, line_dedup, media, minhash, packing, sharding, substring, toxicity, url_filter
 from ledgerlight.llm.common import crc_mod5_is_0, table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -24,6 +24,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_frame(spark, URL_RULES))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's text after its site's boilerplate lines are gone, its lines and how many went."""
+    pages = table(spark, sf_dir, "pages").select("page_id", url_filter.url_host(F.col("url")).alias("host"), F.col("html").alias("text"))
+    found = line_dedup.boilerplate(pages, host=F.col("host"), text_col="text", lines=line_dedup.page_lines)
+    return line_dedup.drop_lines(pages, found, host=F.col("host"), text_col="text", lines=line_dedup.page_lines, counted=True)
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
@@ -45,6 +52,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit_on(docs.where(~crc_mod5_is_0(F.col("doc_id"))), table(spark, sf_dir, "labels"))
@@ -52,7 +63,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_url_filter, op4_media_columns, op5_packing, op6_substring_dedup, op7_minhash, op8_sharding, op10_toxicity)
+    f.__name__: f
+    for f in (op1_language_id, op2_url_filter, op3_line_dedup, op4_media_columns, op5_packing, op6_substring_dedup, op7_minhash, op8_sharding, op9_decontamination, op10_toxicity)
 }
 
 _RULES_SQL = ", ".join(f"('{r[: r.index('/')]}', '{r[r.index('/') :]}', '{a}')" for a, r in URL_RULES)
