@@ -7,9 +7,10 @@ minima, at O(n + t log t) work. Bands of consecutive bins make bucket keys.
 
 Links: documents of equal sets are one class, and only the class's smallest id goes on. In a bucket, every member is
 compared with one centre, on full sets; members that share a component with their bucket's others need no more
-comparison. Where some don't, further centres are taken, and what is left after ``ROUNDS`` centres is compared in tiles
+comparison. Where some don't, a further centre is taken, and what is left after ``ROUNDS`` centres is compared in tiles
 of two blocks, of bounded size, that tell only links between components. No pair of a bucket is left out that could
-join two components, no bucket is held by one task, and no group's pairs are ever listed.
+join two components, no bucket is held by one task, and no group's pairs are ever listed. What the centres leave open
+is small but for groups in which many members are just below the threshold; their tiles grow as (members / BLOCK)^2.
 
 Components: smallest ids travel along the links by alternating hooks and jumps, in tables; nothing is collected.
 
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import U64, gram_hashes, mix, slices, stream, word_hashes, written
 
-BINS, MISS, ROUNDS = 128, 2e-6, 3
-MEMBERS, BLOCK = 64, 32  # members compared with a centre in one group; documents of a tile's block
+BINS, MISS, ROUNDS = 128, 2e-6, 2
+MEMBERS, BLOCK = 64, 512  # members compared with a centre in one group; documents of a tile's block
 ALL_ROUNDS = 64
 
 
@@ -146,28 +147,71 @@ def _star_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     return members.groupBy("c", "s").cogroup(centres.groupBy("kc", "ks")).applyInPandas(compare, f"a {kind}, c {kind}")
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The size of every two sets' intersection, from the elements that more than one set holds: frequent ones as a
+    matrix product, the others as pairs of their few holders."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    values = np.concatenate([*sets, np.empty(0, U64)])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+    df = np.diff(np.append(first, len(values)))
+    out = np.zeros((m, m), np.float32)
+    common = np.flatnonzero(df >= 32)
+    for lo in range(0, len(common), 4096):
+        some = common[lo : lo + 4096]
+        x = np.zeros((m, len(some)), np.float32)
+        column = np.repeat(np.arange(len(some)), df[some])
+        at = np.concatenate([np.arange(f, f + d) for f, d in zip(first[some], df[some], strict=True)])
+        x[owner[at], column] = 1
+        out += x @ x.T
+    for d in range(2, 32):
+        starts = first[df == d]
+        if len(starts):
+            holders = owner[starts[:, None] + np.arange(d)]
+            for i in range(d):
+                for j in range(i):
+                    pair = np.bincount(holders[:, i] * m + holders[:, j], minlength=m * m).reshape(m, m)
+                    out += pair + pair.T
+    return out
+
+
 def _tile_links(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, c) links between components within the buckets of ``rest`` (key, doc, comp), by tiles of two blocks each.
-    A document's block is its hash modulo the bucket's number of blocks, so a tile holds about 2 * BLOCK documents."""
-    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"))
-    rows = rest.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("doc", F.lit(5)), F.col("g").cast("long")).cast("int"))
-    rows = rows.join(texts, rows["doc"] == texts["_id"]).drop("_id")
-    tiles = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", F.least("i", "j").alias("t1"), F.greatest("i", "j").alias("t2"), "i", "doc", "comp", "_text")
+    """(a, c) links between components within the buckets of ``rest`` (key, doc, comp). Every document is put into one
+    block of about BLOCK documents of its largest bucket; a tile is two blocks that meet in some bucket. So a document's
+    text goes to each block it may have links in, and not to each document; a pair that meets in many buckets is compared once."""
+    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    home = rest.join(sizes, "key").groupBy("doc", "comp").agg(F.max(F.struct("n", "key")).alias("h"))
+    part = F.pmod(F.xxhash64("doc", F.lit(5)), F.ceil(F.col("h.n") / BLOCK))
+    home = written(home.select("doc", "comp", F.xxhash64("h.key", part).alias("block")), "blocks")
+    meets = rest.join(home.select("doc", "block"), "doc").groupBy("key").agg(F.array_sort(F.collect_set("block")).alias("b"))
+    pairs = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 1, F.size("b")), lambda y: F.struct(x.alias("t1"), y.alias("t2")))))
+    tiles = meets.select(F.inline(pairs)).distinct()
+    tiles = tiles.select("t1", "t2", F.explode(F.array_distinct(F.array("t1", "t2"))).alias("block"))
+    rows = home.join(texts, home["doc"] == texts["_id"]).select("block", "doc", "comp", "_text").join(tiles, "block").select("t1", "t2", "doc", "comp", "_text")
     kind = rest.schema["doc"].dataType.simpleString()
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.drop_duplicates(["doc", "_text"]).reset_index(drop=True)
-        sets, comp, block = _sets(tile["_text"].tolist(), k), tile["comp"].to_numpy(), tile["i"].to_numpy()
-        apart = tile["t1"].iloc[0] != tile["t2"].iloc[0]
-        found = []
-        for x in range(len(tile)):
-            for y in range(x):
-                if comp[x] != comp[y] and (not apart or block[x] != block[y]) and similar(sets[x], sets[y], percent):
-                    found.append((tile["doc"][x], tile["doc"][y]))
-                    comp = np.where(comp == comp[x], comp[y], comp)
+        tile = tile.drop_duplicates(["doc", "_text"]).sort_values("doc", ignore_index=True)
+        sets, docs, comps = _sets(tile["_text"].tolist(), k), tile["doc"].tolist(), tile["comp"].tolist()
+        n, both = np.array([len(s) for s in sets], float), overlaps(sets)
+        linked = np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1) & (both > 0)
+        root, found = {c: c for c in comps}, []
+
+        def top(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        for x, y in zip(*np.nonzero(linked), strict=True):
+            a, c = top(comps[x]), top(comps[y])
+            if a != c:
+                root[a] = c
+                found.append((docs[x], docs[y]))
         return pd.DataFrame(found, columns=["a", "c"])
 
-    return tiles.groupBy("key", "t1", "t2").applyInPandas(compare, f"a {kind}, c {kind}")
+    return rows.groupBy("t1", "t2").applyInPandas(compare, f"a {kind}, c {kind}")
 
 
 # ---------------------------------------------------------------- components
