@@ -7,6 +7,7 @@ rows so that the working set of a Python worker is bounded by ``SLICE`` bytes or
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -77,6 +78,30 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def bounded(run):
+    """A function over a partition's batches that trims the worker's memory when it ends."""
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed
+
+
 # ---------------------------------------------------------------- hashing
 
 

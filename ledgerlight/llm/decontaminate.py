@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import LOWER, U64, gram_hashes, slices, word_hashes
+from ledgerlight.llm.common import LOWER, U64, bounded, gram_hashes, slices, word_hashes
 
 GRAM, SHARE, THRESHOLD, BLOCK = 3, 0.5, 0.5, 20_000
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -145,7 +145,7 @@ def gram_counts(docs: DataFrame, items: Items, gram: int) -> dict[int, int]:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(known.grams[at].view(np.int64)), pa.array(n[at])], ["gram", "n"])
 
-    rows = docs.select("_text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("_text").mapInArrow(bounded(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     return {r["gram"]: r["n"] for r in rows}
 
 
@@ -200,7 +200,7 @@ def find_leaks(
         from pyspark.sql.pandas.types import to_arrow_type
 
         item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-        part = docs.mapInArrow(run, f"_id {kinds[0]}, _item {kinds[1]}, score double, start long, words long")
+        part = docs.mapInArrow(bounded(run), f"_id {kinds[0]}, _item {kinds[1]}, score double, start long, words long")
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("_id", id_col).withColumnRenamed("_item", item_col)
 
@@ -217,4 +217,4 @@ def drop_leaked(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
                 keep.append(not any(len(h[0]) and _matches(b, words, *h, threshold) for b in sent.value for h in [b.hits(grams)]))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(bounded(run), df.schema)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlight.llm.common import bounded
+
 DIMS = 1 << 14
 PER_LANGUAGE = 400
 CENTROIDS = 4
@@ -129,7 +131,7 @@ def fit_on(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep, pa.int64())), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["lang", "places", "counts"])
 
     sample = training_rows(df, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language)
-    got = sample.mapInArrow(vectors, "lang string, places binary, counts binary").collect()  # bounded by per_language
+    got = sample.mapInArrow(bounded(vectors), "lang string, places binary, counts binary").collect()  # bounded by per_language
     got.sort(key=lambda r: (r["lang"], bytes(r["places"]), bytes(r["counts"])))
     rows = np.zeros((len(got), DIMS), np.float32)
     for i, r in enumerate(got):
@@ -147,5 +149,5 @@ def identify(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", tex
             lang, score, cosine, rejected = sent.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(cosine), pa.array(rejected)], ["_id", "lang_pred", "score", "cosine", "rejected"])
 
-    out = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, lang_pred string, score double, cosine double, rejected boolean")
+    out = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(bounded(run), f"_id {kind}, lang_pred string, score double, cosine double, rejected boolean")
     return out.withColumnRenamed("_id", id_col)

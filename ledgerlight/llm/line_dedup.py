@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import written
+from ledgerlight.llm.common import bounded, written
 
 RATIO, MIN_PAGES, SENT = 0.1, 5, 200_000
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
@@ -64,7 +64,7 @@ def boilerplate(df: DataFrame, *, host: Column, text_col: str, lines: Callable[[
             keys = list(held)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([held[k] for k in keys], pa.int64())], ["_host", "line", "pages"])
 
-    counts = pages.mapInArrow(count, "_host string, line long, pages long").groupBy("_host", "line").agg(F.sum("pages").alias("pages"))
+    counts = pages.mapInArrow(bounded(count), "_host string, line long, pages long").groupBy("_host", "line").agg(F.sum("pages").alias("pages"))
     counts = written(counts.where((F.col("line") == 0) | (F.col("pages") >= min_pages)), "lines")
     totals = counts.where("line = 0").select("_host", F.col("pages").alias("total"))
     return written(counts.where("line <> 0").join(totals, "_host").where(F.col("pages") > ratio * F.col("total")), "boilerplate")
@@ -106,7 +106,7 @@ def drop_lines(
             for batch in batches:
                 yield rewrite(batch, [shared.value.get(h) for h in batch.column(len(names)).to_pylist()])
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(bounded(run), schema)
     lists = found.groupBy("_host").agg(F.collect_set("line").alias("_drop")).select(F.xxhash64("_host").alias("_h"), F.col("_host").alias("_line_host"), "_drop")
     joined = rows.withColumn("_h", F.xxhash64("_line_host")).join(lists, ["_h", "_line_host"], "left").select(*names, "_drop")
 
@@ -114,4 +114,4 @@ def drop_lines(
         for batch in batches:
             yield rewrite(batch, [set(x or ()) for x in batch.column(len(names)).to_pylist()])
 
-    return joined.mapInArrow(run_joined, schema)
+    return joined.mapInArrow(bounded(run_joined), schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import as_bytes
+from ledgerlight.llm.common import as_bytes, bounded
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID, PROGRAM, STREAM_TYPE = 0x0000, 0x1000, 0x0100, 1, 0x06
@@ -227,7 +227,7 @@ def media_digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["_id", *[x.split()[0] for x in SCHEMA.split(", ")]])
 
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind.simpleString()}, {SCHEMA}").withColumnRenamed("_id", id_col)
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(bounded(run), f"_id {kind.simpleString()}, {SCHEMA}").withColumnRenamed("_id", id_col)
 
 
 def media_columns(df: DataFrame, *, id_col: str = "doc_id", data_col: str = "text", gop: int = 8) -> DataFrame:
@@ -247,4 +247,4 @@ def media_columns(df: DataFrame, *, id_col: str = "doc_id", data_col: str = "tex
             kinds = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("random_access", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(media, pa.binary()), pa.array(payload, pa.binary()), pa.array(stamps, kinds)], ["_id", "media", "payload", "timestamps"])
 
-    return df.select(F.col(id_col).alias("_id"), F.col(data_col).cast("binary").alias("_data")).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return df.select(F.col(id_col).alias("_id"), F.col(data_col).cast("binary").alias("_data")).mapInArrow(bounded(run), schema).withColumnRenamed("_id", id_col)

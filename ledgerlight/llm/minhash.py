@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import U64, gram_hashes, mix, slices, stream, word_hashes, written
+from ledgerlight.llm.common import U64, bounded, gram_hashes, mix, slices, stream, word_hashes, written
 
 BINS, MISS, ROUNDS = 128, 2e-6, 2
 MEMBERS, BLOCK = 64, 512  # members compared with a centre in one group; documents of a tile's block
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, *, k: int, r: int, b: int) -> DataFrame:
                     [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["_id", "n", "d1", "d2", "bands"]
                 )
 
-    return docs.mapInArrow(run, f"_id {kind}, n long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(bounded(run), f"_id {kind}, n long, d1 long, d2 long, bands array<long>")
 
 
 # ---------------------------------------------------------------- verification

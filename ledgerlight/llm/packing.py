@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import written
+from ledgerlight.llm.common import bounded, written
 
 LENGTH, BIN, END_ID = 2048, 16, 1
 _encoders: dict = {}
@@ -192,7 +192,7 @@ def token_pieces(df: DataFrame, path: str, *, id_col: str, text_col: str, length
             cols = np.array(rows, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), *[pa.array(c) for c in cols[1:]]], names)
 
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(bounded(run), schema)
 
 
 def pack_documents(

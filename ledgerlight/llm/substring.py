@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import U64, gram_hashes, slices, word_hashes, written
+from ledgerlight.llm.common import U64, bounded, gram_hashes, slices, word_hashes, written
 
 WINDOW, SEED = 50, 12
 
@@ -69,7 +69,7 @@ def _scan(docs: DataFrame, window: int, seed: int) -> DataFrame:
                     [batch.column(0).slice(lo, hi - lo), pa.array([b - a for a, b in spans], pa.int64()), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["_id", "n", "t1", "t2", "seeds"]
                 )
 
-    return docs.mapInArrow(run, f"_id {kind}, n long, t1 long, t2 long, seeds array<long>")
+    return docs.mapInArrow(bounded(run), f"_id {kind}, n long, t1 long, t2 long, seeds array<long>")
 
 
 def _windows(rows: DataFrame, window: int, seed: int) -> DataFrame:
@@ -97,7 +97,7 @@ def _windows(rows: DataFrame, window: int, seed: int) -> DataFrame:
                     ids = batch.column(0).take(pa.array(np.concatenate(which)))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64))], ["_id", "w1", "w2"])
 
-    return rows.mapInArrow(run, f"_id {kind}, w1 long, w2 long")
+    return rows.mapInArrow(bounded(run), f"_id {kind}, w1 long, w2 long")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -159,4 +159,4 @@ def deduplicate_substrings(df: DataFrame, *, id_col: str = "doc_id", text_col: s
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, pa.list_(span))]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(kept, pa.string())] * keep_text], ["_id", "n_words", "n_removed", "kept_sha256", "removed", *["kept_text"] * keep_text])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(bounded(run), schema).withColumnRenamed("_id", id_col)

@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlight.llm.common import bounded, trim
+
 SPAN, DECAY, WIDTH, POWER = 5, 0.6, 24, 4
 PER_CLASS = 1000
 LANDMARKS, CONTRASTS = 64, 16
 FLOOR = 0.45  # similarities below it count as none
 ALTERED = 40
-MEMO = 500_000
+MEMO = 150_000  # words whose scores a task keeps
 _PUNCTUATION = bytes(c for c in string.punctuation.encode() if c not in b"/|")
 _BLANKS = bytes(32 if c in b"/|" else c for c in range(256))
 _SPACED = re.compile(rb"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
@@ -304,17 +306,10 @@ def training_rows(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: st
 def fit_on(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
     got = [(r["_toxic"], r["_text"]) for r in training_rows(df, labels, id_col=id_col, text_col=text_col, label_col=label_col, per_class=per_class).collect()]
     got.sort(key=lambda r: (r[0], r[1] or ""))
-    return fit([r[1] for r in got], [r[0] for r in got])
-
-
-_memos: dict[str, dict[bytes, float]] = {}
-
-
-def _memo(key: str) -> dict[bytes, float]:
-    if key not in _memos:
-        _memos.clear()  # one model at a time in a worker
-        _memos[key] = {}
-    return _memos[key]
+    model = fit([r[1] for r in got], [r[0] for r in got])
+    del got
+    trim()
+    return model
 
 
 def score_texts(df: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,11 +317,12 @@ def score_texts(df: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id",
     sent, kind = df.sparkSession.sparkContext.broadcast(model), df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, float] = {}
         for batch in batches:
-            score = sent.value.score(batch.column(1).to_pylist(), _memo(f"{id(sent)}"))
+            score = sent.value.score(batch.column(1).to_pylist(), memo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["_id", "score", "predicted"])
 
-    out = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, score double, predicted int")
+    out = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(bounded(run), f"_id {kind}, score double, predicted int")
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -335,8 +331,9 @@ def drop_toxic(df: DataFrame, model: ToxicityModel, *, text_col: str = "text", t
     sent, place = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, float] = {}
         for batch in batches:
-            score = sent.value.score(batch.column(place).to_pylist(), _memo(f"{id(sent)}"))
+            score = sent.value.score(batch.column(place).to_pylist(), memo)
             yield batch.filter(pa.array(score < threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(bounded(run), df.schema)
