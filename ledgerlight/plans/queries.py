@@ -212,7 +212,7 @@ def strict_dates(spark, sf_dir):
 @query
 def money_cents(spark, sf_dir):
     _, facts = bundle(spark, sf_dir)
-    return facts.where(F.col("field").isin(*K.MONEY_FIELDS)).select("case_id", "doc_ordinal", "field", S.money_cents(F.col("value")).cast("long").alias("cents"))
+    return facts.where(F.col("field").isin(*K.MONEY_FIELDS)).select("case_id", "doc_ordinal", "field", S.money_cents(F.col("value")).cast("long").alias("cents")).where("cents is not null")
 
 
 @query
@@ -257,7 +257,7 @@ def duplicate_ids(spark, sf_dir):
 
 @query
 def selected_statements(spark, sf_dir):
-    return reconciled(spark, sf_dir, "notice", "bill").select("case_id", F.col("notice.ord").alias("notice_ordinal"), F.col("bill.ord").alias("bill_ordinal"))
+    return reconciled(spark, sf_dir, "notice", "bill").select("case_id", F.col("notice.ord").cast("string").alias("notice_ordinal"), F.col("bill.ord").cast("string").alias("bill_ordinal"))
 
 
 @query
@@ -282,7 +282,7 @@ def missing_amounts(spark, sf_dir):
 
 @query
 def bill_arithmetic(spark, sf_dir):
-    return reconciled(spark, sf_dir, "bill", "obligation", "expected", "m_balance").where("bill is not null").select("case_id", F.col("obligation").cast("long").alias("obligation"), F.col("expected").cast("long").alias("expected"), F.col("m_balance").cast("long").alias("balance"))
+    return reconciled(spark, sf_dir, "bill", "obligation", "expected", "m_balance").where("bill is not null").select("case_id", *[F.col(a).cast("string").alias(b) for a, b in (("obligation", "obligation"), ("expected", "expected"), ("m_balance", "balance"))])
 
 
 @query
@@ -343,7 +343,8 @@ def earlier_payments(spark, sf_dir):
 def case_outcomes(spark, sf_dir):
     """One row for each case: the balances, and the last finding's code."""
     r = reconciled(spark, sf_dir, "collection_cents", "supported_balance_cents", "applied_payments_cents", "uncertain", "findings")
-    cents = {c: F.col(c).cast("long") for c in ("collection_cents", "supported_balance_cents", "applied_payments_cents")}
+    # unknown amounts are null: as text, so that nulls and numbers compare alike everywhere
+    cents = {c: F.col(c).cast("string") for c in ("collection_cents", "supported_balance_cents")} | {"applied_payments_cents": F.col("applied_payments_cents").cast("long")}
     return r.select("case_id", *[v.alias(k) for k, v in cents.items()], F.coalesce("uncertain", F.lit(False)).alias("uncertain"), F.size("findings").alias("n_findings"), F.element_at("findings", -1)["code"].alias("last_code"))
 
 
