@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.common import U64, bounded, gram_hashes, mix, slices, stream, word_hashes, written
 
 BINS, MISS, ROUNDS = 128, 2e-6, 2
-MEMBERS, BLOCK = 64, 512  # members compared with a centre in one group; documents of a tile's block
+MEMBERS, BLOCK = 64, 1024  # members compared with a centre in one group; documents of a tile's block
 ALL_ROUNDS = 64
 
 
@@ -169,11 +169,11 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     for d in range(2, 32):
         starts = first[df == d]
         if len(starts):
-            holders = owner[starts[:, None] + np.arange(d)]
-            for i in range(d):
-                for j in range(i):
-                    pair = np.bincount(holders[:, i] * m + holders[:, j], minlength=m * m).reshape(m, m)
-                    out += pair + pair.T
+            one, two = np.triu_indices(d, 1)
+            for lo in range(0, len(starts), 4096):
+                holders = owner[starts[lo : lo + 4096, None] + np.arange(d)]
+                pair = np.bincount((holders[:, one] * m + holders[:, two]).ravel(), minlength=m * m).reshape(m, m)
+                out += pair + pair.T
     return out
 
 
