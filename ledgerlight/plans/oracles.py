@@ -144,9 +144,14 @@ ORACLES |= {
     "page_split": f"WITH {bridge.CASE_DOCS} SELECT case_id, doc_ordinal, 1 AS page, length(text) AS chars FROM case_docs UNION ALL SELECT case_id, doc_ordinal, 2, length(title) FROM case_docs",
     "line_split": f"WITH {bridge.CASE_DOCS}, l AS (SELECT case_id, doc_ordinal, unnest(string_split(text, chr(10))) AS raw FROM case_docs) SELECT case_id, doc_ordinal, 1 AS page, raw FROM l WHERE raw <> ''",
     # every label of the text names its field but the two that no alias covers
-    "label_parse": f"{_FACTS} SELECT case_id, doc_ordinal, field, {_LABEL} || ': ' || value AS raw FROM facts WHERE field NOT IN ('provider', 'service_date_') AND lower({_LABEL}) NOT IN ('provider / original creditor', 'statement / collection balance')",
+    "label_parse": f"{_FACTS} SELECT case_id, doc_ordinal, field, {_LABEL} || ': ' || value AS raw FROM facts WHERE field NOT IN ('provider', 'balance')",
     "normalize_value": f"""{_FACTS} SELECT case_id, doc_ordinal, field, CASE WHEN field IN {_in(K.MONEY_FIELDS)} THEN cast(cast({cents('value')} / cast(100 AS decimal(5,0)) AS decimal(22,2)) AS varchar)
         WHEN field IN {_in(K.DATE_FIELDS)} THEN strftime(coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%m/%d/%Y')), '%Y-%m-%d') ELSE value END AS value FROM facts""",
+    "local_fields": f"""{_FACTS}, n AS (SELECT case_id, doc_ordinal, field, CASE WHEN field IN {_in(K.MONEY_FIELDS)} THEN cast(cast({cents('value')} / cast(100 AS decimal(5,0)) AS decimal(22,2)) AS varchar)
+        WHEN field IN {_in(K.DATE_FIELDS)} THEN strftime(coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%m/%d/%Y')), '%Y-%m-%d') ELSE value END AS value, 1 AS page
+      FROM facts WHERE field NOT IN ('provider', 'balance')) SELECT * FROM n WHERE value IS NOT NULL""",
+    "doc_ids": f"""WITH {bridge.CASE_DOCS}, h AS (SELECT case_id, doc_ordinal, 'doc-' || substring(sha256(kind || text), 1, 12) AS id FROM case_docs)
+      SELECT case_id, doc_ordinal, CASE WHEN row_number() OVER (PARTITION BY case_id, id ORDER BY doc_ordinal) = 1 THEN id ELSE id || '-' || cast(doc_ordinal + 1 AS varchar) END AS new_id FROM h""",
     "packet_attachments": f"WITH {bridge.CASE_DOCS} SELECT case_id, string_agg('<li>' || {escape('title')} || ' · ' || {_KIND} || ' · ' || doc_id || '</li>', '' ORDER BY doc_ordinal) AS attachments FROM case_docs WHERE included GROUP BY 1",
     "packet_facts": f"""{_FACTS} SELECT case_id, string_agg('<tr><td>' || doc_id || '.' || field || '</td><td>' || {_LABEL} || '<br><strong>' || {escape('value')} || '</strong></td><td>Page 1: ' || {escape(_LABEL + " || ': ' || value")} || '<br><small>'
         || CASE WHEN origin = 'user' THEN 'User-corrected value; original source retained' ELSE 'Reviewed document extraction' END || '</small></td></tr>', '' ORDER BY doc_ordinal, field_ordinal) AS fact_rows
