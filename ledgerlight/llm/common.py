@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,16 @@ def _drop(spark: SparkSession, path: str) -> None:
 # ---------------------------------------------------------------- memory of Python workers
 
 
+def pieces(batch: pa.RecordBatch, place: int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Successive rows of a batch that hold about ``limit`` bytes in the string column at ``place``, or one row."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(total):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + limit, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def trim() -> None:
     """Give freed memory back to the system: workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()

@@ -4,7 +4,7 @@ Pages are grouped by host. A line's frequency is the number of the host's pages
 of the host's pages; lines over ``ratio`` are dropped from all of that host's pages, if at least ``min_pages`` pages hold
 them (on a host of two pages every line would be frequent). A line counts once for a page, blanks at its ends aside.
 
-Counting is one aggregation on (host, 64-bit hash of the line), summed within each task and batch before the shuffle, so a host or a
+Counting is one aggregation on (host, 64-bit hash of the line), summed within each task, ``HELD`` lines at a time, before the shuffle, so a host or a
 line of a third of all rows is no hot key. Lines held by fewer than ``min_pages`` pages, nearly all, are gone before any
 join. What is left has at most (lines of a page) / ratio lines for a host; if it is under ``SENT`` rows it is sent to all
 tasks, else each host's list is joined to its pages on a freshly hashed key, which Spark can split where a host is hot.
@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import bounded, written
+from ledgerlight.llm.common import bounded, pieces, written
 
 RATIO, MIN_PAGES, SENT = 0.1, 5, 200_000
+HELD = 50_000  # lines whose counts a task holds before it passes them on
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>|<!doctype[^>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
@@ -55,14 +56,22 @@ def boilerplate(df: DataFrame, *, host: Column, text_col: str, lines: Callable[[
     pages = df.select(_host_key(host).alias("_host"), F.col(text_col).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: Counter = Counter()
-            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[h, 0] += 1  # line 0 stands for the page itself
-                if t:
-                    held.update((h, x) for x in {line_hash(x) for x in lines(t)} if x)
+        held: Counter = Counter()
+
+        def passed_on() -> pa.RecordBatch:
             keys = list(held)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([held[k] for k in keys], pa.int64())], ["_host", "line", "pages"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([held[k] for k in keys], pa.int64())], ["_host", "line", "pages"])
+
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                for h, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                    held[h, 0] += 1  # line 0 stands for the page itself
+                    if t:
+                        held.update((h, x) for x in {line_hash(x) for x in lines(t)} if x)
+                if len(held) > HELD:
+                    yield passed_on()
+                    held.clear()
+        yield passed_on()
 
     counts = pages.mapInArrow(bounded(count), "_host string, line long, pages long").groupBy("_host", "line").agg(F.sum("pages").alias("pages"))
     counts = written(counts.where((F.col("line") == 0) | (F.col("pages") >= min_pages)), "lines")
@@ -104,7 +113,8 @@ def drop_lines(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield rewrite(batch, [shared.value.get(h) for h in batch.column(len(names)).to_pylist()])
+                for piece in pieces(batch, place):
+                    yield rewrite(piece, [shared.value.get(h) for h in piece.column(len(names)).to_pylist()])
 
         return rows.mapInArrow(bounded(run), schema)
     lists = found.groupBy("_host").agg(F.collect_set("line").alias("_drop")).select(F.xxhash64("_host").alias("_h"), F.col("_host").alias("_line_host"), "_drop")
@@ -112,6 +122,7 @@ def drop_lines(
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield rewrite(batch, [set(x or ()) for x in batch.column(len(names)).to_pylist()])
+            for piece in pieces(batch, place):
+                yield rewrite(piece, [set(x or ()) for x in piece.column(len(names)).to_pylist()])
 
     return joined.mapInArrow(bounded(run_joined), schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import bounded, trim
+from ledgerlight.llm.common import bounded, pieces, trim
 
 SPAN, DECAY, WIDTH, POWER = 5, 0.6, 24, 4
 PER_CLASS = 1000
@@ -318,9 +318,9 @@ def score_texts(df: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, float] = {}
-        for batch in batches:
-            score = sent.value.score(batch.column(1).to_pylist(), memo)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["_id", "score", "predicted"])
+        for piece in (p for batch in batches for p in pieces(batch, 1)):
+            score = sent.value.score(piece.column(1).to_pylist(), memo)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["_id", "score", "predicted"])
 
     out = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(bounded(run), f"_id {kind}, score double, predicted int")
     return out.withColumnRenamed("_id", id_col)
@@ -332,8 +332,8 @@ def drop_toxic(df: DataFrame, model: ToxicityModel, *, text_col: str = "text", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, float] = {}
-        for batch in batches:
-            score = sent.value.score(batch.column(place).to_pylist(), memo)
-            yield batch.filter(pa.array(score < threshold))
+        for piece in (p for batch in batches for p in pieces(batch, place)):
+            score = sent.value.score(piece.column(place).to_pylist(), memo)
+            yield piece.filter(pa.array(score < threshold))
 
     return df.mapInArrow(bounded(run), df.schema)

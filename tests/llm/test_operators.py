@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,15 @@ def test_lines(spark, empty):
     assert line_dedup.drop_lines(none, line_dedup.boilerplate(none, host=F.col("source"), text_col="text"), host=F.col("source"), text_col="text").count() == 0
 
 
+def test_pieces_cover_a_batch():
+    batch = pa.RecordBatch.from_pydict({"i": list(range(7)), "t": ["ab", None, "", "x" * 50, "cd", "e" * 9, "f"]}, schema=pa.schema([("i", pa.int64()), ("t", pa.string())]))
+    for limit in (1, 10, 1000):
+        got = list(common.pieces(batch.slice(1), 1, limit))
+        assert [i for p in got for i in p.column(0).to_pylist()] == list(range(1, 7))
+        assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= limit for p in got)
+    assert list(common.pieces(batch.slice(0, 0), 1)) == []
+
+
 def test_page_lines():
     assert line_dedup.page_lines("<html><script>x</script><p>a &amp; <b>b</b><br>c</p><!-- no --><div> d </div>") == ["a & b", "c", "d"]
 
