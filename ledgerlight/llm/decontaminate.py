@@ -1,13 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Words are compared without case (A-Z) and punctuation. The n-grams of all items are counted over all documents; an
-item's seeds are the rarest ``share`` of those that occur at all. Rarity is relative to the item, so an item that leaked
-into a third of the corpus has seeds like any other. A document that holds a seed of an item is aligned with the item around the seed: local alignment over words,
-with substitutions and gaps, so edited and paraphrased copies score by what they keep. A passage whose score reaches ``threshold``
-of the item's own is a leak.
+Words are compared without case (A-Z) and punctuation. Every n-gram of an item is a seed: whether a document is looked at
+depends on what it shares with the item alone, not on what other documents hold. (The rarest n-grams of an item are
+those that most of its copies have lost.) A document that holds a seed of an item is aligned with the item around the
+seed: local alignment over words, with substitutions and gaps, so edited and paraphrased copies score by what they keep.
+A passage whose score reaches ``threshold`` of the item's own is a leak.
 
-The items are the fixed side: their n-grams go to all tasks, which scan the documents once to count and once to align,
-without a shuffle of documents. More than ``BLOCK`` items are taken in blocks of that many, one pass each.
+Common n-grams join documents to items that they hold little else of. Before an alignment the words of the item that
+the document, then the passage, holds at all are looked up; they bound the score from above (``reach``), and only what
+can't reach the threshold is left out.
+
+The items are the fixed side: their n-grams go to all tasks, which scan the documents once, without a shuffle. More than
+``BLOCK`` items are taken in blocks of that many, one pass each.
 
 Defined results: null and empty texts match nothing, nor do items of fewer words than an n-gram; very long texts are
 scanned whole and aligned around seeds only; repeated rows each match; a null id is kept as null; several matches of an
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import LOWER, U64, bounded, gram_hashes, slices, word_hashes
 
-GRAM, SHARE, THRESHOLD, BLOCK = 3, 0.5, 0.5, 20_000
+GRAM, THRESHOLD, BLOCK = 3, 0.5, 20_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 _MAP = LOWER.copy()
 for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
@@ -55,8 +59,22 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return score, end - length if back == score else 0, end
 
 
+def reach(held: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For items of ``sizes`` words, of which ``held`` tells (one item after the other) whether the text has them: the most
+    that an alignment can score. It takes a run of the item's words; one that the text lacks costs at least a mismatch
+    or a gap, the others give at most a match: the best run's sum."""
+    first = np.cumsum(sizes + 1) - sizes - 1
+    steps = np.empty(len(held) + len(sizes), np.int64)
+    inner = np.ones(len(steps), bool)
+    inner[first] = False
+    steps[inner] = np.where(held, MATCH, -min(-MISMATCH, GAP))
+    steps[first] = -(MATCH * int(sizes.max(initial=0)) + 1)  # each item begins below all of the item before
+    total = np.cumsum(steps)
+    return np.maximum.reduceat(total - np.minimum.accumulate(total), first)
+
+
 class Items:
-    """Test items with the n-grams that are looked for."""
+    """Test items with their n-grams."""
 
     def __init__(self, ids: list, words: list[np.ndarray], grams: np.ndarray, owner: np.ndarray, place: np.ndarray):
         order = np.argsort(grams, kind="stable")
@@ -64,6 +82,15 @@ class Items:
         self.grams, self.owner, self.place = grams[order], owner[order], place[order]
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.grams >> U64(64 - _BITS)).astype(np.int64)] = True
+        self.known, at = np.unique(np.concatenate([*words, np.empty(0, U64)]), return_inverse=True)
+        self.spelled = np.split(at, np.cumsum([len(w) for w in words])[:-1]) if words else []  # the items' words in ``known``
+
+    def held(self, words: np.ndarray) -> np.ndarray:
+        """Which of the items' words are among the given ones."""
+        out = np.zeros(len(self.known), bool)
+        row = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        out[row[self.known[row] == words]] = True
+        return out
 
     @classmethod
     def of(cls, rows: list[tuple], gram: int) -> Items:
@@ -71,16 +98,6 @@ class Items:
         grams = [gram_hashes(w, gram) for w in words]
         return cls([i for i, _ in rows], words, np.concatenate([*grams, np.empty(0, U64)]), np.repeat(np.arange(len(rows)), [len(g) for g in grams]), np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)]).astype(np.int64))
 
-    def seeds(self, counts: dict[int, int], share: float) -> Items:
-        """Only the rarest n-grams of each item, by their number of documents."""
-        df = np.array([counts.get(int(g), 0) for g in self.grams.view(np.int64)], np.int64)
-        keep = np.zeros(len(df), bool)
-        for k in range(len(self.ids)):
-            mine = np.flatnonzero((self.owner == k) & (df > 0))
-            mine = mine[np.lexsort((self.place[mine], df[mine]))]
-            keep[mine[: max(4, int(np.ceil(share * len(mine))))]] = True
-        return Items(self.ids, self.words, self.grams[keep], self.owner[keep], self.place[keep])
-
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the grams are looked for, and the first row of each in ``self.grams``."""
         at = np.flatnonzero(self.bits[(grams >> U64(64 - _BITS)).astype(np.int64)])
@@ -96,24 +113,28 @@ def _words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def _matches(items: Items, words: np.ndarray, at: np.ndarray, row: np.ndarray, threshold: float) -> list[tuple]:
     """(item, score, start, end) of one text from its seed hits."""
+    n = np.searchsorted(items.grams, items.grams[row], "right") - row  # an n-gram may be several items'
+    rows = np.repeat(row - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    owner, some = items.owner[rows], np.unique(items.owner[rows])
+    sizes = np.array([len(items.words[k]) for k in some], np.int64)
+    can = reach(items.held(words)[np.concatenate([items.spelled[k] for k in some])], sizes) >= threshold * MATCH * sizes
+    use = np.isin(owner, some[can])
     spans: dict[int, list[list[int]]] = {}
-    for p, r in zip(at.tolist(), row.tolist(), strict=True):
-        g = items.grams[r]
-        while r < len(items.grams) and items.grams[r] == g:
-            k = int(items.owner[r])
-            n, back = len(items.words[k]), int(items.place[r])
-            slack = n // 2 + 4
-            lo, hi = max(0, p - back - slack), min(len(words), p - back + n + slack)
-            mine = spans.setdefault(k, [])
-            if mine and lo <= mine[-1][1]:
-                mine[-1][0], mine[-1][1] = min(mine[-1][0], lo), max(mine[-1][1], hi)
-            else:
-                mine.append([lo, hi])
-            r += 1
+    for p, k, back in zip(np.repeat(at, n)[use].tolist(), owner[use].tolist(), items.place[rows[use]].tolist(), strict=True):
+        size = len(items.words[k])
+        slack = size // 2 + 4
+        lo, hi = max(0, p - back - slack), min(len(words), p - back + size + slack)
+        mine = spans.setdefault(k, [])
+        if mine and lo <= mine[-1][1]:
+            mine[-1][0], mine[-1][1] = min(mine[-1][0], lo), max(mine[-1][1], hi)
+        else:
+            mine.append([lo, hi])
     out = []
     for k, parts in spans.items():
         n, best = len(items.words[k]), (0.0, 0, 0)
         for lo, hi in parts:
+            if reach(np.isin(items.words[k], words[lo:hi]), np.array([n]))[0] < threshold * MATCH * n:
+                continue
             score, a, b = align(items.words[k], words[lo:hi])
             if score / (MATCH * n) > best[0]:
                 best = (score / (MATCH * n), lo + a, lo + b)
@@ -132,23 +153,6 @@ def _scan(batch_texts: pa.Array, gram: int) -> Iterator[tuple[int, np.ndarray, n
             yield i, words[a:b], grams[a : max(a, b - gram + 1)]
 
 
-def gram_counts(docs: DataFrame, items: Items, gram: int) -> dict[int, int]:
-    """In how many documents each n-gram of the items occurs: at most one row for each n-gram of the items."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        n = np.zeros(len(known.grams), np.int64)
-        for batch in batches:
-            for _, _, grams in _scan(batch.column(0), gram):
-                n[np.unique(known.hits(grams)[1])] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(known.grams[at].view(np.int64)), pa.array(n[at])], ["gram", "n"])
-
-    rows = docs.select("_text").mapInArrow(bounded(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    return {r["gram"]: r["n"] for r in rows}
-
-
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> Iterator[list[tuple]]:
     items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct()
     n = max(1, -(-items.count() // block))
@@ -157,24 +161,15 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> I
         yield sorted(((r["i"], r["t"]) for r in rows.collect()), key=lambda r: (r[0], r[1]))
 
 
-def seeded_items(docs: DataFrame, benchmark: DataFrame, *, text_col: str, item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, share: float = SHARE, block: int = BLOCK) -> list[Items]:
-    """The items of each block with their seeds by the counts over ``docs``."""
-    out = []
-    for rows in _blocks(benchmark, item_col, item_text_col, block):
-        items = Items.of(rows, gram)
-        out.append(items.seeds(gram_counts(docs.select(F.col(text_col).alias("_text")), items, gram), share))
-    return out
-
-
 def find_leaks(
-    df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, share: float = SHARE, threshold: float = THRESHOLD, block: int = BLOCK
+    df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, block: int = BLOCK
 ) -> DataFrame:
     """(id_col, item_col, score, start, words) for each leak: the passage's first word and its number of words."""
     kinds = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = None
-    for items in seeded_items(docs, benchmark, text_col="_text", item_col=item_col, item_text_col=item_text_col, gram=gram, share=share, block=block):
-        sent = df.sparkSession.sparkContext.broadcast(items)
+    for rows in _blocks(benchmark, item_col, item_text_col, block):
+        sent = df.sparkSession.sparkContext.broadcast(Items.of(rows, gram))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             known = sent.value
@@ -205,9 +200,9 @@ def find_leaks(
     return out.withColumnRenamed("_id", id_col).withColumnRenamed("_item", item_col)
 
 
-def drop_leaked(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, share: float = SHARE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def drop_leaked(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """The rows of ``df`` that hold no leak, with all their columns."""
-    blocks = seeded_items(df, benchmark, text_col=text_col, item_col=item_col, item_text_col=item_text_col, gram=gram, share=share, block=block)
+    blocks = [Items.of(rows, gram) for rows in _blocks(benchmark, item_col, item_text_col, block)]
     sent, place = df.sparkSession.sparkContext.broadcast(blocks), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

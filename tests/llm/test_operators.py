@@ -239,6 +239,30 @@ def test_leaks(spark, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0
 
 
+def test_edited_copies_beside_an_exact_one(spark):
+    """The exact copy's n-grams are rarer than those that all copies hold; the edited ones are leaks all the same."""
+    common.ship(spark)
+    items = [(0, " ".join(f"q{i}" for i in range(60))), (1, " ".join(f"z{i}" for i in range(40)))]
+    edited = " ".join(f"new{i}" if i % 6 == 2 else f"q{i}" for i in range(60))
+    rows = [(0, items[0][1])] + [(i, f"start {i} {edited} end") for i in range(1, 30)] + [(30, "q0 q1 q2 and q7 q8 q9 no more"), (31, "nothing")]
+    df = spark.createDataFrame(documents(rows), DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.find_leaks(df, bench).collect()}
+    assert set(got) == {(i, 0) for i in range(30)} and got[0, 0] == 1 and got[7, 0] == 0.75
+    assert {x["doc_id"] for x in decontaminate.drop_leaked(df, bench).collect()} == {30, 31}
+
+
+def test_reach_is_never_below_the_score():
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        a = [r.integers(0, 9, r.integers(1, 12)) for _ in range(4)]
+        b = r.integers(0, 9, r.integers(1, 6))
+        most = decontaminate.reach(np.isin(np.concatenate(a), b), np.array([len(x) for x in a]))
+        for x, m in zip(a, most, strict=True):
+            runs = [sum(2 if w in b else -1 for w in x[i:j]) for i in range(len(x)) for j in range(i, len(x) + 1)]
+            assert m == max(runs) >= decontaminate.align(x, b)[0]
+
+
 def test_alignment_against_a_table():
     r = np.random.default_rng(3)
     for _ in range(60):
