@@ -12,7 +12,8 @@ of two blocks, of bounded size, that tell only links between components. No pair
 join two components, no bucket is held by one task, and no group's pairs are ever listed. What the centres leave open
 is small but for groups in which many members are just below the threshold; their tiles grow as (members / BLOCK)^2.
 
-Components: smallest ids travel along the links by alternating hooks and jumps, in tables; nothing is collected.
+Components: every component is hooked on its smallest neighbour, and hooks are followed to their roots by doubling, round
+after round until no link joins two components; in tables, nothing is collected.
 
 Bands: with r bins each and b bands, a pair of similarity s meets with probability 1 - (1 - s^r)^b; ``banding`` takes
 the longest bins for which a pair at the threshold is missed by less than ``MISS``.
@@ -36,7 +37,6 @@ from ledgerlight.llm.common import U64, bounded, gram_hashes, mix, slices, strea
 
 BINS, MISS, ROUNDS = 128, 2e-6, 2
 MEMBERS, BLOCK = 64, 1024  # members compared with a centre in one group; documents of a tile's block
-ALL_ROUNDS = 64
 
 
 def banding(threshold: float, bins: int = BINS, miss: float = MISS) -> tuple[int, int]:
@@ -219,20 +219,31 @@ def _tile_links(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 def components(links: DataFrame) -> DataFrame:
     """(doc, comp) of every document in ``links`` (a, c): comp is the smallest document reachable. Each round hooks every
-    component on the smallest neighbouring one and halves paths, so rounds grow as the logarithm of a chain's length."""
+    component on the smallest neighbouring one and follows hooks to their roots. In two rounds each component that has a
+    neighbour is merged with one, so rounds grow as the logarithm of the number of documents, whatever the links' shape,
+    and so do the steps of a round. It ends when no link joins two components."""
     edges = written(links.select("a", "c").where("a <> c").distinct(), "edges")
     state = written(edges.select(F.explode(F.array("a", "c")).alias("doc")).distinct().withColumn("comp", F.col("doc")), "comps")
-    for _ in range(ALL_ROUNDS):
+    while True:
         at = edges.join(state.select(F.col("doc").alias("a"), F.col("comp").alias("ca")), "a").join(state.select(F.col("doc").alias("c"), F.col("comp").alias("cc")), "c")
         hooks = at.where("ca <> cc").select(F.greatest("ca", "cc").alias("up"), F.least("ca", "cc").alias("to")).groupBy("up").agg(F.min("to").alias("to"))
         hooks = written(hooks, "hooks")
         if hooks.isEmpty():
             return state
-        # a component's new root: its hook, then the hook of that, twice (path halving within the round)
+        roots = _roots(hooks)
+        state = written(state.join(roots.select(F.col("up").alias("comp"), F.col("to").alias("root")), "comp", "left").select("doc", F.coalesce("root", "comp").alias("comp")), "comps")
+
+
+def _roots(hooks: DataFrame) -> DataFrame:
+    """(up, to) with every ``to`` a root: not hooked itself. Each step follows the hooks of the hooks, so lengths are
+    quartered; hooks fall, so they have no cycles."""
+    while True:
         one = hooks.join(hooks.select(F.col("up").alias("to"), F.col("to").alias("to2")), "to", "left").select("up", F.coalesce("to2", "to").alias("to"))
-        two = one.join(one.select(F.col("up").alias("to"), F.col("to").alias("to2")), "to", "left").select(F.col("up").alias("comp"), F.coalesce("to2", "to").alias("root"))
-        state = written(state.join(two, "comp", "left").select("doc", F.coalesce("root", "comp").alias("comp")), "comps")
-    raise RuntimeError("components did not settle")
+        two = one.join(one.select(F.col("up").alias("to"), F.col("to").alias("to2")), "to", "left").select("up", F.coalesce("to2", "to").alias("to"), F.col("to2").isNotNull().alias("went"))
+        two = written(two, "roots")
+        hooks = two.select("up", "to")
+        if two.where("went").isEmpty():  # where the second jump led nowhere, the first one ended at a root
+            return hooks
 
 
 # ---------------------------------------------------------------- the operator

@@ -73,6 +73,16 @@ def test_sketch_fills_and_estimates():
     assert (1 - 0.85 ** minhash.banding(0.85)[0]) ** minhash.banding(0.85)[1] < 1e-5
 
 
+def test_components_of_long_chains(spark):
+    common.ship(spark)
+    n = 3000
+    shuffled = random.Random(6).sample(range(10_000, 10_000 + n), n)
+    chains = [list(range(n)), shuffled, [20_000 + (i // 2 if i % 2 else n - i // 2) for i in range(n)]]  # rising, mixed, zigzag
+    links = spark.createDataFrame([x for c in chains for x in zip(c[1:], c[:-1], strict=True)], "a long, c long")
+    got = {r["doc"]: r["comp"] for r in minhash.components(links).collect()}
+    assert got == {i: min(c) for c in chains for i in c}
+
+
 def test_overlaps():
     sets = [np.unique(common.stream(i, 50)[: 10 + i]) for i in (1, 1, 2)] + [np.arange(5, dtype=np.uint64)] * 40
     got = minhash.overlaps(sets)
