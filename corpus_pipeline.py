@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over the documents table, each the next one's input.
 
-Toxic documents go; lines that more than a tenth of a source's documents hold go; of each group of near-duplicates
+Toxic documents go; lines that more than a tenth of a source's documents hold go (exact copies are one document there); of each group of near-duplicates
 (five-word shingles, similarity 0.8) the document of the smallest id stays; documents that hold a benchmark item go; what
 is left is packed into sequences. All stages but the last return the columns they were given.
 """

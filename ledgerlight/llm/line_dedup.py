@@ -1,17 +1,19 @@
 """Line deduplication by site-relative frequency: lines on more than a share of a host's pages are boilerplate.
 
-Pages are grouped by host. A line's frequency is the number of the host's pages that hold it, divided by the number
-of the host's pages; lines over ``ratio`` are dropped from all of that host's pages, if at least ``min_pages`` pages hold
+Pages are grouped by host; pages of the same lines in the same order (blanks at the lines' ends and blank lines aside)
+count as one page, however many copies there are: that a page is copied doesn't make its lines boilerplate. A line's
+frequency is the number of the host's pages that hold it, divided by the number of the host's pages; lines over ``ratio`` are dropped from all of that host's pages, if at least ``min_pages`` pages hold
 them (on a host of two pages every line would be frequent). A line counts once for a page, blanks at its ends aside.
 
-Counting is one aggregation on (host, 64-bit hash of the line), summed within each task, ``HELD`` lines at a time, before the shuffle, so a host or a
-line of a third of all rows is no hot key. Lines held by fewer than ``min_pages`` pages, nearly all, are gone before any
+Counting is two aggregations: pages by (host, 128-bit hash of the content), of which one of each is kept, with the
+64-bit hashes of its lines; then lines by (host, hash). Both are summed within each task before the shuffle, so a host, a
+page or a line of a third of all rows is no hot key. Lines held by fewer than ``min_pages`` pages, nearly all, are gone before any
 join. What is left has at most (lines of a page) / ratio lines for a host; if it is under ``SENT`` rows it is sent to all
 tasks, else each host's list is joined to its pages on a freshly hashed key, which Spark can split where a host is hot.
 
 Defined results: a null text stays null and has no lines; an empty one stays empty; blank lines are never counted or
-dropped; a null host is a host of its own; a frequency equal to the ratio keeps the line; repeated rows are pages of
-their own; an empty table gives an empty result; other columns pass through ``drop_lines`` unchanged.
+dropped; a null host is a host of its own; a frequency equal to the ratio keeps the line; copies all lose the
+same lines; all pages without lines count as one; an empty table gives an empty result; other columns pass through ``drop_lines`` unchanged.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.common import bounded, pieces, written
 
 RATIO, MIN_PAGES, SENT = 0.1, 5, 200_000
-HELD = 50_000  # lines whose counts a task holds before it passes them on
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>|<!doctype[^>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
@@ -55,25 +56,17 @@ def boilerplate(df: DataFrame, *, host: Column, text_col: str, lines: Callable[[
     """(_host, line, pages, total): hashes of the lines over the ratio. A null host is written as an empty _host, others after a '='."""
     pages = df.select(_host_key(host).alias("_host"), F.col(text_col).alias("_text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def passed_on() -> pa.RecordBatch:
-            keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([held[k] for k in keys], pa.int64())], ["_host", "line", "pages"])
-
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 1):
-                for h, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    held[h, 0] += 1  # line 0 stands for the page itself
-                    if t:
-                        held.update((h, x) for x in {line_hash(x) for x in lines(t)} if x)
-                if len(held) > HELD:
-                    yield passed_on()
-                    held.clear()
-        yield passed_on()
-
-    counts = pages.mapInArrow(bounded(count), "_host string, line long, pages long").groupBy("_host", "line").agg(F.sum("pages").alias("pages"))
+                found = [np.array([x for x in map(line_hash, lines(t) if t else []) if x], "<i8") for t in piece.column(1).to_pylist()]
+                content = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found), "<i8").reshape(-1, 2)
+                # line 0 stands for the page itself
+                held = pa.array([np.append(np.unique(x), 0) for x in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(content[:, 0]), pa.array(content[:, 1]), held], ["_host", "c1", "c2", "held"])
+
+    once = pages.mapInArrow(bounded(contents), "_host string, c1 long, c2 long, held array<long>").groupBy("_host", "c1", "c2").agg(F.first("held").alias("held"))
+    counts = once.select("_host", F.explode("held").alias("line")).groupBy("_host", "line").agg(F.count(F.lit(1)).alias("pages"))
     counts = written(counts.where((F.col("line") == 0) | (F.col("pages") >= min_pages)), "lines")
     totals = counts.where("line = 0").select("_host", F.col("pages").alias("total"))
     return written(counts.where("line <> 0").join(totals, "_host").where(F.col("pages") > ratio * F.col("total")), "boilerplate")

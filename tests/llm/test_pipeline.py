@@ -6,7 +6,7 @@ import pytest
 
 import brute
 import corpus_pipeline
-from ledgerlight.llm import queries
+from ledgerlight.llm import common, queries
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
@@ -30,6 +30,18 @@ def test_stages(spark):
     assert not any(x in (r["text"] or "") for r in docs.collect() for x in items)
 
 
+def test_copies_of_a_third_of_a_source(spark):
+    """Copies of one document, a third of their source, keep its lines and leave one of them; the banner goes."""
+    common.ship(spark)
+    copied = "\n".join(f"the copied line {k} with words of its own" for k in range(6))
+    rows = [(i, f"banner\nline {i} a b c d\nmore {i} e f g h" if i % 3 else copied, "s") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = corpus_pipeline.drop_boilerplate(spark, docs, SF).cache()
+    assert {r["doc_id"]: r["text"] for r in docs.collect()} == {i: t.removeprefix("banner\n") for i, t, _ in rows}
+    left = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(left) == [0] + [i for i in range(90) if i % 3]
+
+
 def test_held_out_accuracy(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     found = [r for r in queries.op1_language_id(spark, SF).collect() if r["held_out"]]
