@@ -3,7 +3,7 @@
 Pages are grouped by host; pages of the same lines in the same order (blanks at the lines' ends and blank lines aside)
 count as one page, however many copies there are: that a page is copied doesn't make its lines boilerplate. A line's
 frequency is the number of the host's pages that hold it, divided by the number of the host's pages; lines over ``ratio`` are dropped from all of that host's pages, if at least ``min_pages`` pages hold
-them (on a host of two pages every line would be frequent). A line counts once for a page, blanks at its ends aside.
+them (a line on one page of a small host is not repeated). A line counts once for a page, blanks at its ends aside.
 
 Counting is two aggregations: pages by (host, 128-bit hash of the content), of which one of each is kept, with the
 64-bit hashes of its lines; then lines by (host, hash). Both are summed within each task before the shuffle, so a host, a
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import bounded, pieces, written
 
-RATIO, MIN_PAGES, SENT = 0.1, 5, 200_000
+RATIO, MIN_PAGES, SENT = 0.1, 2, 200_000
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>|<!doctype[^>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")

@@ -216,6 +216,15 @@ def test_lines(spark, empty):
     assert line_dedup.drop_lines(none, line_dedup.boilerplate(none, host=F.col("source"), text_col="text"), host=F.col("source"), text_col="text").count() == 0
 
 
+def test_lines_of_small_hosts(spark):
+    common.ship(spark)
+    rows = [(i, f"menu\nline {i}", "four") for i in range(4)] + [(i, f"{'foot' if i < 13 else 'else'}\nline {i}", "twenty") for i in range(10, 30)] + [(40, "menu\nalone", "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string")
+    found = line_dedup.boilerplate(df, host=F.col("host"), text_col="text")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(df, found, host=F.col("host"), text_col="text").collect()}
+    assert got == {i: f"line {i}" if i < 40 else "menu\nalone" for i, _, _ in rows}
+
+
 def test_pieces_cover_a_batch():
     batch = pa.RecordBatch.from_pydict({"i": list(range(7)), "t": ["ab", None, "", "x" * 50, "cd", "e" * 9, "f"]}, schema=pa.schema([("i", pa.int64()), ("t", pa.string())]))
     for limit in (1, 10, 1000):
