@@ -141,6 +141,17 @@ def test_fast_and_slow_ids_agree():
         assert fast(text).tolist() == slow(text).tolist(), text
 
 
+def test_special_tokens_have_their_own_ids():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny", "<|endoftext", "<|endoftext|", " <|endoftext|>  z", "é<|ENDOFTEXT|>"]:
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert packing.encoder(path)(text).tolist() == packing.slow_encoder(path)(text).tolist() == want, text
+    assert packing.encoder(path)("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
 def test_plan_covers_all_with_little_padding():
     r = np.random.default_rng(1)
     lengths = np.minimum(2047, r.lognormal(6.3, 0.8, 3000).astype(int) + 1)
