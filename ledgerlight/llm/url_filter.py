@@ -11,7 +11,8 @@ path that are as long as some rule's path. Two cascades, one of blocked and one
 the longest listed candidate (by key length, then host length) is the URL's rule.
 
 Bounds: a filter has ``BITS_PER_KEY`` bits a key and is refused beyond ``MAX_BITS``; lists are rule lists, whose size
-does not grow with the corpus. A list over the bound is to be split by a hash of its keys and applied piece by piece.
+does not grow with the corpus. What level 0 lets through does: where level 1 would be over the bound, level 0 is built
+again with ``WIDER`` times the bits, up to the bound. A list over the bound is refused; splitting it isn't written.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule; an empty list gives no rule
 to any URL; repeated rows each get their verdict; an empty table gives an empty result; other columns are ignored.
@@ -29,6 +30,7 @@ BITS_PER_KEY = 8
 HASHES = 3
 MAX_BITS = 1 << 24
 MAX_LEVELS = 64
+WIDER = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,6 +93,14 @@ def _level(keys: DataFrame, depth: int, count: int, bits_per_key: int) -> Level:
     return Level(bits, out)
 
 
+def _through(keys: DataFrame, level: Level, depth: int, listed: DataFrame, size: int) -> tuple[DataFrame, int]:
+    through = keys.where(level.holds(F.col("key"), depth))
+    if depth == 0:  # few rows are left after the filter; those of the list among them go by its own bounded keys
+        through = through.distinct().where(~F.col("key").isin([r.key for r in listed.limit(100_000).collect()])) if size <= 1_000 else through.distinct().join(listed, "key", "left_anti")
+    through = through.cache()
+    return through, through.count()
+
+
 def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY) -> Cascade:
     """Both frames have one string column, key. Keys of the list count as part of the universe."""
     listed = listed.select("key").where("key is not null").distinct().cache()
@@ -100,16 +110,18 @@ def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = BI
         listed.unpersist()
         return cascade
     sides, kept = [listed, universe.select("key")], []
+    size, first = n, bits_per_key
     for depth in range(MAX_LEVELS):
         level = _level(sides[0], depth, n, bits_per_key)
         cascade.levels.append(level)
         # the other side's keys that this level lets through; for level 0 those of the universe that aren't listed
-        through = sides[1].where(level.holds(F.col("key"), depth))
-        if depth == 0:  # few rows are left after the filter; those of the list among them go by its own bounded keys
-            through = through.distinct().where(~F.col("key").isin([r.key for r in listed.limit(100_000).collect()])) if n <= 1_000 else through.distinct().join(listed, "key", "left_anti")
-        through = through.cache()
+        through, n = _through(sides[1], level, depth, listed, size)
+        while depth == 0 and n * bits_per_key > MAX_BITS and max(64, size * first) * WIDER <= MAX_BITS:
+            through.unpersist()
+            first = max(64, size * first) * WIDER // size
+            cascade.levels = [_level(listed, depth, size, first)]
+            through, n = _through(sides[1], cascade.levels[0], depth, listed, size)
         kept.append(through)
-        n = through.count()
         if not n:
             break
         sides = [through, sides[0]]

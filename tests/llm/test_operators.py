@@ -214,6 +214,16 @@ def test_cascade_is_exact(spark):
     assert universe.where(cascade.contains(F.col("key")) != (F.substring("key", -1, 1) == "7")).count() == 0
 
 
+def test_cascade_over_a_large_universe(spark, monkeypatch):
+    """Level 1 holds what level 0 lets through of the corpus: it must fit, however large the corpus is."""
+    monkeypatch.setattr(url_filter, "MAX_BITS", 2048)
+    universe = spark.range(300_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = universe.where("key in ('k7', 'k77', 'k777')")
+    cascade = url_filter.build_cascade(listed, universe)
+    assert all(x.bits <= 2048 for x in cascade.levels)
+    assert universe.where(cascade.contains(F.col("key")) != F.col("key").isin("k7", "k77", "k777")).count() == 0
+
+
 def test_lines(spark, empty):
     common.ship(spark)
     rows = [(i, f"banner\n line {i}\n\nbanner", "a") for i in range(10)] + [(i, "half\nx" if i % 2 else "x y", "b") for i in range(10, 20)] + [(20, None, "a"), (21, "", None), (22, "banner", "c")]
