@@ -128,8 +128,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds:
         row = inverse[out] / step[out]
         inverse = inverse - np.outer(step, row)
         inverse[out] = row
-        if k % 200 == 199:  # against rounding errors
-            inverse = np.linalg.inv(basis)
+        if k % 100 == 99:  # against rounding errors: a Newton step (LAPACK's threads hang in a process that has forked a JVM)
+            inverse = 2 * inverse - inverse @ (basis @ inverse)
             x = inverse @ demand
     return basis.T.round().astype(np.int64), np.maximum(x, 0)
 
