@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import hashlib
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -52,22 +54,38 @@ _own_folder: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. One of our own only where it is unset and driver
+    and tasks are one process, as in tests: on a cluster, tasks would each write to their own disk."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="corpus_scratch_"))
     return _own_folder[0]
 
 
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back. Survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _written[back] = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for df in tables:
+        path = _written.pop(df, None)
+        if path:
+            _drop(df.sparkSession, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -79,6 +97,17 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- memory of Python workers
 
 
@@ -119,10 +148,11 @@ def bounded(run):
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply), elementwise."""
     x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 def stream(seed: int, n: int) -> np.ndarray:
@@ -131,38 +161,19 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U64) + U64(seed) * U64(1 << 32)) * U64(0x9E3779B97F4A7C15))
 
 
-BYTES = stream(1, 256)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)  # masks of 0 to 8 bytes
+_LANES = stream(1, 4)
+_LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+LONG_WORD = 1024
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, b, U64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=U64))
-        return self.up, self.down
-
-
-_CHARS = Powers(0x9E3779B97F4A7C15)
-_WORDS = (Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F))
-
-
-def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of consecutive texts, and for each text the index of its first word (one more at the end)."""
-    if lower:
-        buf = LOWER[buf]
+def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and byte after the last of each word of consecutive texts, and for each text the index of its first
+    word (one more at the end)."""
     word = ~SPACE[buf]
     n = len(buf)
     edge = np.zeros(n + 1, bool)
@@ -174,21 +185,51 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tu
         before[1:], after[:-1] = word[:-1], word[1:]
     starts = np.flatnonzero(word & (~before | edge[:-1]))
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-    up, down = _CHARS.to(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(BYTES[buf] * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of bytes, taken eight bytes at a time with a non-linear step between: spans of the same
+    length up to eight bytes never collide, others as random values do. Lanes are independent of each other."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eights = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix((eights[starts] & _FIRST_BYTES[np.minimum(size, 8)]) + size.astype(U64) * _RIGHT + _LANES[lane])
+    live, at = np.flatnonzero(size > 8), 8
+    while len(live) and at < LONG_WORD:
+        left = size[live] - at
+        out[live] = mix(out[live] * _LEFT + (eights[starts[live] + at] & _FIRST_BYTES[np.minimum(left, 8)]) * _RIGHT)
+        live, at = live[left > 8], at + 8
+    for i in live.tolist():  # the rest of a very long word at once
+        rest = hashlib.blake2b(buf[starts[i] + at : ends[i]].tobytes(), digest_size=8, person=bytes([lane])).digest()
+        out[i] = mix(out[i : i + 1] * _LEFT + np.frombuffer(rest, "<u8") * _RIGHT)[0]
+    return out
+
+
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of consecutive texts, and for each text the index of its first word (one more at the end)."""
+    if lower:
+        buf = LOWER[buf]
+    starts, ends, firsts = word_spans(buf, offsets)
+    return span_hashes(buf, starts, ends, lane), firsts
 
 
-def gram_hashes(words: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
-    """Hashes of all runs of k words; those that cross a text's end are for the caller to leave out."""
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, put together from runs of powers of two; those that cross a text's end are for the
+    caller to leave out. Every step is non-linear, so no order of few words makes runs collide."""
     n = len(words)
-    if n < k:
+    if n < k or k < 1:
         return np.empty(0, U64)
-    up, down = _WORDS[lane].to(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(words * up[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[: n - k + 1] + U64(k))
+    out, have, run, length = None, 0, words, 1
+    while True:
+        if k & length:
+            out = run[: n - k + 1] if out is None else mix(out[: n - k + 1] * _LEFT + run[have : have + n - k + 1] * _RIGHT + U64(have))
+            have += length
+        if have == k:
+            return mix(out + U64(k))
+        run = mix(run[:-length] * _LEFT + run[length:] * _RIGHT)
+        length *= 2
 
 
 # ---------------------------------------------------------------- Arrow columns

@@ -5,12 +5,17 @@ number in the high part of the value it leaves; from round t on, round t + i thr
 minimum over the first round that reaches it, and the estimate of the Jaccard similarity concentrates as with independent
 minima, at O(n + t log t) work. Bands of consecutive bins make bucket keys.
 
-Links: documents of equal sets are one class, and only the class's smallest id goes on. In a bucket, every member is
-compared with one centre, on full sets; members that share a component with their bucket's others need no more
-comparison. Where some don't, a further centre is taken, and what is left after ``ROUNDS`` centres is compared in tiles
-of two blocks, of bounded size, that tell only links between components. No pair of a bucket is left out that could
-join two components, no bucket is held by one task, and no group's pairs are ever listed. What the centres leave open
-is small but for groups in which many members are just below the threshold; their tiles grow as (members / BLOCK)^2.
+Links: documents of equal sets are one class, and only the class's smallest id goes on. Each bucket has a centre, its
+smallest member; the members of all buckets of a centre are its star. Every member is compared with its centre, on full
+sets. Where a star's members are then still of several components, they are compared with each other: members that are
+in another component than most against all. So every pair that shares a bucket and could join two components is
+compared, once for a star, and no pairs are listed: a star's members move once, and are compared inside a task through
+an index of their shingles, of which those that no other member has bound the similarity from above.
+
+A star of more than ``BLOCK`` bytes of text is cut into blocks. Before that, its members are compared with about
+``PIVOTS`` members drawn by hash, ``PASSES`` times over, which joins most of them to the star's main component; of
+the rest, each block meets each block of all members. So a star's rows grow with its size, and faster only where what is
+outside its main component is more than a block by itself. No member is ever left out.
 
 Components: every component is hooked on its smallest neighbour, and hooks are followed to their roots by doubling, round
 after round until no link joins two components; in tables, nothing is collected.
@@ -25,18 +30,21 @@ have no links and are kept; ties go to the smallest id; an empty table gives an
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import U64, bounded, gram_hashes, mix, slices, stream, word_hashes, written
+from ledgerlight.llm.common import U64, bounded, forget, gram_hashes, mix, slices, stream, word_hashes, written
 
-BINS, MISS, ROUNDS = 128, 2e-6, 2
-MEMBERS, BLOCK = 64, 1024  # members compared with a centre in one group; documents of a tile's block
+BINS, MISS = 128, 2e-6
+MEMBERS = 256  # members compared with a centre in one group
+BLOCK = 4 << 20  # bytes of text of a star that one task compares with each other
+PIVOTS, PASSES = 16, 2
+SENT = 500_000  # ids sent to all tasks at most
 
 
 def banding(threshold: float, bins: int = BINS, miss: float = MISS) -> tuple[int, int]:
@@ -112,13 +120,6 @@ def signatures(docs: DataFrame, *, k: int, r: int, b: int) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 
-def _sets(texts: list[str | None], k: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for _, _, buf, offsets, _ in slices(pa.array(texts, pa.string())):
-        out += shingle_sets(*word_hashes(buf, offsets, lower=True), k)
-    return out
-
-
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if not len(small) or 100 * len(small) < percent * len(large):
@@ -128,90 +129,158 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _star_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, c) of the pairs (a, c) that are similar. Members of a centre are dealt out in groups of MEMBERS; the centre's
-    text goes to each of its groups."""
-    groups = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("g"))
-    pairs = pairs.join(groups, "c").withColumn("s", F.pmod(F.xxhash64("a", F.lit(3)), F.col("g").cast("long")).cast("int")).drop("g")
-    members = pairs.join(texts, pairs["a"] == texts["_id"]).select("c", "s", "a", "_text")
-    centres = groups.join(texts, groups["c"] == texts["_id"]).select(F.col("c").alias("kc"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("ks"), F.col("_text").alias("_centre"))
-    kind = pairs.schema["a"].dataType.simpleString()
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": left["a"][:0], "c": left["c"][:0]})
-        centres_ = _sets(right["_centre"].tolist(), k)  # one, unless rows repeat an id with other texts
-        hit = [any(similar(s, c, percent) for c in centres_) for s in _sets(left["_text"].tolist(), k)]
-        return left.loc[hit, ["a", "c"]]
-
-    return members.groupBy("c", "s").cogroup(centres.groupBy("kc", "ks")).applyInPandas(compare, f"a {kind}, c {kind}")
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The size of every two sets' intersection, from the elements that more than one set holds: frequent ones as a
-    matrix product, the others as pairs of their few holders."""
-    m = len(sets)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    values = np.concatenate([*sets, np.empty(0, U64)])
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
-    df = np.diff(np.append(first, len(values)))
-    out = np.zeros((m, m), np.float32)
-    common = np.flatnonzero(df >= 32)
-    for lo in range(0, len(common), 4096):
-        some = common[lo : lo + 4096]
-        x = np.zeros((m, len(some)), np.float32)
-        column = np.repeat(np.arange(len(some)), df[some])
-        at = np.concatenate([np.arange(f, f + d) for f, d in zip(first[some], df[some], strict=True)])
-        x[owner[at], column] = 1
-        out += x @ x.T
-    for d in range(2, 32):
-        starts = first[df == d]
-        if len(starts):
-            one, two = np.triu_indices(d, 1)
-            for lo in range(0, len(starts), 4096):
-                holders = owner[starts[lo : lo + 4096, None] + np.arange(d)]
-                pair = np.bincount((holders[:, one] * m + holders[:, two]).ravel(), minlength=m * m).reshape(m, m)
-                out += pair + pair.T
+class Index:
+    """Which sets hold an element."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        values = np.concatenate([*sets, np.empty(0, U64)])
+        order = np.argsort(values, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.values, self.first, self.held = np.unique(values[order], return_index=True, return_counts=True)
+
+    def overlaps(self, elements: np.ndarray) -> np.ndarray:
+        """The size of each set's intersection with the given elements."""
+        if not len(self.values):
+            return np.zeros(len(self.sizes), np.int64)
+        row = np.minimum(np.searchsorted(self.values, elements), len(self.values) - 1)
+        row = row[self.values[row] == elements]
+        n = self.held[row]
+        at = np.repeat(self.first[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=len(self.sizes))
+
+    def linked(self, elements: np.ndarray, percent: int) -> np.ndarray:
+        both = self.overlaps(elements)
+        return np.flatnonzero((both > 0) & (100 * both >= percent * (self.sizes + len(elements) - both)))
+
+
+class Group:
+    """The documents of one comparison: kept ones, and those that are compared with them as they come. Tells a link only
+    if it joins two components that no earlier link of the group has joined."""
+
+    FEW = 8
+
+    def __init__(self, percent: int):
+        self.percent, self.comps, self.sets, self.index, self.root, self.links = percent, [], [], None, {}, []
+
+    def top(self, c):
+        while self.root.get(c, c) != c:
+            c = self.root[c]
+        return c
+
+    def join(self, one, two) -> None:
+        a, c = self.top(one), self.top(two)
+        if a != c:
+            self.root[max(a, c)] = min(a, c)
+            self.links.append((one, two))
+
+    def keep(self, comp, elements: np.ndarray) -> None:
+        self.comps.append(comp)
+        self.sets.append(elements)
+
+    def meet(self, comp, elements: np.ndarray) -> None:
+        if len(self.sets) <= self.FEW:
+            for c, s in zip(self.comps, self.sets, strict=True):
+                if c != comp and similar(elements, s, self.percent):
+                    self.join(comp, c)
+            return
+        if self.index is None:
+            self.index = Index(self.sets)
+        for i in self.index.linked(elements, self.percent).tolist():
+            self.join(comp, self.comps[i])
+
+    def meet_each_other(self) -> None:
+        """All kept documents with each other; those of the most common component only with the rest."""
+        most = Counter(self.comps).most_common(1)[0][0]
+        self.index = Index(self.sets)
+        single = self.index.values[self.index.held == 1]
+        for comp, elements in zip(self.comps, self.sets, strict=True):
+            if comp == most or not len(elements):
+                continue
+            if len(single):  # what no other document holds is in no intersection
+                at = np.minimum(np.searchsorted(single, elements), len(single) - 1)
+                own = int((single[at] == elements).sum())
+                if 100 * (len(elements) - own) < self.percent * len(elements):
+                    continue
+            for i in self.index.linked(elements, self.percent).tolist():
+                self.join(comp, self.comps[i])
+
+
+KEPT, COMING, BOTH = 0, 1, 2
+
+
+def _links(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, c), links between components, from (g1, g2, g3, role, comp, _text): in each group, the rows of role KEPT with
+    those of role COMING, or all rows of role BOTH with each other. A group is streamed from a sorted partition; only the
+    sets of its kept rows are held."""
+    kind = rows.schema["comp"].dataType.simpleString()
+    rows = rows.select("g1", "g2", "g3", "role", "comp", "_text").repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "role", "comp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        id_type = to_arrow_type(rows_type)
+        key, group, pending = None, None, False
+        for batch in batches:
+            g1, g2, g3, role, comp = (batch.column(i).to_pylist() for i in range(5))
+            found = []
+            for lo, hi, buf, offsets, _ in slices(batch.column(5)):
+                sets = shingle_sets(*word_hashes(buf, offsets, lower=True), k)
+                for i in range(lo, hi):
+                    if key != (g1[i], g2[i], g3[i]):
+                        if group is not None:
+                            if pending:
+                                group.meet_each_other()
+                            found += group.links
+                        key, group, pending = (g1[i], g2[i], g3[i]), Group(percent), role[i] == BOTH
+                    if role[i] == COMING:
+                        group.meet(comp[i], sets[i - lo])
+                    else:
+                        group.keep(comp[i], sets[i - lo])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], id_type), pa.array([x[1] for x in found], id_type)], ["a", "c"])
+        if group is not None:
+            if pending:
+                group.meet_each_other()
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in group.links], id_type), pa.array([x[1] for x in group.links], id_type)], ["a", "c"])
+
+    rows_type = rows.schema["comp"].dataType
+    return rows.mapInArrow(bounded(run), f"a {kind}, c {kind}")
+
+
+def _star_rows(pairs: DataFrame, centres: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows for ``_links``: the members ``pairs`` (c, a, comp) of each star with its ``centres`` (c, p, comp). Members are
+    dealt out in groups of about MEMBERS; the centres' texts go to each of their star's groups."""
+    sizes = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("long").alias("g"))
+    coming = pairs.join(sizes, "c").select(F.col("c").alias("g1"), F.pmod(F.xxhash64("a", F.lit(3)), "g").alias("g2"), F.lit(0).alias("g3"), F.lit(COMING).alias("role"), "comp", F.col("a").alias("_id"))
+    kept = centres.join(sizes, "c").select(F.col("c").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("g2"), F.lit(0).alias("g3"), F.lit(KEPT).alias("role"), "comp", F.col("p").alias("_id"))
+    return coming.unionByName(kept).join(texts.select("_id", "_text"), "_id")
+
+
+def _open_stars(pairs: DataFrame, texts: DataFrame, comps: DataFrame) -> DataFrame:
+    """(c, a, comp, main, n, parts): the members of stars whose members are of several components. ``main``: whether of the
+    star's most common one; ``n``: members; ``parts``: blocks that the star's texts take."""
+    size = texts.groupBy("_id").agg(F.sum("bytes").alias("bytes"))
+    at = pairs.join(size, F.col("a") == F.col("_id")).drop("_id").join(comps.select(F.col("doc").alias("a"), "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    at = written(at.select("c", "a", "comp", "bytes"), "members")
+    each = at.groupBy("c", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("bytes").alias("bytes"))
+    stars = each.groupBy("c").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("n"), F.sum("bytes").alias("bytes"), F.max_by("comp", F.struct("k", "comp")).alias("most")).where("comps > 1")
+    stars = stars.select("c", "n", "most", F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK)).cast("long").alias("parts"))
+    out = written(at.join(stars, "c").select("c", "a", "comp", (F.col("comp") == F.col("most")).alias("main"), "n", "parts"), "open")
+    forget(at)
     return out
 
 
-def _tile_links(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, c) links between components within the buckets of ``rest`` (key, doc, comp). Every document is put into one
-    block of about BLOCK documents of its largest bucket; a tile is two blocks that meet in some bucket. So a document's
-    text goes to each block it may have links in, and not to each document; a pair that meets in many buckets is compared once."""
-    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    home = rest.join(sizes, "key").groupBy("doc", "comp").agg(F.max(F.struct("n", "key")).alias("h"))
-    part = F.pmod(F.xxhash64("doc", F.lit(5)), F.ceil(F.col("h.n") / BLOCK))
-    home = written(home.select("doc", "comp", F.xxhash64("h.key", part).alias("block")), "blocks")
-    meets = rest.join(home.select("doc", "block"), "doc").groupBy("key").agg(F.array_sort(F.collect_set("block")).alias("b"))
-    pairs = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 1, F.size("b")), lambda y: F.struct(x.alias("t1"), y.alias("t2")))))
-    tiles = meets.select(F.inline(pairs)).distinct()
-    tiles = tiles.select("t1", "t2", F.explode(F.array_distinct(F.array("t1", "t2"))).alias("block"))
-    rows = home.join(texts, home["doc"] == texts["_id"]).select("block", "doc", "comp", "_text").join(tiles, "block").select("t1", "t2", "doc", "comp", "_text")
-    kind = rest.schema["doc"].dataType.simpleString()
-
-    def compare(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.drop_duplicates(["doc", "_text"]).sort_values("doc", ignore_index=True)
-        sets, docs, comps = _sets(tile["_text"].tolist(), k), tile["doc"].tolist(), tile["comp"].tolist()
-        n, both = np.array([len(s) for s in sets], float), overlaps(sets)
-        linked = np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1) & (both > 0)
-        root, found = {c: c for c in comps}, []
-
-        def top(c):
-            while root[c] != c:
-                c = root[c]
-            return c
-
-        for x, y in zip(*np.nonzero(linked), strict=True):
-            a, c = top(comps[x]), top(comps[y])
-            if a != c:
-                root[a] = c
-                found.append((docs[x], docs[y]))
-        return pd.DataFrame(found, columns=["a", "c"])
-
-    return rows.groupBy("t1", "t2").applyInPandas(compare, f"a {kind}, c {kind}")
+def _all_rows(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows for ``_links``: all members of a star of one block with each other; of a larger one, each block of members outside
+    the main component with each block of all members."""
+    one = members.where("parts = 1").select(F.col("c").alias("g1"), F.lit(0).cast("long").alias("g2"), F.lit(0).cast("long").alias("g3"), F.lit(BOTH).alias("role"), "comp", F.col("a").alias("_id"))
+    large = members.where("parts > 1")
+    outside = large.where("not main").groupBy("c").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * F.max("parts") / F.max("n"))).cast("long").alias("rows"))
+    large = large.join(outside, "c").withColumn("i", F.pmod(F.xxhash64("a", F.lit(5)), "rows")).withColumn("j", F.pmod(F.xxhash64("a", F.lit(7)), "parts"))
+    first = F.lit(0).cast("long")
+    kept = large.where("not main").select(F.col("c").alias("g1"), F.col("i").alias("g2"), F.explode(F.sequence(first, F.col("parts") - 1)).alias("g3"), F.lit(KEPT).alias("role"), "comp", F.col("a").alias("_id"))
+    coming = large.select(F.col("c").alias("g1"), F.explode(F.sequence(first, F.col("rows") - 1)).alias("g2"), F.col("j").alias("g3"), F.lit(COMING).alias("role"), "comp", F.col("a").alias("_id"))
+    return one.unionByName(kept).unionByName(coming).join(texts.select("_id", "_text"), "_id")
 
 
 # ---------------------------------------------------------------- components
@@ -229,9 +298,11 @@ def components(links: DataFrame) -> DataFrame:
         hooks = at.where("ca <> cc").select(F.greatest("ca", "cc").alias("up"), F.least("ca", "cc").alias("to")).groupBy("up").agg(F.min("to").alias("to"))
         hooks = written(hooks, "hooks")
         if hooks.isEmpty():
+            forget(edges, hooks)
             return state
         roots = _roots(hooks)
-        state = written(state.join(roots.select(F.col("up").alias("comp"), F.col("to").alias("root")), "comp", "left").select("doc", F.coalesce("root", "comp").alias("comp")), "comps")
+        before, state = state, written(state.join(roots.select(F.col("up").alias("comp"), F.col("to").alias("root")), "comp", "left").select("doc", F.coalesce("root", "comp").alias("comp")), "comps")
+        forget(before, hooks)
 
 
 def _roots(hooks: DataFrame) -> DataFrame:
@@ -246,6 +317,16 @@ def _roots(hooks: DataFrame) -> DataFrame:
             return hooks
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` after links between its components; a document that is in neither is a component by itself."""
+    more = components(links)
+    to = more.select(F.col("doc").alias("comp"), F.col("comp").alias("to"))
+    moved = comps.join(to, "comp", "left").select("doc", F.coalesce("to", "comp").alias("comp"))
+    out = written(moved.unionByName(more.join(comps, "doc", "left_anti")), "comps")
+    forget(comps, more)
+    return out
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -263,48 +344,26 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     member = filled.select("_id", "n", "d1", "d2", digest).join(same.select("n", "d1", "d2", digest, "rep"), ["h", "n", "d1", "d2"])
     exact = written(member.where("_id > rep").select(F.col("_id").alias("a"), F.col("rep").alias("c")), "equal_sets")
     reps = same.select(F.col("rep").alias("_id"), "bands")
-    buckets = reps.select("_id", F.explode("bands").alias("key"))
-    busy = buckets.groupBy("key").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).where("low <> high")
-    buckets = buckets.select(F.xxhash64("key").alias("h"), "key", F.col("_id").alias("doc")).join(busy.select(F.xxhash64("key").alias("h"), "key"), ["h", "key"]).select("key", "doc").distinct()
-    rest = written(buckets, "buckets")
-    texts = written(docs.join(rest.select(F.col("doc").alias("_id")).distinct(), "_id", "left_semi").distinct(), "texts")
-    links, comps, tested = exact, None, None
-    near = None
-    for n in range(ROUNDS + 1):
-        if comps is None:
-            at = rest.withColumn("comp", F.col("doc"))
-        else:
-            at = rest.join(comps.select("doc", F.col("comp").alias("k")), "doc", "left").select("key", "doc", F.coalesce("k", "doc").alias("comp"))
-        # buckets of one component are done; the centre is the smallest member outside the bucket's first component
-        state = at.groupBy("key").agg(F.min("comp").alias("lc"), F.max("comp").alias("hc"), F.min("doc").alias("first")).where("lc <> hc")
-        if n == 0:
-            centre = state.select(F.xxhash64("key").alias("h"), "key", F.col("first").alias("c"), F.col("first").alias("cc"))
-        else:
-            state = state.select(F.xxhash64("key").alias("h"), "key", "lc")
-            at = at.select(F.xxhash64("key").alias("h"), "key", "doc", "comp").join(state, ["h", "key"])
-            at = written(at.select("key", "doc", "comp", "lc"), "open")
-            if at.isEmpty():
-                break
-            if n == ROUNDS:
-                near = near.unionByName(_tile_links(at.select("key", "doc", "comp"), texts, k, percent))
-                links = exact.unionByName(written(near, "links"))
-                comps = components(links)
-                break
-            centre = at.where("comp <> lc").groupBy("key").agg(F.min(F.struct("doc", "comp")).alias("m")).select(F.xxhash64("key").alias("h"), "key", F.col("m.doc").alias("c"), F.col("m.comp").alias("cc"))
-            at = at.drop("lc")
-        at = at.select(F.xxhash64("key").alias("h"), "key", "doc", "comp").join(centre, ["h", "key"])
-        pairs = at.where("doc <> c and comp <> cc").select(F.col("doc").alias("a"), "c").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "c"], "left_anti")
-        pairs = written(pairs, "pairs")
-        both = pairs.unionByName(pairs.select(F.col("c").alias("a"), F.col("a").alias("c")))
-        tested = both if tested is None else tested.unionByName(both)
-        found = written(_star_links(pairs, texts, k, percent), "links")
-        near = found if near is None else near.unionByName(found)
-        links = exact.unionByName(near)
-        comps = components(links)
-        # a centre has met all of its bucket
-        rest = written(at.where("doc <> c").select("key", "doc"), "buckets")
+    held = reps.select("_id", F.explode("bands").alias("key"))
+    stars = held.groupBy("key").agg(F.min("_id").alias("c"), F.max("_id").alias("high")).where("c <> high").select(F.xxhash64("key").alias("h"), "key", "c")
+    pairs = held.select(F.xxhash64("key").alias("h"), "key", F.col("_id").alias("a")).join(stars, ["h", "key"]).where("a <> c").select("c", "a").distinct()
+    pairs = written(pairs, "stars")
+    some = pairs.select(F.explode(F.array("c", "a")).alias("_id")).distinct()
+    some = F.broadcast(some) if pairs.count() <= SENT else some
+    texts = written(docs.join(some, "_id", "left_semi").distinct().withColumn("bytes", F.octet_length("_text")), "texts")
+    near = _links(_star_rows(pairs.withColumn("comp", F.col("a")), pairs.select("c", F.col("c").alias("p"), F.col("c").alias("comp")).distinct(), texts), k, percent)
+    comps = components(exact.unionByName(near))
+    members = _open_stars(pairs, texts, comps)
+    for n in range(PASSES):  # the members of a large star with some of them
+        large = members.where("parts > 1")
+        if large.isEmpty():
+            break
+        pivots = large.where(F.pmod(F.xxhash64("a", F.lit(11 + n)), "n") < PIVOTS).select("c", F.col("a").alias("p"), "comp")
+        comps = _joined(comps, _links(_star_rows(large.select("c", "a", "comp"), pivots, texts), k, percent))
+        forget(members)
+        members = _open_stars(pairs, texts, comps)
+    comps = _joined(comps, _links(_all_rows(members, texts), k, percent))
+    forget(members, pairs, texts, exact)
     return (
         sig.select("_id", "n")
         .join(comps.select(F.col("doc").alias("_id"), "comp"), "_id", "left")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import U64, bounded, gram_hashes, slices, word_hashes, written
+from ledgerlight.llm.common import U64, bounded, gram_hashes, slices, span_hashes, word_spans, written
 
 WINDOW, SEED = 50, 12
 
@@ -49,8 +49,9 @@ def seeds(words: np.ndarray, window: int, seed: int) -> np.ndarray:
     return sliding_min(gram_hashes(words, seed), window - seed + 1) if len(words) >= window else np.empty(0, U64)
 
 
-def _whole(words: np.ndarray, lane: int) -> int:
-    return int(gram_hashes(words, len(words), lane)[0].astype(np.int64)) if len(words) else 0
+def _whole(words: np.ndarray, others: np.ndarray) -> list[int]:
+    """128 bits of a word sequence, from two independent hashes of each word."""
+    return np.frombuffer(hashlib.blake2b(words.tobytes() + others.tobytes(), digest_size=16).digest(), "<i8").tolist()
 
 
 def _scan(docs: DataFrame, window: int, seed: int) -> DataFrame:
@@ -60,11 +61,12 @@ def _scan(docs: DataFrame, window: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offsets, _ in slices(batch.column(1)):
-                words, firsts = word_hashes(buf, offsets)
+                starts, ends, firsts = word_spans(buf, offsets)
+                words, others = (span_hashes(buf, starts, ends, lane) for lane in (0, 1))
                 least = seeds(words, window, seed)
                 spans = list(zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True))
                 found = [np.unique(least[a : b - window + 1]).view(np.int64) if b - a >= window else np.empty(0, np.int64) for a, b in spans]
-                t1, t2 = ([_whole(words[a:b], lane) for a, b in spans] for lane in (0, 1))
+                t1, t2 = zip(*(_whole(words[a:b], others[a:b]) for a, b in spans), strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array([b - a for a, b in spans], pa.int64()), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["_id", "n", "t1", "t2", "seeds"]
                 )
@@ -79,10 +81,11 @@ def _windows(rows: DataFrame, window: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offsets, _ in slices(batch.column(1)):
-                words, firsts = word_hashes(buf, offsets)
-                if len(words) < window:
+                starts, ends, firsts = word_spans(buf, offsets)
+                if len(starts) < window:
                     continue
-                least, w1, w2 = seeds(words, window, seed), gram_hashes(words, window), gram_hashes(words, window, 1)
+                words = span_hashes(buf, starts, ends)
+                least, w1, w2 = seeds(words, window, seed), gram_hashes(words, window), gram_hashes(span_hashes(buf, starts, ends, 1), window)
                 which, one, two = [], [], []
                 for i in range(lo, hi):
                     a, b = firsts[i - lo], firsts[i - lo + 1] - window + 1
@@ -138,8 +141,9 @@ def deduplicate_substrings(df: DataFrame, *, id_col: str = "doc_id", text_col: s
                     lost = np.zeros(len(words), bool)
                     whole, repeats = batch.column(2)[i].values, batch.column(3)[i].values
                     if (whole is not None and len(whole)) or (repeats is not None and len(repeats)):
-                        hashes, _ = word_hashes(data, np.array([0, len(data)]))
-                        if len(hashes) >= window and len(whole) and _whole(hashes, 0) in whole.to_pylist():
+                        starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+                        hashes = span_hashes(data, starts, ends)
+                        if len(hashes) >= window and len(whole) and _whole(hashes, span_hashes(data, starts, ends, 1))[0] in whole.to_pylist():
                             lost[:] = True
                         elif len(hashes) >= window:
                             hit = np.isin(gram_hashes(hashes, window).view(np.int64), repeats.to_numpy())

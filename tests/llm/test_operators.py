@@ -1,5 +1,6 @@
 """The corpus operators on small tables: brute force, exact round trips, and odd rows."""
 
+import functools
 import hashlib
 import os
 import random
@@ -83,13 +84,66 @@ def test_components_of_long_chains(spark):
     assert got == {i: min(c) for c in chains for i in c}
 
 
-def test_overlaps():
-    sets = [np.unique(common.stream(i, 50)[: 10 + i]) for i in (1, 1, 2)] + [np.arange(5, dtype=np.uint64)] * 40
-    got = minhash.overlaps(sets)
-    for i in range(0, 43, 6):
-        for j in range(43):
-            if i != j:
-                assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+def test_index_of_sets():
+    sets = [np.unique(common.stream(i, 50)[: 10 + i]) for i in (1, 1, 2)] + [np.arange(5, dtype=np.uint64)] * 40 + [np.empty(0, np.uint64)]
+    index = minhash.Index(sets)
+    for s in [*sets[:4], sets[-1]]:
+        assert index.overlaps(s).tolist() == [len(np.intersect1d(s, x)) for x in sets]
+    assert minhash.Index([]).overlaps(sets[0]).tolist() == [] and not len(minhash.Index(sets[-1:]).linked(sets[0], 85))
+
+
+@pytest.mark.parametrize("block", [minhash.BLOCK, 60_000])
+def test_large_groups_about_the_threshold(spark, monkeypatch, block):
+    """Two families of near copies, one mostly above and one mostly below the threshold, as one block and as many."""
+    common.ship(spark)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r, rows = random.Random(3), []
+    for k, (low, high) in enumerate(((1, 6), (6, 9))):
+        base = [f"w{r.randrange(5000)}" for _ in range(150)]
+        for i in range(1500):
+            words = list(base)
+            for at in r.sample(range(150), r.randint(low, high)):
+                words[at] = f"e{r.randrange(10**9)}"
+            rows.append((1500 * k + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(minhash.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == _large_wanted(tuple(rows))
+
+
+@functools.cache
+def _large_wanted(rows):
+    return brute.near_duplicates(rows)
+
+
+#: Words over two letters in Thue-Morse order and its complement: equal under any polynomial hash modulo a power of two.
+THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+MORSE = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    common.ship(spark)
+    tail = " ".join(f"x{i}" for i in range(60))
+    rows = [(0, THUE), (1, MORSE), (2, f"{THUE} {tail}"), (3, f"{MORSE} {tail}"), (4, f"y{THUE}"), (5, f"y{MORSE}"), (6, " ".join(THUE)), (7, " ".join(MORSE))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(minhash.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == brute.near_duplicates(rows)
+    assert rows_of(substring.deduplicate_substrings(df), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring_dedup(rows)
+    bench = spark.createDataFrame([(9, f"{THUE} {THUE}a {MORSE} {THUE}b")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, f"{MORSE} {MORSE}a {THUE} {MORSE}b"), (1, f"{THUE} {THUE}a {MORSE} {THUE}b")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.find_leaks(docs, bench).collect()] == [1]
+
+
+def test_hashes_of_long_words_and_grams():
+    for lane in (0, 1):
+        spelled = [b"", b"a", b"x" * 8, b"x" * 9, b"x" * 5000, b"x" * 5001, b"x" * 4999 + b"y", b"y" + b"x" * 4999]
+        data = np.frombuffer(b" ".join(spelled[1:]), np.uint8)
+        words, firsts = common.word_hashes(data, np.array([0, len(data)]), lane=lane)
+        assert len(set(words.tolist())) == len(words) == firsts[1] == len(spelled) - 1
+        for w, h in zip(spelled[1:], words, strict=True):
+            assert common.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]), lane=lane)[0].tolist() == [h]
+    words = common.stream(3, 200) % np.uint64(5)
+    for k in (1, 2, 3, 5, 12, 50):
+        grams = common.gram_hashes(words, k)
+        assert len(grams) == 201 - k and all(common.gram_hashes(words[i : i + k], k)[0] == grams[i] for i in range(0, len(grams), 13))
+        assert len(set(grams.tolist())) == len({tuple(words[i : i + k].tolist()) for i in range(201 - k)})
 
 
 def test_sharding(corpus, empty):
