@@ -8,12 +8,15 @@ them (a line on one page of a small host is not repeated). A line counts once fo
 Counting is two aggregations: pages by (host, 128-bit hash of the content), of which one of each is kept, with the
 64-bit hashes of its lines; then lines by (host, hash). Both are summed within each task before the shuffle, so a host, a
 page or a line of a third of all rows is no hot key. Lines held by fewer than ``min_pages`` pages, nearly all, are gone before any
-join. What is left has at most (lines of a page) / ratio lines for a host; if it is under ``SENT`` rows it is sent to all
-tasks, else each host's list is joined to its pages on a freshly hashed key, which Spark can split where a host is hot.
+join. What is left has at most (lines of a page) / ratio lines for a host: one row of its lines a host, joined to the
+pages on a freshly hashed key. Spark sends that table to all tasks while it is under its broadcast threshold, and
+splits hot hosts where it is not.
 
 Defined results: a null text stays null and has no lines; an empty one stays empty; blank lines are never counted or
 dropped; a null host is a host of its own; a frequency equal to the ratio keeps the line; copies all lose the
-same lines; all pages without lines count as one; an empty table gives an empty result; other columns pass through ``drop_lines`` unchanged.
+same lines; all pages without lines count as one; repeated rows and null ids stay rows of their own; an empty table gives
+an empty result; other columns pass through ``drop_lines`` unchanged, whatever their names (``n_lines`` and ``n_removed``
+get a ``_`` at the end where a column has that name).
 """
 
 from __future__ import annotations
@@ -28,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import bounded, pieces, written
+from ledgerlight.llm.common import bounded, fresh, pieces, written
 
-RATIO, MIN_PAGES, SENT = 0.1, 2, 200_000
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+RATIO, MIN_PAGES = 0.1, 2
+_HIDDEN = re.compile(r"<(?:(!--)|(script|style)\b)", re.I)
+_ENDS = {"!--": re.compile("-->"), "script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I)}
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>|<!doctype[^>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
 
@@ -40,9 +44,28 @@ def text_lines(text: str) -> list[str]:
     return text.split("\n")
 
 
+def _shown(page: str) -> str:
+    """The page without comments, scripts and styles that end; in one pass, however many of them don't."""
+    parts, at, begin, endless = [], 0, 0, set()
+    while len(endless) < len(_ENDS) and (m := _HIDDEN.search(page, begin)):
+        kind, begin = (m.group(1) or m.group(2)).lower(), m.end()
+        if kind in endless:
+            continue
+        inner = begin if kind == "!--" else page.find(">", begin) + 1
+        end = _ENDS[kind].search(page, inner) if inner else None
+        if end is None:  # none of this kind ends from here on
+            endless.add(kind)
+            continue
+        parts += [page[at : m.start()], " "]
+        at = begin = end.end()
+    return "".join([*parts, page[at:]])
+
+
 def page_lines(page: str) -> list[str]:
     """The lines of text that a web page shows, one for each block of it."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub(" ", page)))
+    page = _shown(page)
+    last = page.rfind(">") + 1  # no tag ends behind it
+    text = _TAG.sub("", _BLOCK.sub("\n", page[:last])) + page[last:]
     return [x for x in (" ".join(line.split()) for line in html.unescape(text).split("\n")) if x]
 
 
@@ -76,46 +99,36 @@ def _host_key(host: Column) -> Column:
     return F.when(host.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), host.cast("string")))
 
 
-def drop_lines(
-    df: DataFrame, found: DataFrame, *, host: Column, text_col: str, lines: Callable[[str], list[str]] = text_lines, counted: bool = False, sent: int = SENT
-) -> DataFrame:
+def drop_lines(df: DataFrame, found: DataFrame, *, host: Column, text_col: str, lines: Callable[[str], list[str]] = text_lines, counted: bool = False) -> DataFrame:
     """The rows of ``df`` with the found lines gone from ``text_col``. With ``counted`` also n_lines and n_removed."""
-    names = df.columns
-    rows = df.withColumn("_line_host", _host_key(host))
-    place = names.index(text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *["n_lines long", "n_removed long"] * counted])
-
-    def rewrite(batch: pa.RecordBatch, gone: list) -> pa.RecordBatch:
+    names, place = df.columns, df.columns.index(text_col)
+    key, again, mine, drop, n_lines, n_removed = fresh(df, "_line_host", "_line_key", "_found_host", "_drop", "n_lines", "n_removed")
+    counters = [n_lines, n_removed] * counted
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{c}` long" for c in counters)])
+    lists = found.groupBy("_host").agg(F.collect_set("line").alias(drop)).select(F.xxhash64("_host").alias(again), F.col("_host").alias(mine), drop)
+    rows = df.withColumn(key, _host_key(host))
+    joined = rows.join(lists, (F.xxhash64(rows[key]) == lists[again]) & (rows[key] == lists[mine]), "left").select(*(F.col(f"`{c}`") for c in names), key, drop)
+
+    def rewrite(batch: pa.RecordBatch, drops: dict[str, set[int]]) -> pa.RecordBatch:
         texts, n, removed = [], [], []
-        for t, drop in zip(batch.column(place).to_pylist(), gone, strict=True):
+        hosts = batch.column(len(names)).to_pylist()
+        for i, (t, h) in enumerate(zip(batch.column(place).to_pylist(), hosts, strict=True)):
+            if h not in drops:
+                drops[h] = set(batch.column(len(names) + 1)[i].as_py() or ())
+            gone = drops[h]
             all_lines = lines(t) if t else []
-            kept = [x for x in all_lines if line_hash(x) not in drop] if drop else all_lines
+            kept = [x for x in all_lines if line_hash(x) not in gone] if gone else all_lines
             texts.append(t if len(kept) == len(all_lines) and lines is text_lines else None if t is None else "\n".join(kept))
             n.append(len(all_lines))
             removed.append(len(all_lines) - len(kept))
         columns = [batch.column(i) for i in range(len(names))]
         columns[place] = pa.array(texts, pa.string())
-        out = names + ["n_lines", "n_removed"] * counted
-        return pa.RecordBatch.from_arrays([*columns, *[pa.array(n, pa.int64()), pa.array(removed, pa.int64())] * counted], out)
-
-    if found.count() <= sent:
-        drops: dict[str, set[int]] = {}
-        for r in found.select("_host", "line").collect():  # at most ``sent`` rows
-            drops.setdefault(r["_host"], set()).add(r["line"])
-        shared = df.sparkSession.sparkContext.broadcast(drops)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in pieces(batch, place):
-                    yield rewrite(piece, [shared.value.get(h) for h in piece.column(len(names)).to_pylist()])
-
-        return rows.mapInArrow(bounded(run), schema)
-    lists = found.groupBy("_host").agg(F.collect_set("line").alias("_drop")).select(F.xxhash64("_host").alias("_h"), F.col("_host").alias("_line_host"), "_drop")
-    joined = rows.withColumn("_h", F.xxhash64("_line_host")).join(lists, ["_h", "_line_host"], "left").select(*names, "_drop")
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array(n, pa.int64()), pa.array(removed, pa.int64())] * counted], names + counters)
 
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            drops: dict[str, set[int]] = {}  # one host's list is read once a batch
             for piece in pieces(batch, place):
-                yield rewrite(piece, [set(x or ()) for x in piece.column(len(names)).to_pylist()])
+                yield rewrite(piece, drops)
 
-    return joined.mapInArrow(bounded(run_joined), schema)
+    return joined.mapInArrow(bounded(run), schema)
