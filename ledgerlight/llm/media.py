@@ -9,7 +9,8 @@ PES packets are reassembled, and timestamps are stored with their random-access
 or out of step raises the count of discontinuities; a repeated packet is used once.
 
 Defined results: null and empty inputs are empty payloads; very long ones only take more packets; equal bytes give
-equal streams (nothing is dated or random); an empty table gives an empty result; other columns are ignored.
+equal streams (nothing is dated or random); repeated rows and null ids are rows of their own; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import as_bytes, bounded
+from ledgerlight.llm.common import bounded, pieces
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID, PROGRAM, STREAM_TYPE = 0x0000, 0x1000, 0x0100, 1, 0x06
@@ -201,50 +202,54 @@ def decode_ts(media: bytes) -> Stream:
     return out
 
 
-def padded(data: bytes) -> bytes:
-    return data + b"\0" * (-len(data) % BLOCK) if data else b"\0" * BLOCK
+def padded(data: bytes, block: int = BLOCK) -> bytes:
+    return data + b"\0" * (-len(data) % block) if data else b"\0" * block
 
 
-SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+STAMPS = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("random_access", pa.bool_())]))
 
 
-def _digests(data: bytes) -> tuple:
-    media = encode_ts(padded(data))
-    read = decode_ts(media)
-    back = read.payload
-    return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), read.feature
+def media_columns(df: DataFrame, *, id_col: str = "doc_id", data_col: str = "text", gop: int = 8, block: int = 1) -> DataFrame:
+    """(id_col, n_bytes, media, timestamps): each payload as a transport stream, with the timestamps and random-access
+    points that reading it finds: each PES packet's time, the place of its data in the payload, and whether decoding can
+    start there. Payloads are padded with zero bytes to a positive multiple of ``block`` (1: not at all); n_bytes is before that."""
+    kind = df.schema[id_col].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in (p for batch in batches for p in pieces(batch, 1)):
+            n, media, stamps = [], [], []
+            for x in piece.column(1).to_pylist():
+                data = x or b""
+                stream = encode_ts(padded(data, block) if block > 1 else data, gop)
+                read = decode_ts(stream)
+                n.append(len(data))
+                media.append(stream)
+                stamps.append([{"pts": a, "offset": b, "random_access": c} for a, b, c in zip(read.pts, read.pts_offset, read.random_access, strict=True)])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(stamps, STAMPS)], ["_id", "n_bytes", "media", "timestamps"])
+
+    schema = f"_id {kind}, n_bytes long, media binary, timestamps array<struct<pts:bigint,offset:bigint,random_access:boolean>>"
+    return df.select(F.col(id_col).alias("_id"), F.col(data_col).cast("binary").alias("_data")).mapInArrow(bounded(run), schema).withColumnRenamed("_id", id_col)
 
-def media_digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, the digest columns of SCHEMA): each text stored as a stream, read back and described."""
-    kind = df.schema[id_col].dataType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets, _ = as_bytes(batch.column(1))
-            rows = [_digests(buf[offsets[i] : offsets[i + 1]].tobytes()) for i in range(batch.num_rows)]
-            columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(7)]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["_id", *[x.split()[0] for x in SCHEMA.split(", ")]])
-
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(bounded(run), f"_id {kind.simpleString()}, {SCHEMA}").withColumnRenamed("_id", id_col)
-
-
-def media_columns(df: DataFrame, *, id_col: str = "doc_id", data_col: str = "text", gop: int = 8) -> DataFrame:
-    """(id_col, media, payload, timestamps): the stream itself, what is read back from it, and its timestamps with random-access points."""
-    kind = df.schema[id_col].dataType
-    schema = f"_id {kind.simpleString()}, media binary, payload binary, timestamps array<struct<pts:bigint,offset:bigint,random_access:boolean>>"
-
-    def run(batches):
-        for batch in batches:
-            ids, media, payload, stamps = batch.column(0), [], [], []
-            for x in batch.column(1).to_pylist():
-                m = encode_ts(x or b"", gop)
-                s = decode_ts(m)
-                media.append(m)
-                payload.append(s.payload)
-                stamps.append([{"pts": a, "offset": b, "random_access": c} for a, b, c in zip(s.pts, s.pts_offset, s.random_access, strict=True)])
-            kinds = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("random_access", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(media, pa.binary()), pa.array(payload, pa.binary()), pa.array(stamps, kinds)], ["_id", "media", "payload", "timestamps"])
+SCHEMA = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    return df.select(F.col(id_col).alias("_id"), F.col(data_col).cast("binary").alias("_data")).mapInArrow(bounded(run), schema).withColumnRenamed("_id", id_col)
+
+def read_media(stored: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", size_col: str = "n_bytes", stamps_col: str = "timestamps") -> DataFrame:
+    """(id_col, n_bytes, the columns of SCHEMA) of stored streams: digests of the payload that is read back and of the
+    stream, and its features. ``stamps_ok`` in the feature tells whether the stored timestamps are those of the stream."""
+    kind = stored.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in (p for batch in batches for p in pieces(batch, 2)):
+            rows = []
+            for media, stamps in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True):
+                read = decode_ts(media or b"")
+                same = [(x["pts"], x["offset"], x["random_access"]) for x in stamps or []] == list(zip(read.pts, read.pts_offset, read.random_access, strict=True))
+                back = read.payload
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media or b""), hashlib.sha256(media or b"").hexdigest(), f"{read.feature};stamps_ok={int(same)}"))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["_id", "n_bytes", *[x.split()[0] for x in SCHEMA.split(", ")]])
+
+    rows = stored.select(F.col(id_col).alias("_id"), F.col(size_col).alias("n_bytes"), F.col(media_col).alias("_media"), F.col(stamps_col).alias("_stamps"))
+    return rows.mapInArrow(bounded(run), f"_id {kind}, n_bytes long, {SCHEMA}").withColumnRenamed("_id", id_col)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import decontaminate, langid, line_dedup, media, minhash, packing, sharding, substring, toxicity, url_filter
-from ledgerlight.llm.common import crc_mod5_is_0, table
+from ledgerlight.llm.common import crc_mod5_is_0, table, written
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -32,11 +32,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(table(spark, sf_dir, "documents"))
+    """The streams and their timestamps are stored as a table, and what is returned is read from that."""
+    stored = written(media.media_columns(table(spark, sf_dir, "documents"), block=media.BLOCK), "media")
+    return media.read_media(stored)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), **packing.vocabulary())
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
