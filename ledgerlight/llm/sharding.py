@@ -5,9 +5,12 @@ whole is cut in the order of that rank, so that every run of rows, and so every
 corpus's proportions. The law is ``rows``: shard sizes differ by one row at most.
 
 Ranks are dealt out, never computed by one task for a key: rows are cut into buckets of the shuffle order (source,
-leading hash digits), a window ranks the rows of one bucket, and the buckets' sums are carried on in a second window
-over the small table of bucket counts. The bucket count follows the number of rows, so a source that holds a third
-of all rows is spread over as many tasks as its share. Only (id, source, size, checksum) are shuffled, never a text.
+leading hash digits), a window ranks the rows of one bucket, and the buckets' sums are carried on over the table of bucket
+counts, in two levels: within runs of ``RUN`` buckets, and over the runs. The bucket count follows the number of rows, so a
+source that holds a third of all rows is spread over as many tasks as its share, and no window sees more than
+``per_bucket`` rows or so, ``RUN`` buckets, or (buckets / RUN) runs. Rows that share a hash because id, size and checksum are
+the same are interchangeable; where more than ``per_bucket`` do, their row's number is hashed in. Only (id, source,
+size, checksum) are shuffled, never a text: they are written once, so that all steps see the same row numbers.
 
 Defined results: a null text counts as empty (size 1, checksum 0); a null source is a source of its own; null ids
 and repeated rows each keep a place of their own; an empty table gives an empty result; other columns are ignored.
@@ -19,6 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlight.llm.common import written
+
+RUN = 4096
+
 
 def bucket_digits(rows: int, per_bucket: int) -> int:
     """Leading hexadecimal digits that cut ``rows`` into buckets of about ``per_bucket`` rows."""
@@ -29,24 +36,23 @@ def bucket_digits(rows: int, per_bucket: int) -> int:
 
 
 def _ranked(rows: DataFrame, within: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
-    """Adds a rank from 1 in (within) by (bucket, order) and the number of rows within."""
+    """Adds a rank from 1 in (within) by (bucket, order) and the number of rows within. ``bucket`` is a long."""
     rows = rows.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # the table of counts has at most one row for each source and bucket: windows over it are small
-    before = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
-        *[F.col(c).alias(f"_k_{c}") for c in within],
-        F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*within)).alias(f"{name}_total"),
-    )
+    keys = [F.col(f"_k_{c}") for c in within]
+    counts = rows.groupBy(*[F.col(c).alias(f"_k_{c}") for c in within], F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_run", F.expr(f"_b div {RUN}"))
+    runs = counts.groupBy(*keys, "_run").agg(F.sum("_n").alias("_n"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*keys, "_run", F.coalesce(F.sum("_n").over(upto(Window.partitionBy(*keys).orderBy("_run"))), F.lit(0)).alias("_runs"), F.sum("_n").over(Window.partitionBy(*keys)).alias(f"{name}_total"))
+    inside = counts.select(*keys, "_b", "_run", F.coalesce(F.sum("_n").over(upto(Window.partitionBy(*keys, "_run").orderBy("_b"))), F.lit(0)).alias("_inside"))
+    before = inside.join(runs, [*(f"_k_{c}" for c in within), "_run"]).select(*keys, "_b", (F.col("_runs") + F.col("_inside")).alias("_before"), f"{name}_total")
     on = F.col("_bucket") == F.col("_b")
     for c in within:
-        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        on = on & (F.col(c) == F.col(f"_k_{c}"))
     inner = Window.partitionBy(*within, "_bucket").orderBy(*order)
     return (
         rows.withColumn("_r", F.row_number().over(inner))
-        .join(counts, on)
+        .join(before, on)
         .withColumn(name, F.col("_before") + F.col("_r"))
         .drop("_bucket", "_b", "_before", "_r", *[f"_k_{c}" for c in within])
     )
@@ -57,16 +63,16 @@ def stratified_shards(
 ) -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard, source) for each row. ``rows``: their number, counted if not given."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(
-        F.col(id_col).alias("_id"),
-        F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("_source"),
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("_key"),
-    )
-    total = df.count() if rows is None else rows
+    size, crc = (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    base = df.select(F.col(id_col).alias("_id"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_source"), size, crc)
+    key = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("null")), "text_crc32", "size").cast("binary"))
+    base = written(base.withColumn("_key", key).withColumn("_row", F.monotonically_increasing_id()), "sizes")
+    total = base.count() if rows is None else rows
+    often = base.groupBy("_source", "_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_bucket).select(F.col("_source").alias("_os"), F.col("_key").alias("_ok"))  # at most rows / per_bucket
+    split = F.when(F.col("_ok").isNull(), F.col("_key")).otherwise(F.md5(F.concat_ws("/", "_key", "_row").cast("binary")))
+    base = base.join(often, (F.col("_source") == F.col("_os")) & (F.col("_key") == F.col("_ok")), "left").withColumn("_key", split).drop("_os", "_ok", "_row")
     digits = bucket_digits(total, per_bucket)
-    ranked = _ranked(base, ["_source"], F.substring("_key", 1, digits), [F.col("_key"), F.col("text_crc32"), F.col("size")], "_rank")
+    ranked = _ranked(base, ["_source"], F.conv(F.substring("_key", 1, digits), 16, 10).cast("long"), [F.col("_key"), F.col("text_crc32"), F.col("size")], "_rank")
     ranked = ranked.withColumn("_f", (2 * F.col("_rank") - 1) / (2 * F.col("_rank_total")).cast("double"))
     parts = 16**digits
     ranked = ranked.withColumn("_one", F.lit(1))
