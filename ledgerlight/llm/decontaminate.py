@@ -11,7 +11,8 @@ the document, then the passage, holds at all are looked up; they bound the score
 can't reach the threshold is left out.
 
 The items are the fixed side: their n-grams go to all tasks, which scan the documents once, without a shuffle. More than
-``BLOCK`` items are taken in blocks of that many, one pass each.
+``BLOCK`` items or ``BLOCK_BYTES`` of their text are taken in blocks of about that much, one pass each, so what is sent
+at once is bounded.
 
 Defined results: null and empty texts match nothing, nor do items of fewer words than an n-gram; very long texts are
 scanned whole and aligned around seeds only; repeated rows each match; a null id is kept as null; several matches of an
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import LOWER, U64, bounded, gram_hashes, slices, word_hashes
+from ledgerlight.llm.common import LOWER, U64, bounded, gram_hashes, slices, word_hashes, written
 
-GRAM, THRESHOLD, BLOCK = 3, 0.5, 20_000
+GRAM, THRESHOLD, BLOCK, BLOCK_BYTES = 3, 0.5, 20_000, 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, 1
 _MAP = LOWER.copy()
 for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
@@ -155,9 +156,10 @@ def _scan(batch_texts: pa.Array, gram: int) -> Iterator[tuple[int, np.ndarray, n
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> Iterator[list[tuple]]:
     items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct()
-    n = max(1, -(-items.count() // block))
+    count, size = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
+    n = max(1, -(-count // block), -(-(size or 0) // BLOCK_BYTES))
     for k in range(n):
-        rows = items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
+        rows = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         yield sorted(((r["i"], r["t"]) for r in rows.collect()), key=lambda r: (r[0], r[1]))
 
 
@@ -202,14 +204,23 @@ def find_leaks(
 
 def drop_leaked(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """The rows of ``df`` that hold no leak, with all their columns."""
-    blocks = [Items.of(rows, gram) for rows in _blocks(benchmark, item_col, item_text_col, block)]
-    sent, place = df.sparkSession.sparkContext.broadcast(blocks), df.columns.index(text_col)
+    place = df.columns.index(text_col)
+    left, first = df, True
+    for rows in _blocks(benchmark, item_col, item_text_col, block):
+        if not first:  # one block's items at a time in the tasks' memory
+            left = written(left, "unleaked")
+        left, first = left.mapInArrow(bounded(_unleaked(df.sparkSession.sparkContext.broadcast(Items.of(rows, gram)), place, gram, threshold)), df.schema), False
+    return left
+
 
+def _unleaked(sent, place: int, gram: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
         for batch in batches:
             keep = []
             for _, words, grams in _scan(batch.column(place), gram):
-                keep.append(not any(len(h[0]) and _matches(b, words, *h, threshold) for b in sent.value for h in [b.hits(grams)]))
+                at, row = known.hits(grams)
+                keep.append(not (len(at) and _matches(known, words, at, row, threshold)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(bounded(run), df.schema)
+    return run
