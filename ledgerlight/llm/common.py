@@ -19,7 +19,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE = 1 << 20
@@ -261,3 +261,13 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
 def crc_mod5_is_0(doc_id) -> "F.Column":
     """Whether a row is held out of training: crc32(doc_id as text) mod 5 = 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def lowest_hash(rows: DataFrame, by: str, id_col: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each value of ``by``: those of the lowest hash of the id. Rows whose hash is too high to be
+    among them, going by the value's count, are left out before the ranking, so that a common value is no hot key there."""
+    value = (F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 1) / float(1 << 63)).alias("_hash")
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_count"))
+    low = rows.withColumn("_hash", value).join(counts, by).where(F.col("_hash") * F.col("_count") <= most + 10 * most**0.5 + 20)
+    rank = Window.partitionBy(by).orderBy("_hash", id_col)
+    return low.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= most).drop("_hash", "_count", "_rank")

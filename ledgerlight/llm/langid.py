@@ -1,13 +1,13 @@
 """Language identification by nearest clustered centroids.
 
-Texts are TF-IDF vectors of hashed byte n-grams (1 to 3 bytes of the lower-cased text, letters only), normalised to
+Texts are TF-IDF vectors of hashed byte n-grams (2 and 3 bytes of the lower-cased text, letters only), normalised to
 length one. Each language has several centroids, found by spherical k-means over its training vectors; a text gets the
 language of the centroid of the highest cosine, and is rejected if that cosine is farther than almost all training texts of the
-cluster are. Fitted on at most ``per_language`` texts of each language (those of the lowest hash), taken whole.
+cluster are. Fitted on at most ``per_language`` texts of each language and ``SAMPLE`` in all (those of the lowest hash), taken whole.
 
 Defined results: a null text or one without letters is ``und`` with score 0; very short texts are judged by what they
 have; very long ones are counted whole in bounded memory; a language with fewer texts than centroids has as many
-centroids as texts; with no training rows everything is ``und``; null ids are kept; an empty table gives an empty
+centroids as texts; with no training rows everything is ``und``; null ids are kept; repeated rows get equal predictions; of equal cosines the first centroid wins; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -18,13 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import bounded
+from ledgerlight.llm.common import bounded, lowest_hash, pieces
 
 DIMS = 1 << 14
 PER_LANGUAGE = 400
+SAMPLE = 8000
 CENTROIDS = 4
 UNDETERMINED = "und"
 _CLASS = np.full(256, 32, np.uint8)  # other ASCII bytes count as blanks; bytes of other letters stay
@@ -110,18 +111,20 @@ def fit(rows: np.ndarray, langs: list[str], centroids: int = CENTROIDS, rejected
 
 
 def training_rows(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """At most ``per_language`` rows of each language, those of the lowest hash. Ranking keeps that many rows of each
-    task before the shuffle, and the ids that are sent out are bounded by the parameter and the number of languages."""
-    rank = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col)
-    some = df.where(F.col(lang_col).isNotNull()).select(id_col, lang_col).withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= per_language)
-    return df.where(F.col(lang_col).isNotNull()).join(F.broadcast(some.select(id_col).distinct()), id_col, "left_semi").select(id_col, lang_col, text_col)
+    """(_id, _lang, _text) of at most ``per_language`` rows of each language, those of the lowest hash, and of ``SAMPLE`` rows in all."""
+    known = df.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where("_lang is not null")
+    languages = known.select("_lang").distinct().count()
+    most = max(1, min(per_language, SAMPLE // max(1, languages)))
+    some = lowest_hash(known.select("_id", "_lang"), "_lang", "_id", most).select("_id").distinct()
+    # at most SAMPLE ids, or one for each language; one text of an id that rows repeat
+    return known.join(F.broadcast(some), "_id", "left_semi").groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
 
 
 def fit_on(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> LanguageModel:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, places, values = [], [], []
-            for i, t in enumerate(batch.column(2).to_pylist()):
+            for i, t in enumerate(t for piece in pieces(batch, 2) for t in piece.column(2).to_pylist()):
                 if has_letters(t):
                     c = counts(t)
                     at = np.flatnonzero(c)
@@ -131,7 +134,7 @@ def fit_on(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep, pa.int64())), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["lang", "places", "counts"])
 
     sample = training_rows(df, id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language)
-    got = sample.mapInArrow(bounded(vectors), "lang string, places binary, counts binary").collect()  # bounded by per_language
+    got = sample.mapInArrow(bounded(vectors), "lang string, places binary, counts binary").collect()  # bounded by SAMPLE
     got.sort(key=lambda r: (r["lang"], bytes(r["places"]), bytes(r["counts"])))
     rows = np.zeros((len(got), DIMS), np.float32)
     for i, r in enumerate(got):
@@ -145,9 +148,9 @@ def identify(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", tex
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, score, cosine, rejected = sent.value.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(cosine), pa.array(rejected)], ["_id", "lang_pred", "score", "cosine", "rejected"])
+        for piece in (p for batch in batches for p in pieces(batch, 1)):
+            lang, score, cosine, rejected = sent.value.predict(piece.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(cosine), pa.array(rejected)], ["_id", "lang_pred", "score", "cosine", "rejected"])
 
     out = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(bounded(run), f"_id {kind}, lang_pred string, score double, cosine double, rejected boolean")
     return out.withColumnRenamed("_id", id_col)
