@@ -29,10 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import bounded, pieces, trim
+from ledgerlight.llm.common import bounded, lowest_hash, pieces, trim
 
 SPAN, DECAY, WIDTH, POWER = 5, 0.6, 24, 4
 PER_CLASS = 1000
@@ -81,9 +81,9 @@ def triples(words: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
 class Landmarks:
     """The kernel of any word with fixed words."""
 
-    def __init__(self, words: list[bytes]):
-        self.words = words
-        codes, weights = triples([_windows(w)[0] for w in words])
+    def __init__(self, words: list[str]):
+        self.words = words  # windows of words, of at most WIDTH characters
+        codes, weights = triples(words)
         known = np.unique(codes)
         known = known[known > 0]
         self.row = np.zeros(1 << 18, np.int32)
@@ -106,12 +106,10 @@ class Landmarks:
             for k in range(0, len(which), 8192):
                 part = which[k : k + 8192]
                 codes, weights = triples([words[i] for i in part], high)
-                # a first look at whether a word has enough in common with all landmarks together; equal subsequences
-                # are not added up yet, hence a lower bar
-                square = (weights * weights).astype(np.float32)
-                most = self.most[codes]  # of any landmark, at this subsequence: no landmark's value is over their sum
-                norm2 = (codes > 0) @ square
-                near = ((most > 0) @ square >= 0.5 * FLOOR**2 * norm2) & (most @ weights.astype(np.float32) >= 0.98 * FLOOR * np.sqrt(norm2))
+                # a bound that drops no match: a landmark's product with the word is at most the sum of the most that any
+                # landmark has at each subsequence, and the word's norm is at least that of its subsequences taken one by one
+                norm2 = (codes > 0) @ (weights * weights).astype(np.float32)
+                near = self.most[codes] @ weights.astype(np.float32) >= 0.98 * FLOOR * np.sqrt(norm2)
                 at = part[near]
                 if len(at):
                     v = self._values(codes[near], weights)
@@ -164,12 +162,16 @@ class ToxicityModel:
     offset: float = -1.0
     bag: np.ndarray | None = None  # logistic weights over bag_features
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        parts = [_windows(w) for w in words]
-        flat = [p for ps in parts for p in ps]
-        scores = np.full(len(flat), self.offset)
-        at, values = self.landmarks.similarities(flat)
+    def window_scores(self, windows: list[str]) -> np.ndarray:
+        scores = np.full(len(windows), self.offset)
+        at, values = self.landmarks.similarities(windows)
         scores[at] += values @ self.direction
+        return scores
+
+    def word_scores(self, words: list[bytes]) -> np.ndarray:
+        """Of each word that of its highest window."""
+        parts = [_windows(w) for w in words]
+        scores = self.window_scores([p for ps in parts for p in ps])
         starts = np.cumsum([0] + [len(p) for p in parts[:-1]]) if parts else []
         return np.maximum.reduceat(scores, starts) if len(words) else scores
 
@@ -197,10 +199,10 @@ def bag_features(scores: list[float], offset: float) -> np.ndarray:
     return np.array([*top, min(top[0], 0.0), np.log1p(len(scores)) / 5 * (top[0] > 0), 1.0])
 
 
-def _inserted(word: bytes) -> list[bytes]:
-    """The word with a letter put in at each inner place; too short a word has no such forms."""
-    text = word.decode()
-    return [(text[:k] + "xqzk"[k % 4] + text[k:]).encode() for k in range(1, len(text))] if len(text) > 3 else []
+def _inserted(window: str) -> list[str]:
+    """The window of a word with a letter put in at each inner place; too short a word has no such forms."""
+    first, last = int(window.startswith("^")), len(window) - int(window.endswith("$"))
+    return [(window[:k] + "xqzk"[(k - first) % 4] + window[k:])[:WIDTH] for k in range(first + 1, last)] if last - first > 3 else []
 
 
 def _newton(rows: np.ndarray, labels: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
@@ -232,10 +234,12 @@ def _logistic(rows: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> np.n
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
-    bags, y = [words_of(t) for t in texts], np.array(toxic, int)
+    """The machine judges windows of words: a word of up to ``WIDTH`` characters is one, a longer one has all of its own."""
+    words, y = [words_of(t) for t in texts], np.array(toxic, int)
     nothing = ToxicityModel(None)
     if len(set(toxic)) < 2:
         return nothing
+    bags = [{x for w in b for x in _windows(w)} for b in words]
     t, c = Counter(), Counter()
     for b, label in zip(bags, y, strict=True):
         (t if label else c).update(b)
@@ -246,14 +250,14 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
     if not found:
         return nothing
     clean = sorted(c)
-    at, near = Landmarks(found).similarities([_windows(w)[0] for w in clean])
+    at, near = Landmarks(found).similarities(clean)
     near = near.max(axis=1) if len(at) else np.empty(0)
     order = sorted(range(len(at)), key=lambda i: (-c[clean[at[i]]] * near[i], clean[at[i]]))
     landmarks = Landmarks([*found, *[clean[at[i]] for i in order[:CONTRASTS] if clean[at[i]] not in set(found)]])
 
-    def rows_of(words: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(words), len(landmarks.words)))
-        at, values = landmarks.similarities([_windows(w)[0] for w in words])
+    def rows_of(windows: list[str]) -> np.ndarray:
+        out = np.zeros((len(windows), len(landmarks.words)))
+        at, values = landmarks.similarities(windows)
         out[at] = values
         return out
 
@@ -261,7 +265,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-3
     root = vectors[:, keep] / np.sqrt(values[keep])  # the Nystroem map: similarities @ root
-    # clean instances: words of clean texts that are like some landmark; all others are at the offset
+    # clean instances: windows of clean texts that are like some landmark; all others are at the offset
     hard = [clean[i] for i in at]
     hard_rows = rows_of(hard) @ root
     hard_count = np.array([c[w] for w in hard], float)
@@ -275,7 +279,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
         if not picked:
             return model
         positive = sorted(picked)
-        # the words that were picked most often also with a character inserted, as people disguise them
+        # those picked most often also with a character inserted, as people disguise them
         altered = [v for w in sorted(picked, key=lambda w: (-picked[w], w))[:ALTERED] for v in _inserted(w) if v not in c]
         rows = np.vstack([rows_of(positive) @ root, rows_of(altered) @ root, hard_rows, np.zeros((1, root.shape[1]))])
         labels = np.array([1.0] * (len(positive) + len(altered)) + [-1.0] * (len(hard) + 1))
@@ -283,11 +287,10 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
         w = _newton(rows, labels, weight, ridge=1.0)
         model = ToxicityModel(landmarks, root @ w[:-1], float(w[-1]))
         names = sorted(t)
-        score = dict(zip(names, model.word_scores(names).tolist(), strict=True))
-    every = dict(score)
-    rest = sorted(set(c) - every.keys())
-    every.update(zip(rest, model.word_scores(rest).tolist(), strict=True))
-    rows = np.stack([bag_features([every[w] for w in b], model.offset) for b in bags])
+        score = dict(zip(names, model.window_scores(names).tolist(), strict=True))
+    names = sorted(set().union(*words))
+    every = dict(zip(names, model.word_scores(names).tolist(), strict=True))
+    rows = np.stack([bag_features([every[w] for w in b], model.offset) for b in words])
     model.bag = _logistic(rows, y)
     return model
 
@@ -296,11 +299,13 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
 
 
 def training_rows(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
-    """(toxic, text) of at most ``per_class`` rows of each label, those of the lowest hash; the ids sent out are bounded so."""
+    """(_toxic, _text) of at most ``per_class`` ids of each label, those of the lowest hash, with one text of an id that
+    rows repeat; the ids sent out are bounded so."""
     given = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
-    rank = Window.partitionBy("_toxic").orderBy(F.xxhash64(F.col("_id").cast("string")), "_id")
-    some = given.join(df.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi").withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= per_class).select("_id", "_toxic")
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id").select("_toxic", "_text")
+    known = given.join(df.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
+    some = lowest_hash(known, "_toxic", "_id", per_class)
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
+    return texts.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).select("_toxic", "_text")
 
 
 def fit_on(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
