@@ -10,12 +10,14 @@ A rule is (host, path prefix); candidate keys of a URL are its host's suffixes o
 path that are as long as some rule's path. Two cascades, one of blocked and one of allowed keys, decide each candidate;
 the longest listed candidate (by key length, then host length) is the URL's rule.
 
-Bounds: a filter has ``BITS_PER_KEY`` bits a key and is refused beyond ``MAX_BITS``; lists are rule lists, whose size
-does not grow with the corpus. What level 0 lets through does: where level 1 would be over the bound, level 0 is built
-again with ``WIDER`` times the bits, up to the bound. A list over the bound is refused; splitting it isn't written.
+Bounds: a filter has ``BITS_PER_KEY`` bits a key. Where what level 0 lets through of the corpus takes more than ``MAX_BITS``,
+level 0 is built again with ``WIDER`` times the bits, up to the bound. Where a filter is still over the bound, list and
+universe are split by key hash into twice as many parts; each part has cascades of its own and is looked up in a pass of its
+own, so a plan never holds more than the two cascades of one part, whatever the list's and the corpus's size.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule; an empty list gives no rule
-to any URL; repeated rows each get their verdict; an empty table gives an empty result; other columns are ignored.
+to any URL; of rules of one key that both block and allow, the block counts; rules with a null part are none; repeated
+rows and null ids each get their verdict; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlight.llm.common import written
+
 BITS_PER_KEY = 8
 HASHES = 3
 MAX_BITS = 1 << 24
@@ -81,10 +85,14 @@ class Cascade:
         return answer if self.levels else F.lit(False)
 
 
+class TooManyKeys(ValueError):
+    """A filter would be over ``MAX_BITS``."""
+
+
 def _level(keys: DataFrame, depth: int, count: int, bits_per_key: int) -> Level:
     bits = max(64, count * bits_per_key)
     if bits > MAX_BITS:
-        raise ValueError(f"a filter of {count} keys takes {bits} bits, over the bound of {MAX_BITS}; split the list")
+        raise TooManyKeys(f"a filter of {count} keys takes {bits} bits, over the bound of {MAX_BITS}")
     places = keys.select(F.explode(F.array(*[_position(F.col("key"), depth, i, bits) for i in range(HASHES)])).alias("p"))
     words = places.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int"))).alias("b"))
     out = [0] * ((bits + 31) // 32)
@@ -93,10 +101,10 @@ def _level(keys: DataFrame, depth: int, count: int, bits_per_key: int) -> Level:
     return Level(bits, out)
 
 
-def _through(keys: DataFrame, level: Level, depth: int, listed: DataFrame, size: int) -> tuple[DataFrame, int]:
+def _through(keys: DataFrame, level: Level, depth: int, listed: DataFrame) -> tuple[DataFrame, int]:
     through = keys.where(level.holds(F.col("key"), depth))
-    if depth == 0:  # few rows are left after the filter; those of the list among them go by its own bounded keys
-        through = through.distinct().where(~F.col("key").isin([r.key for r in listed.limit(100_000).collect()])) if size <= 1_000 else through.distinct().join(listed, "key", "left_anti")
+    if depth == 0:  # few rows are left after the filter, but those of the list are among them
+        through = through.distinct().join(listed, "key", "left_anti")
     through = through.cache()
     return through, through.count()
 
@@ -115,12 +123,12 @@ def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = BI
         level = _level(sides[0], depth, n, bits_per_key)
         cascade.levels.append(level)
         # the other side's keys that this level lets through; for level 0 those of the universe that aren't listed
-        through, n = _through(sides[1], level, depth, listed, size)
+        through, n = _through(sides[1], level, depth, listed)
         while depth == 0 and n * bits_per_key > MAX_BITS and max(64, size * first) * WIDER <= MAX_BITS:
             through.unpersist()
             first = max(64, size * first) * WIDER // size
             cascade.levels = [_level(listed, depth, size, first)]
-            through, n = _through(sides[1], cascade.levels[0], depth, listed, size)
+            through, n = _through(sides[1], cascade.levels[0], depth, listed)
         kept.append(through)
         if not n:
             break
@@ -149,17 +157,38 @@ def candidates(host: Column, path: Column, path_lengths: list[int]) -> Column:
 def filter_urls(df: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(id_col, host, path, rule, verdict) for each row. ``rules`` (host, path, action) is a bounded list; actions are allow and block."""
     base = df.select(F.col(id_col).alias("_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    rules = rules.where("host is not null and path is not null")
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     keys = rules.select(F.concat("host", "path").alias("key"), "action")
     base = base.withColumn("_keys", candidates(F.col("host"), F.col("path"), lengths))
     universe = base.select(F.explode("_keys.key").alias("key")).distinct()
-    block, allow = (build_cascade(keys.where(F.col("action") == a), universe) for a in ("block", "allow"))
-    # each candidate is looked up once in either cascade; the first listed one is the longest
-    judged = F.transform("_keys", lambda k: F.struct(k["key"].alias("key"), F.when(block.contains(k["key"]), F.lit("block")).when(allow.contains(k["key"]), F.lit("allow")).alias("action")))
-    found = F.get(F.filter(judged, lambda k: k["action"].isNotNull()), F.lit(0))
-    return base.withColumn("_found", found).select(
-        F.col("_id").alias(id_col), "host", "path", F.col("_found.key").alias("rule"), F.coalesce(F.col("_found.action"), F.lit(default)).alias("verdict")
-    )
+    parts = 1
+    while True:
+        try:
+            found = _judged(base, keys, universe, parts)
+            break
+        except TooManyKeys:
+            parts *= 2
+    return found.select(F.col("_id").alias(id_col), "host", "path", F.col("_best.key").alias("rule"), F.coalesce(F.col("_best.action"), F.lit(default)).alias("verdict"))
+
+
+def _judged(base: DataFrame, keys: DataFrame, universe: DataFrame, parts: int) -> DataFrame:
+    """``base`` with ``_best``, the longest candidate that is listed: each candidate is looked up once in either cascade of
+    its part."""
+    mine = lambda key, part: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts)) == part
+    out = base.withColumn("_best", F.lit(None).cast("struct<a:int,b:int,key:string,action:string>"))
+    for part in range(parts):
+        some = universe.where(mine(F.col("key"), part))
+        block, allow = (build_cascade(keys.where((F.col("action") == a) & mine(F.col("key"), part)), some) for a in ("block", "allow"))
+        action = lambda k: F.when(block.contains(k), F.lit("block")).when(allow.contains(k), F.lit("allow"))
+        looked_up = lambda k: F.when(mine(k["key"], part), action(k["key"])) if parts > 1 else action(k["key"])
+        judged = F.transform("_keys", lambda k: F.struct(k["a"], k["b"], k["key"].alias("key"), looked_up(k).alias("action")))
+        first = F.get(F.filter(judged, lambda k: k["action"].isNotNull()), F.lit(0))
+        best = first if parts == 1 else F.array_min(F.filter(F.array("_best", first), lambda k: k.isNotNull()))
+        out = out.withColumn("_best", best)
+        if part < parts - 1:  # the next part's filters come into a plan of their own
+            out = written(out, "judged")
+    return out
 
 
 def rule_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
