@@ -4,7 +4,7 @@ A document's ids (and a closing id) are cut into full sequences and one remainde
 problem: their length histogram, in bins of ``BIN`` tokens, is covered by patterns that fit one sequence. The linear
 program over patterns is solved by column generation: a revised simplex on the bins, whose duals price new patterns by
 an unbounded-knapsack dynamic program, until no pattern has a reduced cost below zero. Patterns are rounded down, what is left over
-is packed first-fit by falling length, and pieces are assigned by their rank within their bin.
+is packed best-fit by falling length, and pieces are assigned by their rank within their bin.
 
 At scale: the plan works on the histogram, which has ``length / BIN`` bins however many documents there are. Ranks are
 dealt out in salted groups with carried counts, so that one very common length is no single task. Texts are tokenised in
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import json
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -34,13 +33,12 @@ LENGTH, BIN, END_ID = 2048, 16, 1
 _encoders: dict = {}
 
 
-def encoder(path: str):
-    """A function from a text to its ids, as an array of unsigned 32-bit numbers. Beside the vocabulary file lies the
-    same vocabulary as ranks; the library that reads those gives equal ids (tests hold it to that) nine times as fast,
-    and is used if its file is there. Special tokens that a text spells out get their own ids, as the vocabulary says."""
-    if path not in _encoders:
-        ranks = path.removesuffix(".json") + ".tiktoken"
-        if os.path.exists(ranks):
+def encoder(path: str, ranks: str | None = None):
+    """A function from a text to its ids, as an array of unsigned 32-bit numbers. ``path`` is a vocabulary in JSON, read by
+    ``tokenizers``. With ``ranks``, the same vocabulary as ranks, another library gives the same ids three times as fast;
+    tests hold it to the first one's ids over whole tables. Special tokens that a text spells out get their own ids."""
+    if (path, ranks) not in _encoders:
+        if ranks:
             import public_tokenizers
             import tiktoken
 
@@ -49,23 +47,20 @@ def encoder(path: str):
             with open(path, encoding="utf-8") as f:
                 special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
             fast = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
-            _encoders[path] = lambda text: np.array(fast.encode(text, allowed_special="all"), "<u4")
+            _encoders[path, ranks] = lambda text: np.array(fast.encode(text, allowed_special="all"), "<u4")
         else:
-            _encoders[path] = slow_encoder(path)
-    return _encoders[path]
+            from tokenizers import Tokenizer
 
+            tokenizer = Tokenizer.from_file(path)
+            _encoders[path, ranks] = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    return _encoders[path, ranks]
 
-def slow_encoder(path: str):
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-
-def tokenizer_path() -> str:
+def vocabulary() -> dict[str, str]:
+    """The 50k byte-level vocabulary, and its ranks, as parameters of ``pack_documents``."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return {"path": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
 
 
 # ---------------------------------------------------------------- the plan
@@ -177,14 +172,14 @@ def plan(histogram: dict[int, int], length: int = LENGTH, width: int = BIN) -> t
 # ---------------------------------------------------------------- Spark
 
 
-def token_pieces(df: DataFrame, path: str, *, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
+def token_pieces(df: DataFrame, path: str, ranks: str | None = None, *, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
     """(_id, start, length, ids_crc32, doc_tokens, ids): full sequences and the remainder of each document, in one scan."""
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     names = ["_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, ranks)
         for batch in batches:
             rows: list[tuple] = []
             for i in range(batch.num_rows):
@@ -198,10 +193,10 @@ def token_pieces(df: DataFrame, path: str, *, id_col: str, text_col: str, length
 
 
 def pack_documents(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, width: int = BIN, path: str | None = None, per_salt: int = 20_000
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, width: int = BIN, path: str, ranks: str | None = None, per_salt: int = 20_000
 ) -> DataFrame:
     """(id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece."""
-    pieces = written(token_pieces(df, path or tokenizer_path(), id_col=id_col, text_col=text_col, length=length), "pieces")
+    pieces = written(token_pieces(df, path, ranks, id_col=id_col, text_col=text_col, length=length), "pieces")
     room = length // width
     # full sequences are bin room + 1: they are ranked like the others and take a sequence each
     pieces = pieces.withColumn("_bin", F.when(F.col("length") == length, room + 1).otherwise(F.ceil(F.col("length") / width)).cast("int"))
