@@ -42,6 +42,40 @@ def test_copies_of_a_third_of_a_source(spark):
     assert sorted(left) == [0] + [i for i in range(90) if i % 3]
 
 
+ODD = "doc_id long, text string, source string, n long, h string, again string, _text string, _drop string, comp long, bands string"
+
+
+def odd_rows():
+    long = " ".join(f"word{i % 700} and {i}" for i in range(60_000))
+    given = [(0, None), (1, ""), (2, "banner"), (None, "some text of a null id"), (None, "some text of a null id"), (None, None), (3, long), (4, long), (5, "short text here"), (5, "short text here"), (6, "short text here")]
+    return [(i, t, "s" if k % 3 else None, 1, "h", "a", "t", "d", 2, "b") for k, (i, t) in enumerate(given)]
+
+
+def texts_of(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns, with no labels and no benchmark to go by."""
+    common.ship(spark)
+    docs = spark.createDataFrame(odd_rows(), ODD).repartition(3).cache()
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "line dedup", "decontamination"):
+        out = stages[name](spark, docs, str(tmp_path))
+        assert out.schema == docs.schema and texts_of(out) == texts_of(docs), name
+    left = stages["near-duplicates"](spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert [i for i, _ in texts_of(left)] == [0, 1, 2, 3, 5, None, None]  # 4, 6 and repeated rows go
+    packed = stages["packing"](spark, docs, str(tmp_path)).collect()
+    assert sum(r["start"] == 0 for r in packed) == docs.count() and {r["doc_tokens"] for r in packed if r["doc_id"] in (0, 1)} == {1}
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
 def test_held_out_accuracy(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     found = [r for r in queries.op1_language_id(spark, SF).collect() if r["held_out"]]
