@@ -76,6 +76,7 @@ MASKED = r"\*|[xX]{3,}"
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
+BLANK_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 QUOTED_NUMBER = r"(?<![\w.])\$?\d[\d,]*(?:\.\d{1,2})?(?![\w.])"
 QUOTED_DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|[A-Za-z]+ \d{1,2}, \d{4}"
 # Bounds (fixed values).

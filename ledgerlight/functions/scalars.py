@@ -15,7 +15,7 @@ from ledgerlight.functions import constants as K
 
 def strip(c: Column) -> Column:
     """Without Unicode blanks at either end."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(c, F.lit(K.BLANK_CHARACTERS))
 
 
 def collapse(c: Column) -> Column:
@@ -30,9 +30,10 @@ def normal(c: Column) -> Column:
 
 def money_cents(c: Column) -> Column:
     """Exact cents as DECIMAL(38,0) of a nonnegative dollar amount, else null."""
-    raw = strip(F.regexp_replace(strip(c), r"^\$", ""))
+    given = strip(c)
+    raw = strip(F.when(F.startswith(given, F.lit("$")), F.substring(given, 2, 1 << 30)).otherwise(given))
     ok = (F.length(raw) <= K.MONEY_CHARS) & raw.rlike(K.MONEY)
-    return F.when(ok, (F.regexp_replace(raw, ",", "").try_cast("decimal(20,2)") * 100).cast("decimal(38,0)"))
+    return F.when(ok, (F.replace(raw, F.lit(","), F.lit("")).try_cast("decimal(20,2)") * 100).cast("decimal(38,0)"))
 
 
 def money_text(cents: Column) -> Column:

@@ -36,12 +36,16 @@ def confirmed(facts: DataFrame) -> Column:
 
 def case_rows(documents: DataFrame, facts: DataFrame) -> DataFrame:
     """(case_id, all_docs): documents in order, each a struct with its confirmed values and references."""
+    facts = facts.withColumn("_v", confirmed(facts))
+    # each value's normal form, day and cents are computed once, in generated code; the rules compare plain values
+    facts = facts.withColumns({"_n": normal(F.col("_v")), "_day": F.when(F.col("field").isin(*K.DATE_FIELDS), strict_date(F.col("_v"))), "_cents": F.when(F.col("field").isin(*K.MONEY_FIELDS), money_cents(F.col("_v")))})
+    value = F.when(F.col("_v").isNotNull(), F.struct(F.col("_v").alias("text"), F.col("_n").alias("n"), F.col("_day").alias("day"), F.col("_cents").alias("cents")))
     by_case = facts.groupBy("case_id").agg(
-        F.collect_list(F.struct("doc_ordinal", "field_ordinal", "field", confirmed(facts).alias("v"), (F.col("confirmed") & (F.col("origin") != "document")).alias("own"), (~F.col("confirmed")).alias("pending"))).alias("facts")
+        F.collect_list(F.struct("doc_ordinal", "field_ordinal", "field", value.alias("v"), (F.col("confirmed") & (F.col("origin") != "document")).alias("own"), (~F.col("confirmed")).alias("pending"))).alias("facts")
     )
     docs = documents.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_ordinal").alias("ord"), F.col("doc_id").alias("id"), "kind", "title", "text", "included"))).alias("docs"))
     joined = docs.join(by_case, "case_id", "left")
-    own = lambda d: F.array_sort(F.filter(F.coalesce(F.col("facts"), F.array().cast("array<struct<doc_ordinal:int,field_ordinal:int,field:string,v:string,own:boolean,pending:boolean>>")), lambda f: f["doc_ordinal"] == d["ord"]))
+    own = lambda d: F.array_sort(F.filter(F.coalesce(F.col("facts"), F.array().cast("array<struct<doc_ordinal:int,field_ordinal:int,field:string,v:struct<text:string,n:string,day:date,cents:decimal(38,0)>,own:boolean,pending:boolean>>")), lambda f: f["doc_ordinal"] == d["ord"]))
     step = joined.select("case_id", F.transform("docs", lambda d: F.struct(d.alias("d"), own(d).alias("f"))).alias("pairs"))
 
     def doc(p: Column) -> Column:
@@ -50,7 +54,7 @@ def case_rows(documents: DataFrame, facts: DataFrame) -> DataFrame:
         return F.struct(
             *[p["d"][c].alias(c) for c in ("ord", "id", "kind", "title", "text", "included")],
             F.map_from_entries(F.transform(known, lambda f: F.struct(f["field"], f["v"]))).alias("v"),
-            F.array_sort(F.transform(known, lambda f: F.struct(f["field"], f["v"]))).alias("signature"),
+            F.array_sort(F.transform(known, lambda f: F.struct(f["field"], f["v"]["text"].alias("v")))).alias("signature"),
             F.transform(known, ref).alias("refs"),
             F.transform(F.filter(p["f"], lambda f: f["own"]), ref).alias("corrected"),
             F.size(F.filter(p["f"], lambda f: f["pending"])).alias("pending"),
@@ -61,15 +65,20 @@ def case_rows(documents: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def val(d: Column, key: str) -> Column:
-    return d["v"][key]
+    return d["v"][key]["text"]
+
+
+def plain(d: Column, key: str) -> Column:
+    """Lower-case letters and digits of a value; empty without one."""
+    return F.coalesce(d["v"][key]["n"], F.lit(""))
 
 
 def date(d: Column, key: str) -> Column:
-    return strict_date(val(d, key))
+    return d["v"][key]["day"]
 
 
 def money(d: Column, key: str) -> Column:
-    return money_cents(val(d, key))
+    return d["v"][key]["cents"]
 
 
 def refs(d: Column, *keys: str) -> Column:
@@ -86,14 +95,14 @@ def mismatch(d: Column, anchor: Column) -> Column:
         if key == "account":
             checks.append(F.when(a.rlike(K.MASKED) | b.rlike(K.MASKED), F.lit("Masked account references need manual account verification.")))
         if key == "service_date":
-            x, y = strict_date(a), strict_date(b)
+            x, y = date(d, key), date(anchor, key)
             checks.append(F.when(x.isNull() | y.isNull(), F.lit("Confirm an unambiguous service date in YYYY-MM-DD format.")))
             equal = x == y
         else:
-            equal = (normal(a) != "") & (normal(a) == normal(b))
+            equal = (plain(d, key) != "") & (plain(d, key) == plain(anchor, key))
         checks.append(F.when(~F.coalesce(equal, F.lit(False)), F.lit(f"The confirmed {name} values differ.")))
     a, b = val(d, "claim_id"), val(anchor, "claim_id")
-    checks.append(F.when(a.isNotNull() & b.isNotNull() & (normal(a) != normal(b)), F.lit("The confirmed claim references differ.")))
+    checks.append(F.when(a.isNotNull() & b.isNotNull() & (plain(d, "claim_id") != plain(anchor, "claim_id")), F.lit("The confirmed claim references differ.")))
     return F.coalesce(*checks)
 
 
@@ -149,7 +158,7 @@ def _groups(receipts: Column) -> Column:
     """Receipts linked by a repeated reference or repeated content: arrays of receipts, in order of their first. A fold
     over the case's receipts: each joins, and so joins together, all earlier groups it shares a key with."""
     kind = "array<struct<i:int,root:int,ref:string,content:string>>"
-    keys = F.transform(receipts, lambda d, i: F.struct(i.alias("i"), F.nullif(normal(val(d, "payment_reference")), F.lit("")).alias("ref"), F.nullif(collapse(d["text"]), F.lit("")).alias("content")))
+    keys = F.transform(receipts, lambda d, i: F.struct(i.alias("i"), F.nullif(plain(d, "payment_reference"), F.lit("")).alias("ref"), F.nullif(collapse(d["text"]), F.lit("")).alias("content")))
 
     def add(state: Column, x: Column) -> Column:
         shares = lambda h: F.coalesce(h["ref"] == x["ref"], F.lit(False)) | F.coalesce(h["content"] == x["content"], F.lit(False))
@@ -167,7 +176,7 @@ def _signature(d: Column) -> Column:
     def part(k: str) -> Column:
         if k == "payment_amount":
             return F.coalesce(money(d, k).cast("string"), F.lit("?"))
-        n = normal(val(d, k))
+        n = plain(d, k)
         return F.when(n.isin(*K.SETTLED), F.lit("settled")).otherwise(n) if k == "payment_status" else n
 
     return F.concat_ws("|", *[part(k) for k in PAYMENT_KEYS])
@@ -182,7 +191,7 @@ def _receipt_state(r: Column, bill: Column, notice: Column, ambiguous: Column) -
     state = (
         F.when(F.array_contains(ambiguous, r["id"]), "ambiguous")
         .when(why.isNotNull(), "unmatched")
-        .when(~normal(val(r, "payment_status")).isin(*K.SETTLED), "unsettled")
+        .when(~plain(r, "payment_status").isin(*K.SETTLED), "unsettled")
         .when(bad, "untimely")
         .when(paid < bill_date, "earlier")
         .otherwise("applied")
@@ -227,11 +236,11 @@ def reconcile(documents: DataFrame, facts: DataFrame) -> DataFrame:
     # payments
     df = df.withColumn("receipts", F.when(reached, F.filter("docs", lambda d: d["kind"] == "receipt")))
     df = df.withColumn("groups", F.when(reached, _groups(F.col("receipts"))))
-    raw_refs = lambda g: F.array_distinct(F.transform(F.filter(g, lambda d: val(d, "payment_reference").isNotNull()), lambda d: normal(val(d, "payment_reference"))))
+    raw_refs = lambda g: F.array_distinct(F.transform(F.filter(g, lambda d: val(d, "payment_reference").isNotNull()), lambda d: plain(d, "payment_reference")))
     clash = lambda g: (F.size(raw_refs(g)) > 1) | (F.size(F.array_distinct(F.transform(g, _signature))) > 1)
     df = df.withColumn("groups", F.transform("groups", lambda g: F.struct(g.alias("members"), clash(g).alias("conflict"))))
     df = df.withColumn("payments", F.transform(F.filter("groups", lambda g: ~g["conflict"]), lambda g: g["members"][0]))
-    identity = lambda d: F.concat_ws("|", *[normal(val(d, k)) for k in (*K.IDENTITY, "payment_date")], F.coalesce(money(d, "payment_amount").cast("string"), F.lit("?")))
+    identity = lambda d: F.concat_ws("|", *[plain(d, k) for k in (*K.IDENTITY, "payment_date")], F.coalesce(money(d, "payment_amount").cast("string"), F.lit("?")))
     df = df.withColumn("prints", F.transform("payments", identity))
     alike = lambda p: F.filter("payments", lambda d: identity(d) == p)
     df = df.withColumn("collisions", F.filter(F.transform(F.array_distinct("prints"), alike), lambda g: (F.size(g) > 1) & F.exists(g, lambda d: val(d, "payment_reference").isNull())))

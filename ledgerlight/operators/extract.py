@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from ledgerlight.functions import constants as K
 from ledgerlight.functions.scalars import barrier, normalize_value, strip, supported_value
 
-_SPLIT = r"(?sU)^(.*?)[\s\x1c-\x1f]*[:=][\s\x1c-\x1f]*(.*)\z"
-
-
 def _map(items: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in items.items() for x in kv])
 
@@ -37,15 +34,26 @@ def lines(text: Column) -> Column:
 
 
 def labelled(text: Column, kind: Column) -> Column:
-    """Array of (pos, page, raw, field, value): lines that name a known field and have a value; value is null if it can't be one."""
+    """Array of (pos, page, raw, field, given): lines that name a known field, up to their first colon or equals sign, and
+    have text behind it."""
+
+    def cut(x: Column, i: Column) -> Column:
+        raw = x["raw"]
+        colon, equals = F.locate(":", raw), F.locate("=", raw)
+        at = F.when((colon > 0) & (equals > 0), F.least(colon, equals)).otherwise(F.greatest(colon, equals))
+        return F.struct(i.alias("pos"), x["page"].alias("page"), raw.alias("raw"), at.alias("at"))
+
+    def parse(x: Column) -> Column:
+        label = F.lower(strip(F.substring(x["raw"], F.lit(1), x["at"] - 1)))
+        return F.struct(x["pos"], x["page"], x["raw"], alias_key(label, kind).alias("field"), strip(F.substring(x["raw"], x["at"] + 1, F.length(x["raw"]))).alias("given"))
+
+    parsed = F.transform(F.filter(F.transform(lines(text), cut), lambda x: x["at"] > 0), parse)
+    return F.filter(parsed, lambda x: x["field"].isNotNull() & (x["given"] != ""))
 
-    def parse(x: Column, i: Column) -> Column:
-        line = strip(x["raw"])
-        label = F.lower(strip(F.regexp_extract(line, _SPLIT, 1)))
-        return F.struct(i.alias("pos"), x["page"].alias("page"), x["raw"].alias("raw"), F.when(line.rlike("[:=]"), alias_key(label, kind)).alias("field"), F.regexp_extract(line, _SPLIT, 2).alias("given"))
 
-    parsed = F.filter(F.transform(lines(text), parse), lambda x: x["field"].isNotNull() & (strip(x["given"]) != ""))
-    return F.transform(parsed, lambda x: F.struct(x["pos"], x["page"], x["raw"], x["field"], normalize_value(x["field"], x["given"]).alias("value")))
+def valued(entries: Column) -> Column:
+    """Entries of ``labelled`` with the value of what is given; null if it can't be one."""
+    return F.transform(entries, lambda x: F.struct(x["pos"], x["page"], x["raw"], x["field"], normalize_value(x["field"], x["given"]).alias("value")))
 
 
 def _judged(entries: str, good, quote: str) -> dict[str, Column]:
@@ -69,7 +77,7 @@ def _text_sorted(notes: Column) -> Column:
 def local_fields(docs: DataFrame) -> DataFrame:
     """Adds fields (array of field, value, quote, page) and warnings to documents with text and kind."""
     labels = _map(dict(K.FIELD_LABELS))
-    out = docs.withColumn("_lines", labelled(F.col("text"), F.col("kind")))
+    out = docs.withColumn("_lines", valued(labelled(F.col("text"), F.col("kind"))))
     out = out.withColumn("_seen", _judged("_lines", lambda x: x["value"].isNotNull(), "raw"))
     clash_of = F.map_from_entries(F.transform("_seen", lambda h: F.struct(h["field"], h["clash"])))
     out = out.withColumn("_clash", clash_of)
