@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +72,57 @@ def html_escape(c: Column) -> Column:
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")), c)
 
 
-def narrative_hash(c: Column) -> Column:
-    return F.sha2(collapse(F.lower(c)), 256)
+def narrative_hash(c: Column, strict: bool = False) -> Column:
+    """SHA-256 of a text without regard to case and runs of blanks. ``strict`` folds case fully (so that a sharp s equals
+    two), in Arrow batches; else letters are lower-cased in the JVM."""
+    return F.sha2(collapse(_case_folded()(c) if strict else F.lower(c)), 256)
+
+
+def _case_folded():
+    @F.pandas_udf("string")
+    def fold(text: pd.Series) -> pd.Series:
+        return text.str.casefold()
+
+    return fold
+
+
+def dollar_escape(c: Column) -> Column:
+    """Text for markdown, in which a dollar sign would begin a formula."""
+    return F.replace(c, F.lit("$"), F.lit("\\$"))
+
+
+def field_problem(key: Column, value: Column) -> Column:
+    """What is the matter with a value that a user enters for a field; null if nothing. Dates may also be written without
+    hyphens; the rules only read those with them, so such a date is accepted here and unknown there."""
+    day = F.coalesce(strict_date(value), F.when(value.rlike("^[0-9]{8}\\z"), F.try_to_date(value, "yyyyMMdd")))
+    return F.when(key.isin(*K.MONEY_FIELDS) & money_cents(value).isNull(), "Use an exact nonnegative dollar amount.").when(
+        key.isin(*K.DATE_FIELDS) & day.isNull(), "Use YYYY-MM-DD for dates; leave unknown dates blank."
+    )
+
+
+def overlay(base: Column, own: Column) -> Column:
+    """A map with the entries of both; where a key is in both, the second one's value counts."""
+    return F.map_concat(F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(own), k)), own)
+
+
+def register(spark) -> list[str]:
+    """Scalars as SQL functions of a session, for queries in SQL: names of them. Bodies are SQL, so they are planned like
+    built-in functions."""
+    blanks = "".join(f"\\u{ord(c):04x}" for c in K.BLANK_CHARACTERS)
+    stripped = f"btrim(x, '{blanks}')"
+    bare = f"btrim(if(startswith({stripped}, '$'), substring({stripped}, 2), {stripped}), '{blanks}')"
+    bodies = {
+        "ll_strip(x STRING) RETURNS STRING": stripped,
+        "ll_normal(x STRING) RETURNS STRING": "regexp_replace(lower(coalesce(x, '')), '[^a-z0-9]', '')",
+        "ll_money_cents(x STRING) RETURNS DECIMAL(38,0)": f"if(length({bare}) <= {K.MONEY_CHARS} and rlike({bare}, r'{K.MONEY}'), cast(try_cast(replace({bare}, ',', '') as decimal(20,2)) * 100 as decimal(38,0)), null)",
+        "ll_dollars(x DECIMAL(38,0)) RETURNS STRING": "coalesce(concat('$', format_number(cast(cast(x as decimal(30,0)) / 100 as decimal(32,2)), 2)), 'Unknown')",
+        "ll_strict_date(x STRING) RETURNS DATE": f"if(rlike(x, r'{K.ISO_DATE}'), try_to_date(x, 'yyyy-MM-dd'), null)",
+        "ll_html_escape(x STRING) RETURNS STRING": "replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\\'', '&#x27;')",
+        "ll_narrative_hash(x STRING) RETURNS STRING": f"sha2(btrim(regexp_replace(lower(x), r'{K.BLANKS}', ' '), '{blanks}'), 256)",
+    }
+    for head, body in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    return [head.partition("(")[0] for head in bodies]
 
 
 def supported_value(key: Column, value: Column, quote: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import constants as K
+from ledgerlight.functions import wording as W
 from ledgerlight.functions.scalars import barrier, collapse, dollars, money_cents, normal, strict_date, strip
 
 BILL_AMOUNTS = ("charges", "adjustments", "insurer_paid", "patient_paid", "balance")
@@ -93,16 +94,16 @@ def mismatch(d: Column, anchor: Column) -> Column:
         a, b, name = val(d, key), val(anchor, key), key.replace("_", " ")
         checks.append(F.when(a.isNull() | b.isNull(), F.lit(f"Confirm {name} on both records.")))
         if key == "account":
-            checks.append(F.when(a.rlike(K.MASKED) | b.rlike(K.MASKED), F.lit("Masked account references need manual account verification.")))
+            checks.append(F.when(a.rlike(K.MASKED) | b.rlike(K.MASKED), F.lit(W.MASKED_ACCOUNT_REFERENCES_NEED_MANUAL)))
         if key == "service_date":
             x, y = date(d, key), date(anchor, key)
-            checks.append(F.when(x.isNull() | y.isNull(), F.lit("Confirm an unambiguous service date in YYYY-MM-DD format.")))
+            checks.append(F.when(x.isNull() | y.isNull(), F.lit(W.CONFIRM_AN_UNAMBIGUOUS_SERVICE_DATE)))
             equal = x == y
         else:
             equal = (plain(d, key) != "") & (plain(d, key) == plain(anchor, key))
         checks.append(F.when(~F.coalesce(equal, F.lit(False)), F.lit(f"The confirmed {name} values differ.")))
     a, b = val(d, "claim_id"), val(anchor, "claim_id")
-    checks.append(F.when(a.isNotNull() & b.isNotNull() & (plain(d, "claim_id") != plain(anchor, "claim_id")), F.lit("The confirmed claim references differ.")))
+    checks.append(F.when(a.isNotNull() & b.isNotNull() & (plain(d, "claim_id") != plain(anchor, "claim_id")), F.lit(W.THE_CONFIRMED_CLAIM_REFERENCES_DIFFER)))
     return F.coalesce(*checks)
 
 
@@ -140,13 +141,13 @@ def _selected(df: DataFrame, kind: str, name: str) -> DataFrame:
     other = F.get("_c", F.col("_at") - 1)
     df = df.withColumn("_copies", copies)
     found = joined(
-        only(F.size("_c") == 0, finding("insufficient_itemization", f"Add a {kind} record", "A confirmed provider bill and collection balance are needed for account arithmetic.")),
-        flat(F.col("_copies"), lambda d: finding("duplicate_document", "Duplicate statement counted once", "These records have the same confirmed facts.", F.concat(refs(first, "balance"), refs(d, "balance")), "info")),
+        only(F.size("_c") == 0, finding("insufficient_itemization", f"Add a {kind} record", W.A_CONFIRMED_PROVIDER_BILL_AND)),
+        flat(F.col("_copies"), lambda d: finding("duplicate_document", W.DUPLICATE_STATEMENT_COUNTED_ONCE, W.THESE_RECORDS_HAVE_THE_SAME, F.concat(refs(first, "balance"), refs(d, "balance")), "info")),
         only(
             F.col("_at") > 0,
             finding(
                 "conflicting_documents", f"Multiple {kind} records need review",
-                "The included versions contain different confirmed facts. Select one applicable statement or resolve the differences; the engine does not guess which is final.",
+                W.THE_INCLUDED_VERSIONS_CONTAIN_DIFFERENT,
                 F.concat(first["refs"], F.coalesce(other["refs"], F.array().cast(NONE))),
             ),
         ),
@@ -270,34 +271,34 @@ def _results(df: DataFrame, ok) -> DataFrame:
     b, n, reached, past = F.col("bill"), F.col("notice"), F.col("stop") == 99, lambda k: F.col("stop") > k
     ident = (*K.IDENTITY, "claim_id")
     early = joined(
-        only(F.col("duplicate_ids"), finding("conflicting_documents", "Document identifiers must be unique", "Two included records share an identifier. Resolve this before linking evidence.")),
+        only(F.col("duplicate_ids"), finding("conflicting_documents", W.DOCUMENT_IDENTIFIERS_MUST_BE_UNIQUE, W.TWO_INCLUDED_RECORDS_SHARE_AN)),
         only(
             past(2) & (F.size("corrected") > 0),
-            finding("user_corrected_facts", "Using your confirmed corrections", "These values were corrected by the user. Original document quotes remain available; check each corrected value against the record before sharing the packet.", F.col("corrected"), "info"),
+            finding("user_corrected_facts", W.USING_YOUR_CONFIRMED_CORRECTIONS, W.THESE_VALUES_WERE_CORRECTED_BY, F.col("corrected"), "info"),
         ),
         F.when(past(2), F.concat("notice_findings", "bill_findings")).otherwise(F.array().cast(FINDING)),
-        only(F.col("stop") == 5, finding("ambiguous_document_match", "Bill and collection notice do not securely match", F.col("bill_notice_reason"), F.concat(refs(b, *ident), refs(n, *ident)))),
+        only(F.col("stop") == 5, finding("ambiguous_document_match", W.BILL_AND_COLLECTION_NOTICE_DO, F.col("bill_notice_reason"), F.concat(refs(b, *ident), refs(n, *ident)))),
         only(
             F.col("stop") == 6,
             finding(
-                "ambiguous_document_dates", "Confirm the document timeline",
-                "Use YYYY-MM-DD dates. The service must precede the bill, and the bill cannot postdate the collection notice used in this comparison.",
+                "ambiguous_document_dates", W.CONFIRM_THE_DOCUMENT_TIMELINE,
+                W.USE_YYYY_MM_DD_DATES,
                 F.concat(refs(b, "service_date", "statement_date"), refs(n, "statement_date")),
             ),
         ),
         only(
             F.col("stop") == 7,
             finding(
-                "insufficient_itemization", "Confirm the account amounts",
-                F.concat(F.lit("Missing, unconfirmed or invalid: "), F.array_join("missing_amounts", ", "), F.lit(". Enter exact nonnegative dollar amounts; do not assume omitted payments are zero.")),
+                "insufficient_itemization", W.CONFIRM_THE_ACCOUNT_AMOUNTS,
+                F.concat(F.lit(W.MISSING_UNCONFIRMED_OR_INVALID), F.array_join("missing_amounts", ", "), F.lit(W.ENTER_EXACT_NONNEGATIVE_DOLLAR_AMOUNTS)),
                 F.concat(refs(b, *BILL_AMOUNTS), refs(n, "balance")),
             ),
         ),
         only(
             F.col("stop") == 8,
             finding(
-                "amount_mismatch", "The provider statement does not reconcile",
-                F.concat(F.lit("Charges minus adjustments, posted insurer payments and posted patient payments equal "), dollars(F.col("expected")), F.lit("; the statement reports "), dollars(F.col("m_balance")), F.lit(". Request an itemized ledger before applying additional payments.")),
+                "amount_mismatch", W.THE_PROVIDER_STATEMENT_DOES_NOT,
+                F.concat(F.lit(W.CHARGES_MINUS_ADJUSTMENTS_POSTED_INSURER), dollars(F.col("expected")), F.lit(W.THE_STATEMENT_REPORTS), dollars(F.col("m_balance")), F.lit(W.REQUEST_AN_ITEMIZED_LEDGER_BEFORE)),
                 refs(b, *BILL_AMOUNTS),
             ),
         ),
@@ -306,13 +307,13 @@ def _results(df: DataFrame, ok) -> DataFrame:
     def eob_findings(e: Column) -> Column:
         d = e["d"]
         return joined(
-            finding("eob_is_not_payment_proof", "Insurance responsibility is not patient payment evidence", "An EOB describes insurance processing and patient responsibility. No patient payment is subtracted from the EOB.", refs(d, "patient_responsibility", "insurer_paid"), "info"),
-            only(~ok(e), finding("ambiguous_document_match", "Insurance record needs matching review", F.coalesce(e["why"], F.lit("Confirm whether this dated insurance record applies to this collection balance.")), refs(d, *ident, "statement_date"))),
+            finding("eob_is_not_payment_proof", W.INSURANCE_RESPONSIBILITY_IS_NOT_PATIENT, W.AN_EOB_DESCRIBES_INSURANCE_PROCESSING, refs(d, "patient_responsibility", "insurer_paid"), "info"),
+            only(~ok(e), finding("ambiguous_document_match", W.INSURANCE_RECORD_NEEDS_MATCHING_REVIEW, F.coalesce(e["why"], F.lit(W.CONFIRM_WHETHER_THIS_DATED_INSURANCE)), refs(d, *ident, "statement_date"))),
             flat(
                 e["conflicts"],
                 lambda k: finding(
-                    "conflicting_documents", "Insurance and provider amounts differ",
-                    F.concat(F.lit("The insurance "), F.replace(k, F.lit("_"), F.lit(" ")), F.lit(" does not agree with the provider's posted accounting. This may involve a revision or posting delay; resolve it first.")),
+                    "conflicting_documents", W.INSURANCE_AND_PROVIDER_AMOUNTS_DIFFER,
+                    F.concat(F.lit("The insurance "), F.replace(k, F.lit("_"), F.lit(" ")), F.lit(W.DOES_NOT_AGREE_WITH_THE)),
                     F.concat(F.array(F.concat(d["id"], F.lit("."), k)), refs(b, *BILL_AMOUNTS)),
                 ),
             ),
@@ -324,39 +325,39 @@ def _results(df: DataFrame, ok) -> DataFrame:
         return F.when(
             g["conflict"],
             finding(
-                "conflicting_payment_evidence", "Payment records conflict",
-                "Records for the same payment reference or content disagree about amount, date, identity or status. A reversal or corrected receipt must be resolved before subtraction.",
+                "conflicting_payment_evidence", W.PAYMENT_RECORDS_CONFLICT,
+                W.RECORDS_FOR_THE_SAME_PAYMENT,
                 F.flatten(F.transform(m, lambda d: refs(d, *PAYMENT_KEYS, "payment_reference"))),
             ),
         ).otherwise(
-            flat(copies, lambda d: finding("duplicate_payment_evidence", "Same payment counted once", "The payment reference or identical receipt content repeats; its amount is not added again.", F.concat(refs(m[0], "payment_reference", "payment_amount"), refs(d, "payment_reference", "payment_amount")), "info"))
+            flat(copies, lambda d: finding("duplicate_payment_evidence", W.SAME_PAYMENT_COUNTED_ONCE, W.THE_PAYMENT_REFERENCE_OR_IDENTICAL, F.concat(refs(m[0], "payment_reference", "payment_amount"), refs(d, "payment_reference", "payment_amount")), "info"))
         )
 
     def collision_finding(g: Column) -> Column:
         return finding(
-            "ambiguous_payment_identity", "Possible duplicate payment records",
-            "The same account, amount and payment date appear on multiple documents without distinct confirmed transaction references. Confirm whether these are separate payments.",
+            "ambiguous_payment_identity", W.POSSIBLE_DUPLICATE_PAYMENT_RECORDS,
+            W.THE_SAME_ACCOUNT_AMOUNT_AND,
             F.flatten(F.transform(g, lambda d: refs(d, "payment_amount", "payment_date", "payment_reference"))),
         )
 
     def receipt_findings(j: Column) -> Column:
         r, s = j["r"], j["state"]
         return (
-            F.when(s == "unmatched", finding("ambiguous_document_match", "Receipt cannot be applied to this account", j["why"], F.concat(refs(r, *ident), refs(b, *ident))))
-            .when(s == "unsettled", finding("payment_not_settled", "Payment status does not support subtraction", "The payment is reversed, unsuccessful, pending or lacks a confirmed completed status. Obtain the current transaction record.", j["refs"]))
+            F.when(s == "unmatched", finding("ambiguous_document_match", W.RECEIPT_CANNOT_BE_APPLIED_TO, j["why"], F.concat(refs(r, *ident), refs(b, *ident))))
+            .when(s == "unsettled", finding("payment_not_settled", W.PAYMENT_STATUS_DOES_NOT_SUPPORT, W.THE_PAYMENT_IS_REVERSED_UNSUCCESSFUL, j["refs"]))
             .when(
                 s == "untimely",
                 finding(
-                    "ambiguous_payment_timing", "Payment amount or timing needs review",
-                    "Confirm the amount and YYYY-MM-DD payment date. A payment must follow the service; same-day ordering is unknown, and a payment on/after the notice cannot establish that the notice missed an earlier payment. A receipt issue date cannot precede its reported payment date.",
+                    "ambiguous_payment_timing", W.PAYMENT_AMOUNT_OR_TIMING_NEEDS,
+                    W.CONFIRM_THE_AMOUNT_AND_YYYY,
                     F.concat(j["refs"], refs(r, "statement_date"), refs(b, "statement_date"), refs(n, "statement_date")),
                 ),
             )
             .when(
                 s == "earlier",
                 finding(
-                    "payment_already_in_statement", "Earlier payment not subtracted again",
-                    "This receipt predates the provider statement. The statement's posted-payment total is the baseline; confirm individual payment allocation in the provider ledger.",
+                    "payment_already_in_statement", W.EARLIER_PAYMENT_NOT_SUBTRACTED_AGAIN,
+                    W.THIS_RECEIPT_PREDATES_THE_PROVIDER,
                     F.concat(j["refs"], refs(b, "patient_paid")), "info",
                 ),
             )
@@ -366,37 +367,37 @@ def _results(df: DataFrame, ok) -> DataFrame:
     closed = F.coalesce(F.col("supported").isNotNull(), F.lit(False))
     late = joined(
         flat(F.col("eobs"), eob_findings),
-        only(F.size("receipts") == 0, finding("missing_payment_evidence", "Payment receipt needed", "No included payment receipt supports a patient payment. The EOB alone cannot show that the patient paid. Add a matching completed-payment record.", refs(b, "balance"))),
+        only(F.size("receipts") == 0, finding("missing_payment_evidence", W.PAYMENT_RECEIPT_NEEDED, W.NO_INCLUDED_PAYMENT_RECEIPT_SUPPORTS, refs(b, "balance"))),
         flat(F.col("groups"), group_findings),
         flat(F.col("collisions"), collision_finding),
         flat(F.col("judged"), receipt_findings),
         only(
             F.col("earlier") > F.col("m_patient_paid"),
             finding(
-                "unresolved_payment_allocation", "Earlier receipts exceed posted patient payments",
-                "The earlier receipts cannot all be accounted for by the statement's posted patient payments. Request a transaction ledger; do not subtract them again by assumption.",
+                "unresolved_payment_allocation", W.EARLIER_RECEIPTS_EXCEED_POSTED_PATIENT,
+                W.THE_EARLIER_RECEIPTS_CANNOT_ALL,
                 F.concat("earlier_refs", refs(b, "patient_paid")),
             ),
         ),
         only(
             F.col("remaining") < 0,
             finding(
-                "payment_exceeds_statement_balance", "Payments exceed the statement balance",
-                "Matching receipts exceed the balance in this statement. Allocation, refunds, reversals or other charges need review; this calculation does not establish an account credit.",
+                "payment_exceeds_statement_balance", W.PAYMENTS_EXCEED_THE_STATEMENT_BALANCE,
+                W.MATCHING_RECEIPTS_EXCEED_THE_BALANCE,
                 F.concat("applied_refs", refs(b, "balance")),
             ),
         ),
         only(
             F.col("uncertain"),
-            finding("reconciliation_incomplete", "Resolve the highlighted evidence before comparing balances", "A final supported balance is withheld because included records have unresolved identity, timing, status or accounting questions. Subtotals are not a debt-validity determination."),
+            finding("reconciliation_incomplete", W.RESOLVE_THE_HIGHLIGHTED_EVIDENCE_BEFORE, W.A_FINAL_SUPPORTED_BALANCE_IS),
         ),
         F.when(
             closed & (F.col("difference") > 0) & (F.col("applied") != 0),
             finding(
-                "possible_uncredited_payment", "A payment may not be reflected in the collection balance",
+                "possible_uncredited_payment", W.A_PAYMENT_MAY_NOT_BE,
                 F.concat(
-                    F.lit("The matching completed receipt(s) show "), dollars(F.col("applied")), F.lit(" paid after the provider statement and before the notice. Supplied-record arithmetic gives "), dollars(F.col("supported")),
-                    F.lit(", while the notice requests "), dollars(F.col("collection_known")), F.lit(". Request an updated itemized ledger and confirmation of payment allocation; later reversals or account activity are not established by these records."),
+                    F.lit(W.THE_MATCHING_COMPLETED_RECEIPT_S), dollars(F.col("applied")), F.lit(W.PAID_AFTER_THE_PROVIDER_STATEMENT), dollars(F.col("supported")),
+                    F.lit(W.WHILE_THE_NOTICE_REQUESTS), dollars(F.col("collection_known")), F.lit(W.REQUEST_AN_UPDATED_ITEMIZED_LEDGER),
                 ),
                 F.concat("applied_refs", refs(b, "balance", "statement_date"), refs(n, "balance", "statement_date")),
             ),
@@ -404,16 +405,16 @@ def _results(df: DataFrame, ok) -> DataFrame:
         .when(
             closed & (F.col("difference") != 0),
             finding(
-                "amount_mismatch", "The supplied balances differ",
-                F.concat(F.lit("The notice requests "), dollars(F.col("collection_known")), F.lit("; the supplied-record calculation is "), dollars(F.col("supported")), F.lit(". Ask for the transactions explaining this difference.")),
+                "amount_mismatch", W.THE_SUPPLIED_BALANCES_DIFFER,
+                F.concat(F.lit(W.THE_NOTICE_REQUESTS), dollars(F.col("collection_known")), F.lit(W.THE_SUPPLIED_RECORD_CALCULATION_IS), dollars(F.col("supported")), F.lit(W.ASK_FOR_THE_TRANSACTIONS_EXPLAINING)),
                 F.concat(refs(b, "balance"), refs(n, "balance"), F.col("applied_refs")),
             ),
         )
         .when(
             closed & (F.size("receipts") > 0),
             finding(
-                "no_discrepancy_detected_in_supplied_records", "Supplied amounts reconcile",
-                "No balance discrepancy was detected in these confirmed records. This does not verify the current account ledger, later activity or legal liability.",
+                "no_discrepancy_detected_in_supplied_records", W.SUPPLIED_AMOUNTS_RECONCILE,
+                W.NO_BALANCE_DISCREPANCY_WAS_DETECTED,
                 F.concat(refs(b, "balance"), refs(n, "balance"), F.col("applied_refs")), "info",
             ),
         )
@@ -421,13 +422,13 @@ def _results(df: DataFrame, ok) -> DataFrame:
     )
     df = df.withColumns({"early_findings": early, "late_findings": F.when(reached, late).otherwise(F.array().cast(FINDING))})
     signed = joined(
-        *[entry(label, sign * F.col(f"m_{k}"), refs(b, k)) for k, label, sign in (("charges", "Provider charges", 1), ("adjustments", "Contractual adjustment", -1), ("insurer_paid", "Posted insurer payment", -1), ("patient_paid", "Patient payments already posted", -1))],
-        entry("Provider statement balance", F.col("m_balance"), refs(b, "balance")),
+        *[entry(label, sign * F.col(f"m_{k}"), refs(b, k)) for k, label, sign in (("charges", "Provider charges", 1), ("adjustments", W.CONTRACTUAL_ADJUSTMENT, -1), ("insurer_paid", W.POSTED_INSURER_PAYMENT, -1), ("patient_paid", W.PATIENT_PAYMENTS_ALREADY_POSTED, -1))],
+        entry(W.PROVIDER_STATEMENT_BALANCE, F.col("m_balance"), refs(b, "balance")),
     )
     ledger = joined(
         only(past(7), signed, LEDGER),
-        flat(F.filter("judged", lambda j: j["state"] == "applied"), lambda j: entry("Matching completed payment after statement", -j["cents"], j["refs"]), LEDGER),
-        only(closed, entry("Balance supported by supplied records", F.col("supported"), F.concat(refs(b, "balance"), F.col("applied_refs"))), LEDGER),
+        flat(F.filter("judged", lambda j: j["state"] == "applied"), lambda j: entry(W.MATCHING_COMPLETED_PAYMENT_AFTER_STATEMENT, -j["cents"], j["refs"]), LEDGER),
+        only(closed, entry(W.BALANCE_SUPPORTED_BY_SUPPLIED_RECORDS, F.col("supported"), F.concat(refs(b, "balance"), F.col("applied_refs"))), LEDGER),
     )
     ids = lambda rows, f: F.coalesce(F.transform(rows, f), F.array().cast(NONE))
     matched = joined(

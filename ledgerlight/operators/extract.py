@@ -124,3 +124,23 @@ def document_ids(docs: DataFrame) -> DataFrame:
     plain = F.concat(F.lit("doc-"), F.substring(F.sha2(F.concat("kind", "text"), 256), 1, 12))
     rank = F.row_number().over(Window.partitionBy("case_id", "plain_id").orderBy("doc_ordinal"))
     return docs.withColumn("plain_id", plain).withColumn("_k", rank).withColumns({"new_id": F.when(F.col("_k") == 1, F.col("plain_id")).otherwise(F.concat("plain_id", F.lit("-"), (F.col("doc_ordinal") + 1).cast("string"))), "title": F.substring("title", 1, 180)}).drop("_k", "plain_id")
+
+
+METHODS = {"local": "Local labeled-field parser", "proposals": "Structured extraction, validated"}
+
+
+def extract_documents(docs: DataFrame, method: str = "local") -> DataFrame:
+    """Documents (case_id, doc_ordinal, kind, title, text; with ``proposals`` also proposals) with new_id, a cut title,
+    fields, warnings, the method's name and a problem. A document with a problem has neither fields nor warnings; no fact is
+    confirmed before review."""
+    if method not in METHODS:
+        raise ValueError(f"Choose one of {', '.join(METHODS)}.")
+    size = F.length("text")
+    problem = (
+        F.when(~F.coalesce(F.col("kind").isin(*K.KINDS), F.lit(False)), "Choose one supported document type.")
+        .when(F.coalesce(strip(F.col("text")) == "", F.lit(True)) | (size > K.UPLOAD_CHARS), f"Provide between 1 and {K.UPLOAD_CHARS:,} characters of document text.")
+    )
+    found = local_fields(docs) if method == "local" else validated_fields(docs)
+    found = document_ids(found.withColumn("problem", problem))
+    usable = F.col("problem").isNull()
+    return found.withColumns({"fields": F.when(usable, F.col("fields")), "warnings": F.when(usable, F.col("warnings")), "extraction_method": F.lit(METHODS[method])})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import constants as K
+from ledgerlight.functions import wording as W
 from ledgerlight.functions.scalars import dollars, html_escape
 
 LETTER_CODES = ("possible_uncredited_payment", "amount_mismatch", "insufficient_itemization", "ambiguous_document_match", "missing_payment_evidence", "user_corrected_facts")
@@ -28,16 +29,16 @@ def single_confirmed(documents: DataFrame, facts: DataFrame, kind: str, key: str
 def letter_text(result: DataFrame, documents: DataFrame, facts: DataFrame, *, as_of: str, recipient: str = "provider") -> DataFrame:
     """(case_id, letter). The date is given, so that a letter can be made again."""
     if recipient not in RECIPIENTS:
-        raise ValueError("Choose provider or collector.")
+        raise ValueError(W.CHOOSE_PROVIDER_OR_COLLECTOR)
     account = single_confirmed(documents, facts, "collection", "account").withColumnRenamed("value", "account")
     provider = single_confirmed(documents, facts, "bill", "provider").withColumnRenamed("value", "provider")
     rows = result.select("case_id", "findings", "collection_cents").join(account, "case_id", "left").join(provider, "case_id", "left")
     if recipient == "provider":
         greeting = F.concat(F.lit("To the billing team"), F.coalesce(F.concat(F.lit(" at "), F.nullif("provider", F.lit(""))), F.lit("")), F.lit(","))
-        opening = "I am requesting a review of my account and a current, itemized billing ledger."
+        opening = W.I_AM_REQUESTING_A_REVIEW
     else:
-        greeting = F.lit("To the debt collector,")
-        opening = "I am writing about your collection notice. I dispute the balance as presented and request verification and an itemized explanation of how it was calculated."
+        greeting = F.lit(W.TO_THE_DEBT_COLLECTOR)
+        opening = W.I_AM_WRITING_ABOUT_YOUR
     useful = F.filter("findings", lambda f: f["code"].isin(*LETTER_CODES))
     bullet = lambda f: F.concat(F.lit("- "), f["detail"], F.when(F.size(f["refs"]) > 0, F.concat(F.lit(" [Evidence: "), F.array_join(f["refs"], ", "), F.lit("]"))).otherwise(F.lit("")))
     some = lambda c, *parts: F.when(c, F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise(F.array().cast("array<string>"))
@@ -45,15 +46,15 @@ def letter_text(result: DataFrame, documents: DataFrame, facts: DataFrame, *, as
     body = F.flatten(
         F.array(
             some(always, as_of, "", greeting, "", opening),
-            some(F.coalesce(F.col("account") != "", F.lit(False)), "", F.concat(F.lit("Account reference shown on the notice: "), F.col("account"), F.lit("."))),
-            some(F.col("collection_cents").isNotNull(), F.concat(F.lit("The supplied collection notice requests "), dollars(F.col("collection_cents")), F.lit("."))),
-            some(F.size(useful) > 0, "", "The following points need clarification based on the attached records:"),
+            some(F.coalesce(F.col("account") != "", F.lit(False)), "", F.concat(F.lit(W.ACCOUNT_REFERENCE_SHOWN_ON_THE), F.col("account"), F.lit("."))),
+            some(F.col("collection_cents").isNotNull(), F.concat(F.lit(W.THE_SUPPLIED_COLLECTION_NOTICE_REQUESTS), dollars(F.col("collection_cents")), F.lit("."))),
+            some(F.size(useful) > 0, "", W.THE_FOLLOWING_POINTS_NEED_CLARIFICATION),
             F.transform(useful, bullet),
             some(
                 always, "",
-                "Please identify the original provider, account, and dates of service, and explain how the balance reflects contractual adjustments, insurance payments, patient payments, and any reversals. Please confirm how the attached payment records were allocated.",
-                "", "This request is based on the records currently available to me; please provide any missing or updated account information so the discrepancy can be reconciled.",
-                "", "Sincerely,", "[Your name]", "[Your preferred reply address]",
+                W.PLEASE_IDENTIFY_THE_ORIGINAL_PROVIDER,
+                "", W.THIS_REQUEST_IS_BASED_ON,
+                "", "Sincerely,", "[Your name]", W.YOUR_PREFERRED_REPLY_ADDRESS,
             ),
         )
     )
@@ -76,7 +77,7 @@ def fact_rows(documents: DataFrame, facts: DataFrame) -> DataFrame:
     docs = documents.where("included").select("case_id", "doc_ordinal", "doc_id")
     rows = facts.where("confirmed").join(docs, ["case_id", "doc_ordinal"])
     label = F.coalesce(*[F.when(F.col("field") == k, F.lit(v)) for k, v in K.FIELD_LABELS.items()], F.col("field"))
-    note = F.when(F.col("origin") == "user", "User-corrected value; original source retained").otherwise("Reviewed document extraction")
+    note = F.when(F.col("origin") == "user", W.USER_CORRECTED_VALUE_ORIGINAL_SOURCE).otherwise(W.REVIEWED_DOCUMENT_EXTRACTION)
     item = F.concat(
         F.lit("<tr><td>"), html_escape(F.concat("doc_id", F.lit("."), "field")), F.lit("</td><td>"), html_escape(label), F.lit("<br><strong>"), html_escape(F.col("value")),
         F.lit("</strong></td><td>Page "), F.col("page").cast("string"), F.lit(": "), html_escape(F.col("quote")), F.lit("<br><small>"), html_escape(note), F.lit("</small></td></tr>"),
@@ -98,9 +99,9 @@ def packets(result: DataFrame, documents: DataFrame, facts: DataFrame, *, as_of:
     else:
         letters = letters.withColumn("edited", F.lit(None).cast("string"))
     all_ = finding_sections(result).join(letters, "case_id").join(attachments(documents), "case_id", "left").join(fact_rows(documents, facts), "case_id", "left")
-    note = F.when(F.col("edited").isNotNull(), "Edited draft supplied by the user; review every change against the evidence.").otherwise("Draft assembled from the confirmed fields and the findings below.")
+    note = F.when(F.col("edited").isNotNull(), W.EDITED_DRAFT_SUPPLIED_BY_THE).otherwise(W.DRAFT_ASSEMBLED_FROM_THE_CONFIRMED)
     sources = "".join(f'<li><a href="{u}">{t}</a></li>' for t, u in SOURCES.items())
-    title = "Provider inquiry" if recipient == "provider" else "Collector dispute / information request"
+    title = "Provider inquiry" if recipient == "provider" else W.COLLECTOR_DISPUTE_INFORMATION_REQUEST
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     html = F.concat(
         F.lit(f'<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>Evidence packet</title></head><body><main>\n<p>Prepared {as_of}</p>\n<h2>What needs clarification</h2>'),

@@ -31,8 +31,9 @@ def prepared(df: DataFrame) -> DataFrame:
 
 
 def top_labels(df: DataFrame, label: str) -> DataFrame:
-    """(label, count, first_row): by falling count, ties by first encounter."""
-    return df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("count"), F.min("row_idx").alias("first_row"))
+    """(label, count, first_row), in order of falling count, ties by first encounter."""
+    counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("count"), F.min("row_idx").alias("first_row"))
+    return counts.orderBy(F.desc("count"), "first_row")
 
 
 def unique_narratives(df: DataFrame) -> DataFrame:

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import shutil
+import time
 import urllib.request
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.constants import DOWNLOAD_BYTES, UPLOAD_BYTES, UPLOAD_CHARS, UPLOAD_PAGES
 from ledgerlight.functions.scalars import strip
-from ledgerlight.operators.research import API_SCHEMA
+from ledgerlight.operators.research import API_SCHEMA, api_filter_verified
+from ledgerlight.sources.sinks import write_json
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +66,10 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pasted(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame([(text,)], "text string").select(strip(F.col("text")).alias("text")).where("text <> ''")
+    """One row with the stripped text; blank text is refused."""
+    if not (text or "").strip():
+        raise ValueError("Paste the document's text first.")
+    return spark.createDataFrame([(text,)], "text string").select(strip(F.col("text")).alias("text"))
 
 
 def read_api(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +77,65 @@ def read_api(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(API_SCHEMA).json(path, multiLine=True, mode="FAILFAST")
 
 
+def verified_api(spark: SparkSession, path: str) -> DataFrame:
+    """A cached response, refused unless it has hits and all of them are of the product asked for."""
+    response = read_api(spark, path)
+    if not response.transform(api_filter_verified).agg(F.coalesce(F.bool_and("verified"), F.lit(False))).first()[0]:
+        raise ValueError("The response's rows are not all of the product asked for.")
+    return response
+
+
+def fetch_api(spark: SparkSession, url: str, path: str) -> DataFrame:
+    """Get a JSON response, keep it at a local ``path`` with a sidecar of where it is from, and return it verified. What
+    can't be verified isn't kept."""
+    part = f"{path}.part"
+    try:
+        with urllib.request.urlopen(url, timeout=90) as source:
+            kind = source.headers.get_content_type()
+            if kind != "application/json":
+                raise ValueError(f"The answer is {kind}, not JSON.")
+            with open(part, "wb") as out:
+                shutil.copyfileobj(source, out)
+        verified_api(spark, f"file://{os.path.abspath(part)}")
+        os.replace(part, path)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+    write_sidecar(path, url)
+    return verified_api(spark, f"file://{os.path.abspath(path)}")
+
+
+def sidecar_path(path: str) -> str:
+    return os.path.splitext(path)[0] + ".metadata.json"
+
+
+def write_sidecar(path: str, url: str, retrieved_at: str | None = None) -> None:
+    write_json(sidecar_path(path), {"source_url": url, "retrieved_at": retrieved_at or utc(time.time()), "sha256": file_sha256(path)})
+
+
+def read_sidecar(path: str) -> dict:
+    """Where a cached file is from; without a sidecar only the file's own time is known."""
+    try:
+        with open(sidecar_path(path), encoding="utf-8") as f:
+            found = json.load(f)
+    except FileNotFoundError:
+        found = {}
+    return {"retrieved_at": utc(os.path.getmtime(path)), **found}
+
+
+def cached_api(spark: SparkSession, url: str, path: str, *, reuse: bool = False, given: bool = False) -> tuple[DataFrame, dict]:
+    """The response and its provenance: from ``path`` if that was ``given`` or may be reused and is there, else fetched."""
+    if given or (reuse and os.path.exists(path)):
+        response = verified_api(spark, f"file://{os.path.abspath(path)}")
+    else:
+        response = fetch_api(spark, url, path)
+    return response, read_sidecar(path)
+
+
+def utc(seconds: float) -> str:
+    return datetime.fromtimestamp(int(seconds), UTC).isoformat()
+
+
 def download(url: str, path: str, sha256: str | None = None, limit: int = DOWNLOAD_BYTES) -> str:
     """Fetch a file within a bound, by its header and by what arrives; renamed into place only when whole."""
     part, digest, size = f"{path}.part", hashlib.sha256(), 0

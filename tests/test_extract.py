@@ -1,3 +1,5 @@
+import pytest
+
 from ledgerlight.operators import extract
 
 
@@ -30,3 +32,16 @@ def test_proposals(spark):
     r = extract.validated_fields(df).first()
     assert {f["field"]: f["value"] for f in r["fields"]} == {"balance": "150.00", "patient": "Mary"}
     assert r["warnings"] == ["Discarded patient: its source quote could not be verified.", "Discarded claim_id: its value was not supported by the quoted text."]
+
+
+def test_documents_are_checked(spark):
+    rows = [(1, 0, "bill", "t" * 200, "Balance: 1.50"), (1, 1, "letter", "t", "Balance: 1"), (1, 2, "bill", "t", " \n"), (1, 3, "eob", "t", "x" * 60_001), (1, 4, "bill", "t", "Balance: 1.50"), (1, 5, None, None, None)]
+    docs = spark.createDataFrame(rows, "case_id long, doc_ordinal int, kind string, title string, text string")
+    got = {r["doc_ordinal"]: r for r in extract.extract_documents(docs).collect()}
+    assert [got[i]["problem"] is None for i in range(6)] == [True, False, False, False, True, False]
+    assert len(got[0]["title"]) == 180 and got[0]["fields"][0]["value"] == "1.50" and got[1]["fields"] is None
+    assert got[4]["new_id"] == got[0]["new_id"] + "-5" and got[0]["extraction_method"] == "Local labeled-field parser"
+    given = docs.selectExpr("*", "array(named_struct('key', 'balance', 'value', '1.50', 'quote', 'Balance: 1.50', 'page', 1)) AS proposals").where("doc_ordinal = 0")
+    assert extract.extract_documents(given, "proposals").first()["fields"][0]["value"] == "1.50"
+    with pytest.raises(ValueError):
+        extract.extract_documents(docs, "another")

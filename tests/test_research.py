@@ -1,11 +1,15 @@
 import csv
 import io
+import json
+import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerlight.functions import scalars
 from ledgerlight.operators import research
-from ledgerlight.sources import complaints_csv, uploads
+from ledgerlight.sources import artifacts, complaints_csv, sinks, uploads
 
 HEAD = ["Date received", "Product", "Sub-product", "Issue", "Sub-issue", "Consumer complaint narrative", "Complaint ID"]
 ROWS = [
@@ -26,8 +30,7 @@ def complaints(spark, tmp_path_factory):
     with zipfile.ZipFile(folder / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("a.csv", "﻿" + text.getvalue())
     (folder / "a.csv").write_text(text.getvalue())
-    spark.dataSource.register(complaints_csv.ZippedComplaints)
-    zipped = spark.read.format("zipped_complaints").option("paths", str(folder / "a.zip")).load().cache()
+    zipped = complaints_csv.read_zipped(spark, str(folder / "a.zip")).cache()
     plain = complaints_csv.read_csv(spark, str(folder / "a.csv"))
     assert sorted(r["complaint_id"] for r in plain.collect()) == sorted(r["complaint_id"] for r in zipped.collect())
     return zipped
@@ -53,3 +56,121 @@ def test_uploads(spark, tmp_path):
     (tmp_path / "c.exe").write_bytes(b"x")
     got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["problem"] is None) for r in uploads.read_uploads(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": ("Balance: 1", True), "b.txt": (None, False), "c.exe": (None, False)}
+
+
+def archive(path, members):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, rows in members.items():
+            text = io.StringIO()
+            csv.writer(text).writerows(rows)
+            z.writestr(name, text.getvalue())
+    return str(path)
+
+
+def test_archives_are_checked(spark, tmp_path):
+    good = archive(tmp_path / "good.zip", {"x/Y.CSV": [HEAD, *ROWS], "note.txt": [["x"]]})
+    assert complaints_csv.read_zipped(spark, good, sha256=uploads.file_sha256(good)).count() == 6
+    bad = {"two": {"a.csv": [HEAD], "b.csv": [HEAD]}, "none": {"a.txt": [HEAD]}, "columns": {"a.csv": [HEAD[1:], ROWS[0][1:]]}}
+    for name, members in bad.items():
+        with pytest.raises(Exception, match="CSV files instead|lacks the columns"):
+            complaints_csv.read_zipped(spark, archive(tmp_path / f"{name}.zip", members)).count()
+    with pytest.raises(Exception, match="pinned"):
+        complaints_csv.read_zipped(spark, good, sha256="0" * 64).count()
+
+
+def test_positions_follow_files_and_rows(spark, tmp_path):
+    for k, name in enumerate(("b b", "a", "c")):
+        rows = [HEAD, *([*r[:-1], f"{name}{i}"] for i, r in enumerate(ROWS[: 2 + k]))]
+        (tmp_path / f"{name}.csv").write_text("\n".join(",".join(f'"{x.replace(chr(34), chr(34) * 2)}"' for x in r) for r in rows))
+        archive(tmp_path / f"{name}.zip", {"t.csv": rows})
+    want = ["a0", "a1", "a2", "b b0", "b b1", "c0", "c1", "c2", "c3"]
+    for df in (complaints_csv.read_csv(spark, str(tmp_path / "*.csv")), complaints_csv.read_zipped(spark, str(tmp_path))):
+        assert [r["complaint_id"] for r in df.orderBy("row_idx").collect()] == want
+
+
+def test_labels_are_in_order(complaints):
+    assert [(r["label"], r["count"]) for r in research.top_labels(research.prepared(complaints), "issue").collect()] == [("Attempts to collect debt not owed", 2), ("Other", 2)]
+
+
+def response(tmp_path, name, hits):
+    body = {"hits": {"total": {"value": 3}, "hits": [{"_source": h} for h in hits]}, "aggregations": {"issue": {"issue": {"buckets": []}}}, "_meta": {"last_indexed": "2025"}}
+    (tmp_path / name).write_text(json.dumps(body))
+    return f"file://{tmp_path / name}"
+
+
+def test_responses_are_verified_and_kept_with_their_source(spark, tmp_path):
+    ours = {"product": "Debt collection", "sub_product": "Medical debt", "complaint_what_happened": "x"}
+    good, kept = response(tmp_path, "good.json", [ours]), str(tmp_path / "kept.json")
+    assert uploads.fetch_api(spark, good, kept).first()["hits"]["total"]["value"] == 3
+    note = uploads.read_sidecar(kept)
+    assert note["source_url"] == good and note["sha256"] == uploads.file_sha256(kept) and note["retrieved_at"].endswith("+00:00")
+    for hits in ([], [ours, {**ours, "sub_product": "Other"}]):
+        bad = response(tmp_path, "bad.json", hits)
+        with pytest.raises(ValueError, match="product asked for"):
+            uploads.fetch_api(spark, bad, str(tmp_path / "new.json"))
+        with pytest.raises(ValueError, match="product asked for"):
+            uploads.verified_api(spark, bad)
+    assert not os.path.exists(tmp_path / "new.json") and not os.path.exists(tmp_path / "new.json.part")
+    (tmp_path / "page.html").write_text("{}")
+    with pytest.raises(ValueError, match="not JSON"):
+        uploads.fetch_api(spark, f"file://{tmp_path}/page.html", str(tmp_path / "new.json"))
+    os.remove(tmp_path / "good.json")
+    assert uploads.cached_api(spark, good, kept, reuse=True)[1] == note  # not fetched again
+    os.remove(uploads.sidecar_path(kept))
+    assert set(uploads.cached_api(spark, good, kept, given=True)[1]) == {"retrieved_at"}
+
+
+def test_downloads_are_bounded_and_pinned(tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"x" * 5000)
+    url, to = f"file://{tmp_path}/a.bin", str(tmp_path / "b.bin")
+    assert uploads.download(url, to, sha256=uploads.file_sha256(tmp_path / "a.bin")) == uploads.file_sha256(to)
+    for limits in ({"limit": 4999}, {"sha256": "0" * 64}):
+        with pytest.raises(ValueError):
+            uploads.download(url, str(tmp_path / "c.bin"), **limits)
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["a.bin", "b.bin"]
+
+
+def test_artifacts_are_read_whatever_they_hold(spark, tmp_path):
+    counts = [{"label": "b", "count": 2}, {"label": "a", "count": 1}]
+    value = {"scope": {"year": "2025"}, "caveats": ["mind"], "api": {"total_complaints": 8843, "issue_counts": counts}, "archive": {"unique_narratives": 12, "patterns": counts, "examples": [{"complaint_id": str(i), "issue": "i", "narrative_excerpt": "n"} for i in range(9)]}}
+    sinks.write_json(str(tmp_path / "deep" / "a.json"), value)
+    rows = [tuple(r) for r in artifacts.panel(artifacts.read_artifact(spark, str(tmp_path / "deep" / "a.json"))).collect()]
+    assert [r[3] for r in rows if r[0] == "stat"] == ["8,843", "Not measured", "12"]
+    assert [r[1:] for r in rows if r[0] == "issues"] == [(0, "b", "2"), (1, "a", "1")] and not [r for r in rows if r[0] == "documents"]
+    assert len([r for r in rows if r[0] == "example"]) == 6 and ("caveat", 0, None, "mind") in rows
+    for name, text in (("broken", '{"api": '), ("list", "[1]"), ("empty", "")):
+        (tmp_path / name).write_text(text)
+        got = artifacts.read_artifact(spark, str(tmp_path / name))
+        assert got.first()["problem"] == artifacts.UNREADABLE and artifacts.panel(got).count() == 0, name
+    assert artifacts.read_artifact(spark, str(tmp_path / "nothing.json")).first()["problem"] == artifacts.MISSING
+
+
+def test_json_sinks(spark, complaints, tmp_path):
+    sinks.write_json(str(tmp_path / "a.json"), {"é": 1})
+    assert (tmp_path / "a.json").read_text() == '{\n  "é": 1\n}\n'
+    sinks.write_narratives(complaints, str(tmp_path / "n"))
+    assert {r["complaint_id"] for r in spark.read.json(str(tmp_path / "n")).collect()} == {"1", "4"}
+    found = sinks.artifact(complaints)
+    assert found["unique_narratives"] == 2 and found["issue_counts"][0] == {"label": "Attempts to collect debt not owed", "count": 2}
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "s.bin").write_bytes(b"123")
+    entry = sinks.source_entry("s", "u", str(tmp_path / "raw" / "s.bin"), "d", "t", str(tmp_path))
+    assert entry == {"name": "s", "source_url": "u", "retrieved_at": "t", "sha256": "d", "bytes": 3, "local_path": "raw/s.bin"}
+    sinks.manifest(str(tmp_path / "m.json"), [entry], "/elsewhere/out.json", "e", generated_at="g", root=str(tmp_path))
+    assert json.loads((tmp_path / "m.json").read_text())["output"] == {"path": "out.json", "sha256": "e"}
+    assert json.loads(sinks.headline_numbers(9, found, "o"))["with_narratives"] == 3
+    packets = spark.createDataFrame([(i, f"<p>{i}</p>") for i in range(50)], "case_id long, html string")
+    sinks.write_packets(packets, str(tmp_path / "p"), files=4)
+    assert len(list((tmp_path / "p").glob("part-*"))) <= 4 and spark.read.json(str(tmp_path / "p")).count() == 50
+
+
+def test_case_folding(spark):
+    df = spark.createDataFrame([("Straße  nord",), ("STRASSE nord",)], "t string")
+    strict, plain = (df.select(scalars.narrative_hash(F.col("t"), s).alias("h")).distinct().count() for s in (True, False))
+    assert (strict, plain) == (1, 2)
+
+
+def test_pasted_text(spark):
+    assert uploads.pasted(spark, " \u00a0Balance: 1\n").first()["text"] == "Balance: 1"
+    with pytest.raises(ValueError):
+        uploads.pasted(spark, " \n")
