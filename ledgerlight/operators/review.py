@@ -93,9 +93,15 @@ def overview(result: DataFrame) -> DataFrame:
     return result.select("case_id", F.size("all_docs").alias("documents"), F.size(active).alias("active"), pending.alias("pending"), (has_fields & (pending == 0)).alias("exportable"))
 
 
-def fingerprint(result: DataFrame) -> DataFrame:
-    """A token that changes with any document of a case."""
-    return result.select("case_id", F.substring(F.sha2(F.to_json("all_docs"), 256), 1, 14).alias("token"))
+def fingerprint(documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """(case_id, token): a token that changes with any document or fact of a case. Parts are put together in order, with
+    control characters between them."""
+    text = lambda *columns: F.concat_ws("\x1e", *[F.col(c).cast("string") for c in columns]).alias("t")
+    whole = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "\x1f").alias(name)
+    held = facts.select("case_id", F.struct("doc_ordinal", "field_ordinal", text("doc_ordinal", "field", "value", "confirmed", "origin")).alias("p")).groupBy("case_id").agg(whole("f"))
+    docs = documents.select("case_id", F.struct("doc_ordinal", text("doc_ordinal", "doc_id", "kind", "title", "text", "included")).alias("p")).groupBy("case_id").agg(whole("d"))
+    token = F.substring(F.sha2(F.concat("d", F.lit("\x1d"), F.coalesce("f", F.lit(""))), 256), 1, 14)
+    return docs.join(held, "case_id", "left").select("case_id", token.alias("token"))
 
 
 def headline(result: DataFrame) -> DataFrame:

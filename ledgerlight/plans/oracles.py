@@ -124,16 +124,18 @@ ORACLES |= {
     "confirmed_values": f"{_FACTS} SELECT case_id, doc_ordinal, field, value FROM facts WHERE confirmed AND value <> ''",
     "identity_norm": f"{_FACTS} SELECT case_id, doc_ordinal, field, {norm('value')} AS normal FROM facts WHERE field IN {_in(K.IDENTITY)}",
     "strict_dates": f"{_FACTS} SELECT case_id, doc_ordinal, field, strftime({day('value')}, '%Y-%m-%d') AS day FROM facts WHERE field IN {_in(K.DATE_FIELDS)}",
-    "money_cents": f"{_FACTS} SELECT case_id, doc_ordinal, field, {cents('value')} AS cents FROM facts WHERE field IN {_in(K.MONEY_FIELDS)} AND ({cents('value')}) IS NOT NULL",
+    "money_cents": f"{_FACTS} SELECT case_id, doc_ordinal, field, cast({cents('value')} AS varchar) AS cents FROM facts WHERE field IN {_in(K.MONEY_FIELDS)}",
     "dollars_fmt": f"{_FACTS} SELECT case_id, doc_ordinal, {usd(cents('value'))} AS shown FROM facts WHERE field = 'balance'",
     "html_escape": f"WITH {bridge.CASE_DOCS} SELECT case_id, doc_ordinal, {escape('title')} AS title FROM case_docs",
     "included_docs": f"WITH {bridge.CASE_DOCS} SELECT case_id, count(*) FILTER (included) AS included, count(*) FILTER (NOT included) AS left_out FROM case_docs GROUP BY 1",
     "masked_accounts": f"{_FACTS} SELECT case_id, doc_ordinal FROM facts WHERE field = 'account' AND regexp_matches(value, '\\*|[xX]{{3,}}')",
     "settled_payments": f"{_FACTS} SELECT case_id, doc_ordinal, {norm('value')} IN {_in(K.SETTLED)} AS settled FROM facts WHERE field = 'payment_status'",
     "fact_grid": f"{_FACTS} SELECT case_id, doc_ordinal, field, {_LABEL} AS label, value, confirmed AS reviewed, 'p. 1 · ' || {_LABEL} || ': ' || value AS source FROM facts",
-    "doc_cards": f"""{_FACTS} SELECT d.case_id, d.doc_ordinal, CASE WHEN f.confirmed AND {cents('f.value')} IS NOT NULL THEN {usd(cents('f.value'))} WHEN f.confirmed THEN 'Amount needs correction' ELSE 'Awaiting review' END AS headline
-      FROM case_docs d LEFT JOIN facts f ON d.case_id = f.case_id AND d.doc_ordinal = f.doc_ordinal
-       AND f.field = CASE d.kind WHEN 'eob' THEN 'patient_responsibility' WHEN 'receipt' THEN 'payment_amount' ELSE 'balance' END""",
+    "doc_cards": f"""WITH {bridge.CASE_DOCS}, k AS (
+        SELECT case_id, doc_ordinal, unconfirmed, CASE kind WHEN 'eob' THEN 'patient_responsibility' WHEN 'receipt' THEN 'payment_amount' ELSE 'balance' END AS field,
+               CASE kind WHEN 'eob' THEN v_patient_responsibility WHEN 'receipt' THEN v_payment_amount ELSE v_balance END AS value FROM case_docs),
+      c AS (SELECT *, {cents('value')} AS cents FROM k)
+      SELECT case_id, doc_ordinal, CASE WHEN value IS NULL OR field = unconfirmed THEN 'Awaiting review' WHEN cents IS NULL THEN 'Amount needs correction' ELSE {usd('cents')} END AS headline FROM c""",
     "pending_facts": f"{_FACTS} SELECT case_id, doc_id, field FROM facts WHERE NOT confirmed AND included",
     "missing_fields": f"WITH {bridge.CASE_DOCS} SELECT case_id, doc_ordinal, concat_ws(',', {', '.join(f'CASE WHEN v_{k} IS NULL THEN {_quoted(k)} END' for k in bridge.FIELDS)}) AS missing FROM case_docs",
     "single_confirmed": f"{_FACTS} SELECT case_id, CASE WHEN count(*) = 1 THEN min(value) END AS value FROM facts WHERE included AND kind = 'receipt' AND field = 'payment_reference' AND confirmed GROUP BY 1",
@@ -142,7 +144,7 @@ ORACLES |= {
       FROM facts WHERE field <> 'payment_reference'""",
     "toggle_docs": f"WITH {bridge.CASE_DOCS} SELECT case_id, doc_ordinal, included AND kind <> 'eob' AS included FROM case_docs",
     "page_split": f"WITH {bridge.CASE_DOCS} SELECT case_id, doc_ordinal, 1 AS page, length(text) AS chars FROM case_docs UNION ALL SELECT case_id, doc_ordinal, 2, length(title) FROM case_docs",
-    "line_split": f"WITH {bridge.CASE_DOCS}, l AS (SELECT case_id, doc_ordinal, unnest(string_split(text, chr(10))) AS raw FROM case_docs) SELECT case_id, doc_ordinal, 1 AS page, raw FROM l WHERE raw <> ''",
+    "line_split": f"WITH {bridge.CASE_DOCS}, l AS (SELECT case_id, doc_ordinal, unnest(string_split(text, chr(10))) AS raw FROM case_docs) SELECT case_id, doc_ordinal, 1 AS page, raw FROM l",
     # every label of the text names its field but the two that no alias covers
     "label_parse": f"{_FACTS} SELECT case_id, doc_ordinal, field, {_LABEL} || ': ' || value AS raw FROM facts WHERE field NOT IN ('provider', 'balance')",
     "normalize_value": f"""{_FACTS} SELECT case_id, doc_ordinal, field, CASE WHEN field IN {_in(K.MONEY_FIELDS)} THEN cast(cast({cents('value')} / cast(100 AS decimal(5,0)) AS decimal(22,2)) AS varchar)
@@ -150,6 +152,21 @@ ORACLES |= {
     "local_fields": f"""{_FACTS}, n AS (SELECT case_id, doc_ordinal, field, CASE WHEN field IN {_in(K.MONEY_FIELDS)} THEN cast(cast({cents('value')} / cast(100 AS decimal(5,0)) AS decimal(22,2)) AS varchar)
         WHEN field IN {_in(K.DATE_FIELDS)} THEN strftime(coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%m/%d/%Y')), '%Y-%m-%d') ELSE value END AS value, 1 AS page
       FROM facts WHERE field NOT IN ('provider', 'balance')) SELECT * FROM n WHERE value IS NOT NULL""",
+    # what a field's value becomes; texts of labels whose value can't be one give a warning
+    "local_warnings": f"""{_FACTS}, n AS (SELECT *, CASE WHEN field IN {_in(K.MONEY_FIELDS)} THEN {cents('value')} IS NOT NULL
+          WHEN field IN {_in(K.DATE_FIELDS)} THEN coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%m/%d/%Y')) IS NOT NULL ELSE true END AS good FROM facts),
+        own AS (SELECT case_id, doc_ordinal, string_agg('Review ' || {_LABEL} || ': the source value could not be parsed. | ', '' ORDER BY field_ordinal) AS notes
+          FROM n WHERE NOT good AND field NOT IN ('provider', 'balance') GROUP BY 1, 2)
+      SELECT d.case_id, d.doc_ordinal, coalesce(notes, '') || 'Conflicting {K.FIELD_LABELS["balance"]} values; confirm the applicable one manually. | Review {K.FIELD_LABELS["charges"]}: the source value could not be parsed.' AS warnings
+      FROM case_docs d LEFT JOIN own ON d.case_id = own.case_id AND d.doc_ordinal = own.doc_ordinal""",
+    "validate_fields": f"""{_FACTS}, n AS (SELECT *, CASE WHEN field IN {_in(K.MONEY_FIELDS)} THEN {cents('value')} IS NOT NULL
+          WHEN field IN {_in(K.DATE_FIELDS)} THEN coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%m/%d/%Y')) IS NOT NULL ELSE true END AS good FROM facts)
+      SELECT case_id, doc_ordinal, cast(count(*) FILTER (good) AS int) AS n_fields,
+        coalesce(string_agg('Discarded ' || field || ': its value was not supported by the quoted text. | ', '' ORDER BY field_ordinal) FILTER (NOT good), '') || 'Discarded collector: its source quote could not be verified.' AS warnings
+      FROM n GROUP BY 1, 2""",
+    "case_fingerprint": f"""{_FACTS}, f AS (SELECT case_id, string_agg(concat_ws(chr(30), cast(doc_ordinal AS varchar), field, value, cast(confirmed AS varchar), origin), chr(31) ORDER BY doc_ordinal, field_ordinal) AS t FROM facts GROUP BY 1),
+        d AS (SELECT case_id, string_agg(concat_ws(chr(30), cast(doc_ordinal AS varchar), doc_id, kind, title, text, cast(included AS varchar)), chr(31) ORDER BY doc_ordinal) AS t FROM case_docs GROUP BY 1)
+      SELECT d.case_id, substring(sha256(d.t || chr(29) || coalesce(f.t, '')), 1, 14) AS token FROM d LEFT JOIN f ON d.case_id = f.case_id""",
     "doc_ids": f"""WITH {bridge.CASE_DOCS}, h AS (SELECT case_id, doc_ordinal, 'doc-' || substring(sha256(kind || text), 1, 12) AS id FROM case_docs)
       SELECT case_id, doc_ordinal, CASE WHEN row_number() OVER (PARTITION BY case_id, id ORDER BY doc_ordinal) = 1 THEN id ELSE id || '-' || cast(doc_ordinal + 1 AS varchar) END AS new_id FROM h""",
     "packet_attachments": f"WITH {bridge.CASE_DOCS} SELECT case_id, string_agg('<li>' || {escape('title')} || ' · ' || {_KIND} || ' · ' || doc_id || '</li>', '' ORDER BY doc_ordinal) AS attachments FROM case_docs WHERE included GROUP BY 1",

@@ -212,7 +212,7 @@ def strict_dates(spark, sf_dir):
 @query
 def money_cents(spark, sf_dir):
     _, facts = bundle(spark, sf_dir)
-    return facts.where(F.col("field").isin(*K.MONEY_FIELDS)).select("case_id", "doc_ordinal", "field", S.money_cents(F.col("value")).cast("long").alias("cents")).where("cents is not null")
+    return facts.where(F.col("field").isin(*K.MONEY_FIELDS)).select("case_id", "doc_ordinal", "field", S.money_cents(F.col("value")).cast("string").alias("cents"))
 
 
 @query
@@ -355,9 +355,8 @@ def findings(spark, sf_dir):
 
 @query
 def evidence_refs(spark, sf_dir):
-    """The references of findings about payments and balances."""
-    codes = ("possible_uncredited_payment", "duplicate_payment_evidence", "payment_not_settled", "missing_payment_evidence", "ambiguous_document_dates")
-    return cases.findings(reconciled(spark, sf_dir)).where(F.col("code").isin(*codes)).select("case_id", "code", text("refs").alias("refs"))
+    """The references of each finding, in order."""
+    return cases.findings(reconciled(spark, sf_dir)).select("case_id", "seq", "code", text("refs").alias("refs"))
 
 
 @query
@@ -387,7 +386,7 @@ def export_gate(spark, sf_dir):
 
 @query
 def case_fingerprint(spark, sf_dir):
-    return review.fingerprint(cases.case_rows(*bundle(spark, sf_dir)))
+    return review.fingerprint(*bundle(spark, sf_dir))
 
 
 @query
@@ -455,7 +454,7 @@ def page_split(spark, sf_dir):
 @query
 def line_split(spark, sf_dir):
     docs, _ = bundle(spark, sf_dir)
-    return docs.select("case_id", "doc_ordinal", F.explode(extract.lines(F.col("text"))).alias("l")).where("l.raw <> ''").select("case_id", "doc_ordinal", F.col("l.page").alias("page"), F.col("l.raw").alias("raw"))
+    return docs.select("case_id", "doc_ordinal", F.explode(extract.lines(F.col("text"))).alias("l")).select("case_id", "doc_ordinal", F.col("l.page").alias("page"), F.col("l.raw").alias("raw"))
 
 
 @query

@@ -8,7 +8,10 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["archive_totals", "pattern_counts", "narrative_extract", "fact_grid", "case_outcomes", "doc_cards", "normalize_value"]
+NAMES = [
+    "archive_totals", "pattern_counts", "narrative_extract", "fact_grid", "case_outcomes", "doc_cards", "normalize_value", "money_cents", "line_split", "label_parse", "local_fields",
+    "local_warnings", "validate_fields", "case_fingerprint",
+]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
