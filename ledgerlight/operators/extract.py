@@ -56,18 +56,14 @@ def valued(entries: Column) -> Column:
     return F.transform(entries, lambda x: F.struct(x["pos"], x["page"], x["raw"], x["field"], normalize_value(x["field"], x["given"]).alias("value")))
 
 
-def _judged(entries: str, good, quote: str) -> dict[str, Column]:
-    """Per field of an array of entries in order: kept facts, and where each field turned conflicted."""
+def _judged(entries: str, quote: str) -> Column:
+    """Per field of a column of entries in order: the kept fact, and where the field turned conflicted. In steps, each over
+    what the one before has worked out: inside a lambda nothing is shared, so ``entries`` must lie behind a barrier."""
     fields = F.array(*[F.lit(k) for k in K.FIELD_LABELS])
-
-    def history(k: Column) -> Column:
-        valid = F.filter(entries, lambda x: (x["field"] == k) & good(x))
-        first = F.get(valid, F.lit(0))["value"]
-        clash = F.get(F.filter(valid, lambda x: x["value"] != first), F.lit(0))["pos"]
-        last = F.get(valid, F.size(valid) - 1)
-        return F.struct(k.alias("field"), first.alias("value"), last[quote].alias("quote"), last["page"].alias("page"), clash.alias("clash"))
-
-    return F.filter(F.transform(fields, history), lambda h: h["value"].isNotNull())
+    held = F.transform(fields, lambda k: F.struct(k.alias("field"), F.filter(entries, lambda x: (x["field"] == k) & x["value"].isNotNull()).alias("own")))
+    ends = F.transform(F.filter(held, lambda h: F.size(h["own"]) > 0), lambda h: F.struct(h["field"], h["own"], F.element_at(h["own"], 1)["value"].alias("value"), F.element_at(h["own"], -1).alias("last")))
+    clash = lambda h: F.get(F.filter(h["own"], lambda x: x["value"] != h["value"]), F.lit(0))["pos"]
+    return F.transform(ends, lambda h: F.struct(h["field"], h["value"], h["last"][quote].alias("quote"), h["last"]["page"].alias("page"), clash(h).alias("clash")))
 
 
 def _text_sorted(notes: Column) -> Column:
@@ -77,8 +73,8 @@ def _text_sorted(notes: Column) -> Column:
 def local_fields(docs: DataFrame) -> DataFrame:
     """Adds fields (array of field, value, quote, page) and warnings to documents with text and kind."""
     labels = _map(dict(K.FIELD_LABELS))
-    out = docs.withColumn("_lines", valued(labelled(F.col("text"), F.col("kind"))))
-    out = out.withColumn("_seen", _judged("_lines", lambda x: x["value"].isNotNull(), "raw"))
+    out = barrier(docs.withColumn("_lines", valued(labelled(F.col("text"), F.col("kind")))))
+    out = barrier(out.withColumn("_seen", _judged("_lines", "raw")))
     clash_of = F.map_from_entries(F.transform("_seen", lambda h: F.struct(h["field"], h["clash"])))
     out = out.withColumn("_clash", clash_of)
     kept = F.transform(F.filter("_seen", lambda h: h["clash"].isNull()), lambda h: F.struct(h["field"], h["value"], h["quote"], h["page"]))
@@ -104,8 +100,8 @@ def validated_fields(docs: DataFrame) -> DataFrame:
         return F.struct(i.alias("pos"), x["key"].alias("field"), x["page"].alias("page"), quote.alias("quote"), found.alias("found"), F.when(ok, value).alias("value"))
 
     known = F.filter("proposals", lambda x: x["key"].isin(*K.FIELD_LABELS))
-    out = out.withColumn("_items", F.transform(known, judge))
-    out = out.withColumn("_seen", _judged("_items", lambda x: x["value"].isNotNull(), "quote"))
+    out = barrier(out.withColumn("_items", F.transform(known, judge)))
+    out = barrier(out.withColumn("_seen", _judged("_items", "quote")))
     out = out.withColumn("_clash", F.map_from_entries(F.transform("_seen", lambda h: F.struct(h["field"], h["clash"]))))
     open_ = lambda x: F.coalesce(x["pos"] < F.try_element_at(F.col("_clash"), x["field"]), F.lit(True))
     bad = F.transform(

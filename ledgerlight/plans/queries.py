@@ -23,9 +23,12 @@ def query(f: Query) -> Query:
 
 def _sql(spark: SparkSession, sf_dir: str, ctes: str, last: str) -> DataFrame:
     """Shared SQL over the driver's tables, under view names of our own."""
-    text = f"WITH {ctes} SELECT * FROM {last}"
+    text, cores = f"WITH {ctes} SELECT * FROM {last}", spark.sparkContext.defaultParallelism
     for t in ("orders", "customer"):
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"bridge_{t}")
+        rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        if t == "orders" and rows.rdd.getNumPartitions() < cores:  # a small file is one task; each order becomes a case of long texts
+            rows = rows.repartition(cores)
+        rows.createOrReplaceTempView(f"bridge_{t}")
         text = text.replace(f"FROM {t}", f"FROM bridge_{t}").replace(f"JOIN {t}", f"JOIN bridge_{t}")
     return spark.sql(text)
 
