@@ -267,7 +267,8 @@ def lowest_hash(rows: DataFrame, by: str, id_col: str, most: int) -> DataFrame:
     """At most ``most`` rows of each value of ``by``: those of the lowest hash of the id. Rows whose hash is too high to be
     among them, going by the value's count, are left out before the ranking, so that a common value is no hot key there."""
     value = (F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 1) / float(1 << 63)).alias("_hash")
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_count"))
+    counts = written(rows.groupBy(by).agg(F.count(F.lit(1)).alias("_count")), "counts")
+    counts = F.broadcast(counts) if counts.count() <= 10_000 else counts  # no shuffle by the few values before the cut
     low = rows.withColumn("_hash", value).join(counts, by).where(F.col("_hash") * F.col("_count") <= most + 10 * most**0.5 + 20)
     rank = Window.partitionBy(by).orderBy("_hash", id_col)
     return low.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= most).drop("_hash", "_count", "_rank")
