@@ -28,11 +28,20 @@ def single_confirmed(documents: DataFrame, facts: DataFrame, kind: str, key: str
 
 def letter_text(result: DataFrame, documents: DataFrame, facts: DataFrame, *, as_of: str, recipient: str = "provider") -> DataFrame:
     """(case_id, letter). The date is given, so that a letter can be made again."""
-    if recipient not in RECIPIENTS:
-        raise ValueError(W.CHOOSE_PROVIDER_OR_COLLECTOR)
+    rows = _addressed(result.select("case_id", "findings", "collection_cents"), documents, facts)
+    return rows.select("case_id", _letter(as_of, recipient).alias("letter"))
+
+
+def _addressed(result: DataFrame, documents: DataFrame, facts: DataFrame) -> DataFrame:
     account = single_confirmed(documents, facts, "collection", "account").withColumnRenamed("value", "account")
     provider = single_confirmed(documents, facts, "bill", "provider").withColumnRenamed("value", "provider")
-    rows = result.select("case_id", "findings", "collection_cents").join(account, "case_id", "left").join(provider, "case_id", "left")
+    return result.join(account, "case_id", "left").join(provider, "case_id", "left")
+
+
+def _letter(as_of: str, recipient: str) -> Column:
+    """From findings, collection_cents, account and provider."""
+    if recipient not in RECIPIENTS:
+        raise ValueError("Choose provider or collector.")
     if recipient == "provider":
         greeting = F.concat(F.lit("To the billing team"), F.coalesce(F.concat(F.lit(" at "), F.nullif("provider", F.lit(""))), F.lit("")), F.lit(","))
         opening = W.I_AM_REQUESTING_A_REVIEW
@@ -58,7 +67,7 @@ def letter_text(result: DataFrame, documents: DataFrame, facts: DataFrame, *, as
             ),
         )
     )
-    return rows.select("case_id", F.array_join(body, "\n").alias("letter"))
+    return F.array_join(body, "\n")
 
 
 def _list(rows: DataFrame, order: list[str], html: Column, name: str) -> DataFrame:
@@ -86,9 +95,46 @@ def fact_rows(documents: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def finding_sections(result: DataFrame) -> DataFrame:
+    findings, ledger = _sections()
+    return result.select("case_id", findings.alias("findings_html"), ledger.alias("ledger_html"))
+
+
+def _sections() -> tuple[Column, Column]:
+    """Mark-up of the columns findings and ledger."""
+    one = lambda f: F.concat(F.lit("<article><h3>"), html_escape(f["title"]), F.lit("</h3><p>"), html_escape(f["detail"]), F.lit("</p><small>"), html_escape(F.array_join(f["refs"], ", ")), F.lit("</small></article>"))
+    row = lambda x: F.concat(F.lit("<tr><td>"), html_escape(x["label"]), F.lit("</td><td>"), html_escape(dollars(x["cents"])), F.lit("</td><td>"), html_escape(F.array_join(x["refs"], ", ")), F.lit("</td></tr>"))
+    return F.array_join(F.transform("findings", one), ""), F.array_join(F.transform("ledger", row), "")
+
+
+def packets(result: DataFrame, documents: DataFrame, facts: DataFrame, *, as_of: str, recipient: str = "provider", override: DataFrame | None = None) -> DataFrame:
+    """(case_id, html): the whole packet. ``override`` (case_id, letter) replaces drafted letters."""
+    # letter, findings and ledger all come from the one row of a case, so it is reconciled once
+    findings, ledger = _sections()
+    rows = _addressed(result.select("case_id", "findings", "ledger", "collection_cents"), documents, facts)
+    rows = rows.select("case_id", findings.alias("findings_html"), ledger.alias("ledger_html"), _letter(as_of, recipient).alias("letter"))
+    if override is not None:
+        rows = rows.join(override.select("case_id", F.col("letter").alias("edited")), "case_id", "left")
+    else:
+        rows = rows.withColumn("edited", F.lit(None).cast("string"))
+    all_ = rows.join(attachments(documents), "case_id", "left").join(fact_rows(documents, facts), "case_id", "left")
+    note = F.when(F.col("origin") == "user", W.USER_CORRECTED_VALUE_ORIGINAL_SOURCE).otherwise(W.REVIEWED_DOCUMENT_EXTRACTION)
+    item = F.concat(
+        F.lit("<tr><td>"), html_escape(F.concat("doc_id", F.lit("."), "field")), F.lit("</td><td>"), html_escape(label), F.lit("<br><strong>"), html_escape(F.col("value")),
+        F.lit("</strong></td><td>Page "), F.col("page").cast("string"), F.lit(": "), html_escape(F.col("quote")), F.lit("<br><small>"), html_escape(note), F.lit("</small></td></tr>"),
+    )
+    return _list(rows, ["doc_ordinal", "field_ordinal"], item, "fact_rows")
+
+
+def finding_sections(result: DataFrame) -> DataFrame:
+    findings, ledger = _sections()
+    return result.select("case_id", findings.alias("findings_html"), ledger.alias("ledger_html"))
+
+
+def _sections() -> tuple[Column, Column]:
+    """Mark-up of the columns findings and ledger."""
     one = lambda f: F.concat(F.lit("<article><h3>"), html_escape(f["title"]), F.lit("</h3><p>"), html_escape(f["detail"]), F.lit("</p><small>"), html_escape(F.array_join(f["refs"], ", ")), F.lit("</small></article>"))
     row = lambda x: F.concat(F.lit("<tr><td>"), html_escape(x["label"]), F.lit("</td><td>"), html_escape(dollars(x["cents"])), F.lit("</td><td>"), html_escape(F.array_join(x["refs"], ", ")), F.lit("</td></tr>"))
-    return result.select("case_id", F.array_join(F.transform("findings", one), "").alias("findings_html"), F.array_join(F.transform("ledger", row), "").alias("ledger_html"))
+    return F.array_join(F.transform("findings", one), ""), F.array_join(F.transform("ledger", row), "")
 
 
 def packets(result: DataFrame, documents: DataFrame, facts: DataFrame, *, as_of: str, recipient: str = "provider", override: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from ledgerlight.operators import cases, packet, review
 from ledgerlight.plans.scenarios import SCENARIOS, frames, scenario
+from ledgerlight.streaming import incremental
 
 def base():
     return scenario("paid")
@@ -116,3 +117,12 @@ def test_edits(spark, results):
     got = {(r["doc_ordinal"], r["field"]): (r["value"], r["origin"]) for r in review.merge_edits(facts, edits).where("case_id = 0").collect()}
     assert got[2, "payment_amount"] == ("10.00", "user") and (2, "payment_reference") not in got
     assert got[1, "charges"] == ("1200.00", "document")  # one bad edit keeps all of the document's facts
+
+
+def test_only_touched_cases_are_reconciled_again(spark, results, tmp_path):
+    docs, facts, _, rows = results
+    spark.createDataFrame([(0,), (1,), (1,), (None,)], "case_id long").write.parquet(str(tmp_path / "new"))
+    stream = spark.readStream.schema("case_id long").parquet(str(tmp_path / "new"))
+    got = []
+    incremental.reconcile_stream(stream, lambda: docs, lambda: facts, lambda r, n: got.extend(r.collect()), str(tmp_path / "checkpoint")).awaitTermination(300)
+    assert sorted((r["case_id"], r["supported_balance_cents"]) for r in got) == [(i, rows[n]["supported_balance_cents"]) for i, n in enumerate(list(CASES)[:2])]
