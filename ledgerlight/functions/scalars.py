@@ -125,12 +125,20 @@ def register(spark) -> list[str]:
     return [head.partition("(")[0] for head in bodies]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, for use inside lambdas, where Spark shares nothing."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def supported_value(key: Column, value: Column, quote: Column) -> Column:
     """Whether a quote holds the (canonical) value. A malformed amount before the right one spoils the quote."""
+
+    def amount(x: Column) -> Column:
+        at = F.array_position(F.transform(x["numbers"], lambda n: F.coalesce(n == x["wanted"], F.lit(False))), F.lit(True)).cast("int")
+        return let(at, lambda i: (i > 0) & ~F.exists(F.slice(x["numbers"], F.lit(1), F.greatest(i - 1, F.lit(0))), lambda n: n.isNull()))
+
     numbers = F.transform(F.regexp_extract_all(quote, F.lit(K.QUOTED_NUMBER), F.lit(0)), money_cents)
-    wanted = money_cents(value)
-    at = F.array_position(F.transform(numbers, lambda n: F.coalesce(n == wanted, F.lit(False))), F.lit(True))
-    money_ok = (at > 0) & ~F.exists(F.slice(numbers, F.lit(1), F.greatest(at.cast("int") - 1, F.lit(0))), lambda n: n.isNull())
+    money_ok = let(F.struct(numbers.alias("numbers"), money_cents(value).alias("wanted")), amount)
     dates = F.transform(F.regexp_extract_all(quote, F.lit(K.QUOTED_DATE), F.lit(0)), lambda d: F.date_format(loose_date(d), "yyyy-MM-dd"))
     date_ok = F.exists(dates, lambda d: F.coalesce(d == value, F.lit(False)))
     return F.when(key.isin(*K.MONEY_FIELDS), money_ok).when(key.isin(*K.DATE_FIELDS), date_ok).otherwise(F.contains(F.lower(quote), F.lower(value)))

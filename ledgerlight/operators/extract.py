@@ -89,18 +89,22 @@ def local_fields(docs: DataFrame) -> DataFrame:
 def validated_fields(docs: DataFrame) -> DataFrame:
     """Adds fields and warnings to documents with text and proposals (array of key, value, quote, page): a proposal
     counts only if its quote stands on its page and holds its value."""
-    out = docs.withColumn("_pages", pages(F.col("text")))
+    out = barrier(docs.withColumn("_pages", pages(F.col("text"))))
 
-    def judge(x: Column, i: Column) -> Column:
-        quote = strip(x["quote"])
+    def read(x: Column, i: Column) -> Column:
+        return F.struct(i.alias("pos"), x["key"].alias("field"), x["page"].alias("page"), strip(x["quote"]).alias("quote"), normalize_value(x["key"], x["value"]).alias("value"))
+
+    def find(x: Column) -> Column:
         page = F.get(F.col("_pages"), x["page"] - 1)
-        found = F.coalesce((quote != "") & (x["page"] >= 1) & F.contains(page, quote), F.lit(False))
-        value = normalize_value(x["key"], x["value"])
-        ok = found & F.coalesce(value.isNotNull() & supported_value(x["key"], value, quote), F.lit(False))
-        return F.struct(i.alias("pos"), x["key"].alias("field"), x["page"].alias("page"), quote.alias("quote"), found.alias("found"), F.when(ok, value).alias("value"))
+        found = F.coalesce((x["quote"] != "") & (x["page"] >= 1) & F.contains(page, x["quote"]), F.lit(False))
+        return F.struct(x["pos"], x["field"], x["page"], x["quote"], x["value"], found.alias("found"))
+
+    def judge(x: Column) -> Column:
+        ok = x["found"] & F.coalesce(x["value"].isNotNull() & supported_value(x["field"], x["value"], x["quote"]), F.lit(False))
+        return F.struct(x["pos"], x["field"], x["page"], x["quote"], x["found"], F.when(ok, x["value"]).alias("value"))
 
     known = F.filter("proposals", lambda x: x["key"].isin(*K.FIELD_LABELS))
-    out = barrier(out.withColumn("_items", F.transform(known, judge)))
+    out = barrier(out.withColumn("_items", F.transform(F.transform(F.transform(known, read), find), judge)))
     out = barrier(out.withColumn("_seen", _judged("_items", "quote")))
     out = out.withColumn("_clash", F.map_from_entries(F.transform("_seen", lambda h: F.struct(h["field"], h["clash"]))))
     open_ = lambda x: F.coalesce(x["pos"] < F.try_element_at(F.col("_clash"), x["field"]), F.lit(True))
