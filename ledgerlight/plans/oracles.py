@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ledgerlight.functions import constants as K
+from ledgerlight.functions import wording as W
+from ledgerlight.operators import packet
 from ledgerlight.plans import bridge
 
 ORACLES: dict[str, str] = {}
@@ -330,3 +332,122 @@ ORACLES |= {
     "export_gate": f"{_FACTS} SELECT case_id, count(*) FILTER (included) > 0 AND count(*) FILTER (included AND NOT confirmed) = 0 AS exportable FROM facts GROUP BY 1",
     "letter_points": f"{_CHAIN} SELECT case_id, count(*) AS points FROM found WHERE code IN ('possible_uncredited_payment', 'amount_mismatch', 'insufficient_itemization', 'ambiguous_document_match', 'missing_payment_evidence', 'user_corrected_facts') GROUP BY 1",
 }
+
+# ---------------------------------------------------------------- findings as they are told, with their evidence
+
+_BILL = ("charges", "adjustments", "insurer_paid", "patient_paid", "balance")
+_IDENT = (*K.IDENTITY, "claim_id")
+_PAYMENT = (*_IDENT, "payment_date", "payment_amount", "payment_status", "payment_reference")
+_SHOWN = ("payment_amount", "payment_date", "payment_status", "payment_reference")
+
+
+def held(a: str, *keys: str) -> str:
+    """References to the keys that a row of docs has, as one string; null if none."""
+    return "nullif(concat_ws(',', " + ", ".join(f"CASE WHEN {a}.{k} IS NOT NULL THEN {a}.doc_id || '.{k}' END" for k in keys) + "), '')"
+
+
+def both(*parts: str) -> str:
+    return f"coalesce(concat_ws(',', {', '.join(parts)}), '')"
+
+
+_q = _quoted
+_MISSING = "concat_ws(', ', " + ", ".join(f"CASE WHEN o.m_{k} IS NULL THEN {_q(k.replace('_', ' '))} END" for k in _BILL) + ", CASE WHEN o.collection IS NULL THEN 'collection balance' END)"
+_ONCE = _CHAIN.rstrip()
+for _name in ("case_docs", "flatdocs", "docs", "ranked", "versions", "bill", "notice", "cases", "eobs", "eob_bad", "receipts", "grp", "grps", "unique_receipts", "collided", "states", "outcome", "copies"):
+    _ONCE = _ONCE.replace(f"\n{_name} AS (", f"\n{_name} AS MATERIALIZED (")  # each is read many times below
+_TOLD = f"""{_ONCE},
+paidrefs AS (
+  SELECT s.case_id, string_agg({held('r', *_SHOWN)}, ',' ORDER BY s.doc_ordinal) FILTER (state = 'applied') AS applied_refs, string_agg({held('r', *_SHOWN)}, ',' ORDER BY s.doc_ordinal) FILTER (state = 'earlier') AS earlier_refs
+  FROM states s JOIN docs r ON r.case_id = s.case_id AND r.doc_ordinal = s.doc_ordinal GROUP BY 1),
+o AS MATERIALIZED (
+  SELECT x.*, {held('b', *_IDENT)} AS b_ident, {held('n', *_IDENT)} AS n_ident, {held('b', 'service_date', 'statement_date')} AS b_dates, {held('b', 'statement_date')} AS b_stated, {held('n', 'statement_date')} AS n_stated,
+         {held('b', *_BILL)} AS b_amounts, {held('b', 'balance')} AS b_balance, {held('n', 'balance')} AS n_balance, {held('b', 'patient_paid')} AS b_paid,
+         {held('b', 'balance', 'statement_date')} AS b_closing, {held('n', 'balance', 'statement_date')} AS n_closing, p.applied_refs, p.earlier_refs,
+         {", ".join(f"{held('b', k)} AS b_{k}_ref" for k in _BILL)}
+  FROM outcome x LEFT JOIN bill b ON b.case_id = x.case_id LEFT JOIN notice n ON n.case_id = x.case_id LEFT JOIN paidrefs p ON p.case_id = x.case_id),
+told(case_id, o1, o2, o3, o4, code, severity, title, detail, refs) AS (
+  SELECT case_id, 2, 0, 0, 0, 'conflicting_documents', 'warning', {_q(W.DOCUMENT_IDENTIFIERS_MUST_BE_UNIQUE)}, {_q(W.TWO_INCLUDED_RECORDS_SHARE_AN)}, '' FROM ids WHERE dup
+  UNION ALL SELECT o.case_id, 3, 0, 0, 0, 'user_corrected_facts', 'info', {_q(W.USING_YOUR_CONFIRMED_CORRECTIONS)}, {_q(W.THESE_VALUES_WERE_CORRECTED_BY)}, string_agg(d.doc_id || '.' || d.user_field, ',' ORDER BY d.doc_ordinal)
+    FROM o JOIN docs d ON d.case_id = o.case_id WHERE stop > 2 AND d.user_field <> '' AND d.user_field <> d.unconfirmed GROUP BY o.case_id
+  UNION ALL SELECT o.case_id, 4, CASE k.kind WHEN 'collection' THEN 0 ELSE 1 END, 0, 0, 'insufficient_itemization', 'warning', 'Add a ' || k.kind || ' record', {_q(W.A_CONFIRMED_PROVIDER_BILL_AND)}, ''
+    FROM o CROSS JOIN (VALUES ('bill'), ('collection')) k(kind) WHERE stop > 2 AND NOT EXISTS (SELECT 1 FROM versions v WHERE v.case_id = o.case_id AND v.kind = k.kind)
+  UNION ALL SELECT c.case_id, 4, CASE c.kind WHEN 'collection' THEN 0 ELSE 1 END, 1 + c.doc_ordinal, 0, 'duplicate_document', 'info', {_q(W.DUPLICATE_STATEMENT_COUNTED_ONCE)}, {_q(W.THESE_RECORDS_HAVE_THE_SAME)}, {both(held('f', 'balance'), held('d', 'balance'))}
+    FROM copies c JOIN o ON o.case_id = c.case_id JOIN versions v ON v.case_id = c.case_id AND v.kind = c.kind JOIN docs f ON f.case_id = c.case_id AND f.doc_ordinal = v.ord1 JOIN docs d ON d.case_id = c.case_id AND d.doc_ordinal = c.doc_ordinal WHERE stop > 2
+  UNION ALL SELECT v.case_id, 4, CASE v.kind WHEN 'collection' THEN 0 ELSE 1 END, 1000, 0, 'conflicting_documents', 'warning', 'Multiple ' || v.kind || ' records need review', {_q(W.THE_INCLUDED_VERSIONS_CONTAIN_DIFFERENT)}, {both(held('f', *bridge.FIELDS), held('d', *bridge.FIELDS))}
+    FROM versions v JOIN o ON o.case_id = v.case_id JOIN docs f ON f.case_id = v.case_id AND f.doc_ordinal = v.ord1 JOIN docs d ON d.case_id = v.case_id AND d.doc_ordinal = v.clash WHERE stop > 2
+  UNION ALL SELECT case_id, 5, 0, 0, 0, 'ambiguous_document_match', 'warning', {_q(W.BILL_AND_COLLECTION_NOTICE_DO)}, why, {both('b_ident', 'n_ident')} FROM o WHERE stop = 5
+  UNION ALL SELECT case_id, 5, 0, 0, 0, 'ambiguous_document_dates', 'warning', {_q(W.CONFIRM_THE_DOCUMENT_TIMELINE)}, {_q(W.USE_YYYY_MM_DD_DATES)}, {both('b_dates', 'n_stated')} FROM o WHERE stop = 6
+  UNION ALL SELECT case_id, 5, 0, 0, 0, 'insufficient_itemization', 'warning', {_q(W.CONFIRM_THE_ACCOUNT_AMOUNTS)}, {_q(W.MISSING_UNCONFIRMED_OR_INVALID)} || {_MISSING} || {_q(W.ENTER_EXACT_NONNEGATIVE_DOLLAR_AMOUNTS)}, {both('b_amounts', 'n_balance')} FROM o WHERE stop = 7
+  UNION ALL SELECT case_id, 5, 0, 0, 0, 'amount_mismatch', 'warning', {_q(W.THE_PROVIDER_STATEMENT_DOES_NOT)},
+    {_q(W.CHARGES_MINUS_ADJUSTMENTS_POSTED_INSURER)} || {usd('expected')} || {_q(W.THE_STATEMENT_REPORTS)} || {usd('m_balance')} || {_q(W.REQUEST_AN_ITEMIZED_LEDGER_BEFORE)}, {both('b_amounts')} FROM o WHERE stop = 8
+  UNION ALL SELECT e.case_id, 9, e.doc_ordinal, 0, 0, 'eob_is_not_payment_proof', 'info', {_q(W.INSURANCE_RESPONSIBILITY_IS_NOT_PATIENT)}, {_q(W.AN_EOB_DESCRIBES_INSURANCE_PROCESSING)}, {both(held('d', 'patient_responsibility', 'insurer_paid'))}
+    FROM eobs e JOIN docs d ON d.case_id = e.case_id AND d.doc_ordinal = e.doc_ordinal
+  UNION ALL SELECT e.case_id, 9, e.doc_ordinal, 1, 0, 'ambiguous_document_match', 'warning', {_q(W.INSURANCE_RECORD_NEEDS_MATCHING_REVIEW)}, coalesce(reason, {_q(W.CONFIRM_WHETHER_THIS_DATED_INSURANCE)}), {both(held('d', *_IDENT, 'statement_date'))}
+    FROM eobs e JOIN docs d ON d.case_id = e.case_id AND d.doc_ordinal = e.doc_ordinal WHERE reason IS NOT NULL OR NOT timely
+  UNION ALL SELECT e.case_id, 9, e.doc_ordinal, 2, list_position(['charges', 'adjustments', 'allowed', 'insurer_paid', 'patient_responsibility'], e.field), 'conflicting_documents', 'warning', {_q(W.INSURANCE_AND_PROVIDER_AMOUNTS_DIFFER)},
+    'The insurance ' || replace(e.field, '_', ' ') || {_q(W.DOES_NOT_AGREE_WITH_THE)}, {both("d.doc_id || '.' || e.field", 'b_amounts')} FROM eob_bad e JOIN o ON o.case_id = e.case_id JOIN docs d ON d.case_id = e.case_id AND d.doc_ordinal = e.doc_ordinal
+  UNION ALL SELECT case_id, 10, 0, 0, 0, 'missing_payment_evidence', 'warning', {_q(W.PAYMENT_RECEIPT_NEEDED)}, {_q(W.NO_INCLUDED_PAYMENT_RECEIPT_SUPPORTS)}, {both('b_balance')} FROM o WHERE stop = 99 AND n_receipts = 0
+  UNION ALL SELECT g.case_id, 12, g.first_ordinal, 0, 0, 'conflicting_payment_evidence', 'warning', {_q(W.PAYMENT_RECORDS_CONFLICT)}, {_q(W.RECORDS_FOR_THE_SAME_PAYMENT)}, coalesce(string_agg({held('d', *_PAYMENT)}, ',' ORDER BY d.doc_ordinal), '')
+    FROM grps s JOIN grp g ON g.case_id = s.case_id AND g.first_ordinal = s.first_ordinal JOIN docs d ON d.case_id = g.case_id AND d.doc_ordinal = g.doc_ordinal WHERE s.conflict GROUP BY g.case_id, g.first_ordinal
+  UNION ALL SELECT g.case_id, 12, g.first_ordinal, g.doc_ordinal, 0, 'duplicate_payment_evidence', 'info', {_q(W.SAME_PAYMENT_COUNTED_ONCE)}, {_q(W.THE_PAYMENT_REFERENCE_OR_IDENTICAL)}, {both(held('f', 'payment_reference', 'payment_amount'), held('d', 'payment_reference', 'payment_amount'))}
+    FROM grp g JOIN grps s ON g.case_id = s.case_id AND g.first_ordinal = s.first_ordinal AND NOT s.conflict JOIN docs f ON f.case_id = g.case_id AND f.doc_ordinal = g.first_ordinal JOIN docs d ON d.case_id = g.case_id AND d.doc_ordinal = g.doc_ordinal WHERE g.doc_ordinal > g.first_ordinal
+  UNION ALL SELECT u.case_id, 13, min(u.doc_ordinal), 0, 0, 'ambiguous_payment_identity', 'warning', {_q(W.POSSIBLE_DUPLICATE_PAYMENT_RECORDS)}, {_q(W.THE_SAME_ACCOUNT_AMOUNT_AND)}, coalesce(string_agg({held('u', 'payment_amount', 'payment_date', 'payment_reference')}, ',' ORDER BY u.doc_ordinal), '')
+    FROM unique_receipts u JOIN collided x ON u.case_id = x.case_id AND u.fingerprint = x.fingerprint GROUP BY u.case_id, u.fingerprint
+  UNION ALL SELECT s.case_id, 14, s.doc_ordinal, 0, 0, CASE state WHEN 'unmatched' THEN 'ambiguous_document_match' WHEN 'unsettled' THEN 'payment_not_settled' WHEN 'untimely' THEN 'ambiguous_payment_timing' ELSE 'payment_already_in_statement' END, CASE state WHEN 'earlier' THEN 'info' ELSE 'warning' END,
+    CASE state WHEN 'unmatched' THEN {_q(W.RECEIPT_CANNOT_BE_APPLIED_TO)} WHEN 'unsettled' THEN {_q(W.PAYMENT_STATUS_DOES_NOT_SUPPORT)} WHEN 'untimely' THEN {_q(W.PAYMENT_AMOUNT_OR_TIMING_NEEDS)} ELSE {_q(W.EARLIER_PAYMENT_NOT_SUBTRACTED_AGAIN)} END,
+    CASE state WHEN 'unmatched' THEN s.reason WHEN 'unsettled' THEN {_q(W.THE_PAYMENT_IS_REVERSED_UNSUCCESSFUL)} WHEN 'untimely' THEN {_q(W.CONFIRM_THE_AMOUNT_AND_YYYY)} ELSE {_q(W.THIS_RECEIPT_PREDATES_THE_PROVIDER)} END,
+    CASE state WHEN 'unmatched' THEN {both(held('d', *_IDENT), 'b_ident')} WHEN 'unsettled' THEN {both(held('d', *_SHOWN))} WHEN 'untimely' THEN {both(held('d', *_SHOWN), held('d', 'statement_date'), 'b_stated', 'n_stated')} ELSE {both(held('d', *_SHOWN), 'b_paid')} END
+    FROM states s JOIN o ON o.case_id = s.case_id JOIN docs d ON d.case_id = s.case_id AND d.doc_ordinal = s.doc_ordinal WHERE state NOT IN ('applied', 'ambiguous')
+  UNION ALL SELECT case_id, 15, 0, 0, 0, 'unresolved_payment_allocation', 'warning', {_q(W.EARLIER_RECEIPTS_EXCEED_POSTED_PATIENT)}, {_q(W.THE_EARLIER_RECEIPTS_CANNOT_ALL)}, {both('earlier_refs', 'b_paid')} FROM o WHERE stop = 99 AND earlier > m_patient_paid
+  UNION ALL SELECT case_id, 16, 0, 0, 0, 'payment_exceeds_statement_balance', 'warning', {_q(W.PAYMENTS_EXCEED_THE_STATEMENT_BALANCE)}, {_q(W.MATCHING_RECEIPTS_EXCEED_THE_BALANCE)}, {both('applied_refs', 'b_balance')} FROM o WHERE stop = 99 AND applied > m_balance
+  UNION ALL SELECT case_id, 17, 0, 0, 0, 'reconciliation_incomplete', 'warning', {_q(W.RESOLVE_THE_HIGHLIGHTED_EVIDENCE_BEFORE)}, {_q(W.A_FINAL_SUPPORTED_BALANCE_IS)}, '' FROM o WHERE uncertain
+  UNION ALL SELECT case_id, 18, 0, 0, 0, 'possible_uncredited_payment', 'warning', {_q(W.A_PAYMENT_MAY_NOT_BE)},
+    {_q(W.THE_MATCHING_COMPLETED_RECEIPT_S)} || {usd('applied')} || {_q(W.PAID_AFTER_THE_PROVIDER_STATEMENT)} || {usd('supported')} || {_q(W.WHILE_THE_NOTICE_REQUESTS)} || {usd('collection')} || {_q(W.REQUEST_AN_UPDATED_ITEMIZED_LEDGER)}, {both('applied_refs', 'b_closing', 'n_closing')}
+    FROM o WHERE supported IS NOT NULL AND collection > supported AND applied <> 0
+  UNION ALL SELECT case_id, 18, 0, 0, 0, 'amount_mismatch', 'warning', {_q(W.THE_SUPPLIED_BALANCES_DIFFER)}, {_q(W.THE_NOTICE_REQUESTS)} || {usd('collection')} || {_q(W.THE_SUPPLIED_RECORD_CALCULATION_IS)} || {usd('supported')} || {_q(W.ASK_FOR_THE_TRANSACTIONS_EXPLAINING)}, {both('b_balance', 'n_balance', 'applied_refs')}
+    FROM o WHERE supported IS NOT NULL AND collection <> supported AND NOT (collection > supported AND applied <> 0)
+  UNION ALL SELECT case_id, 18, 0, 0, 0, 'no_discrepancy_detected_in_supplied_records', 'info', {_q(W.SUPPLIED_AMOUNTS_RECONCILE)}, {_q(W.NO_BALANCE_DISCREPANCY_WAS_DETECTED)}, {both('b_balance', 'n_balance', 'applied_refs')} FROM o WHERE supported IS NOT NULL AND collection = supported AND n_receipts > 0),
+say AS MATERIALIZED (SELECT *, cast(row_number() OVER (PARTITION BY case_id ORDER BY o1, o2, o3, o4) - 1 AS int) AS seq FROM told),
+book(case_id, o1, o2, label, cents, refs) AS (
+  {" UNION ALL ".join(f"SELECT case_id, {i}, 0, {_q(label)}, {sign}m_{k}, coalesce(b_{k}_ref, '') FROM o WHERE stop > 7" for i, (k, label, sign) in enumerate((("charges", "Provider charges", ""), ("adjustments", W.CONTRACTUAL_ADJUSTMENT, "-"), ("insurer_paid", W.POSTED_INSURER_PAYMENT, "-"), ("patient_paid", W.PATIENT_PAYMENTS_ALREADY_POSTED, "-"), ("balance", W.PROVIDER_STATEMENT_BALANCE, ""))))}
+  UNION ALL SELECT s.case_id, 5, s.doc_ordinal, {_q(W.MATCHING_COMPLETED_PAYMENT_AFTER_STATEMENT)}, -amount, {both(held('d', *_SHOWN))} FROM states s JOIN docs d ON d.case_id = s.case_id AND d.doc_ordinal = s.doc_ordinal WHERE state = 'applied'
+  UNION ALL SELECT case_id, 6, 0, {_q(W.BALANCE_SUPPORTED_BY_SUPPLIED_RECORDS)}, supported, {both('b_balance', 'applied_refs')} FROM o WHERE supported IS NOT NULL),
+single_account AS (SELECT case_id, CASE WHEN count(*) = 1 THEN min(v_account) END AS account FROM case_docs WHERE included AND kind = 'collection' AND v_account IS NOT NULL AND unconfirmed <> 'account' GROUP BY 1),
+single_provider AS (SELECT case_id, CASE WHEN count(*) = 1 THEN min(v_provider) END AS provider FROM case_docs WHERE included AND kind = 'bill' AND v_provider IS NOT NULL AND unconfirmed <> 'provider' GROUP BY 1),
+points AS (SELECT case_id, string_agg('- ' || detail || CASE WHEN refs <> '' THEN ' [Evidence: ' || replace(refs, ',', ', ') || ']' ELSE '' END, chr(10) ORDER BY seq) AS t FROM say WHERE code IN {_in(packet.LETTER_CODES)} GROUP BY 1),
+letters AS (
+  SELECT o.case_id, '2026-01-01' || chr(10) || chr(10) || 'To the billing team' || coalesce(' at ' || nullif(provider, ''), '') || ',' || chr(10) || chr(10) || {_q(W.I_AM_REQUESTING_A_REVIEW)}
+      || CASE WHEN coalesce(account, '') <> '' THEN chr(10) || chr(10) || {_q(W.ACCOUNT_REFERENCE_SHOWN_ON_THE)} || account || '.' ELSE '' END
+      || CASE WHEN collection IS NOT NULL AND stop > 2 THEN chr(10) || {_q(W.THE_SUPPLIED_COLLECTION_NOTICE_REQUESTS)} || {usd('collection')} || '.' ELSE '' END
+      || coalesce(chr(10) || chr(10) || {_q(W.THE_FOLLOWING_POINTS_NEED_CLARIFICATION)} || chr(10) || t, '')
+      || chr(10) || chr(10) || {_q(W.PLEASE_IDENTIFY_THE_ORIGINAL_PROVIDER)} || chr(10) || chr(10) || {_q(W.THIS_REQUEST_IS_BASED_ON)} || chr(10) || chr(10) || 'Sincerely,' || chr(10) || '[Your name]' || chr(10) || {_q(W.YOUR_PREFERRED_REPLY_ADDRESS)} AS letter
+  FROM o LEFT JOIN single_account a ON a.case_id = o.case_id LEFT JOIN single_provider p ON p.case_id = o.case_id LEFT JOIN points ON points.case_id = o.case_id),
+shown AS (SELECT case_id, string_agg('<article><h3>' || {escape('title')} || '</h3><p>' || {escape('detail')} || '</p><small>' || {escape("replace(refs, ',', ', ')")} || '</small></article>', '' ORDER BY seq) AS t FROM say GROUP BY 1),
+booked AS (SELECT case_id, string_agg('<tr><td>' || {escape('label')} || '</td><td>' || {usd('cents')} || '</td><td>' || {escape("replace(refs, ',', ', ')")} || '</td></tr>', '' ORDER BY o1, o2) AS t FROM book GROUP BY 1)
+"""
+ORACLES |= {
+    "evidence_refs": f"{_TOLD} SELECT case_id, seq, code, refs FROM say",
+    "evidence_resolve": f"""{_TOLD}, each AS (SELECT case_id, seq, unnest(string_split(refs, ',')) AS ref FROM say WHERE refs <> '')
+      SELECT e.case_id, e.seq, e.ref, (SELECT min(d.doc_ordinal) FROM flatdocs d WHERE d.case_id = e.case_id AND d.doc_id = split_part(e.ref, '.', 1)) AS doc_ordinal, split_part(e.ref, '.', 2) AS field FROM each e""",
+    "letter_text": f"{_TOLD} SELECT case_id, letter FROM letters",
+    "packet_findings": f"{_TOLD} SELECT o.case_id, coalesce(shown.t, '') AS findings_html, coalesce(booked.t, '') AS ledger_html FROM o LEFT JOIN shown ON shown.case_id = o.case_id LEFT JOIN booked ON booked.case_id = o.case_id",
+}
+
+_TITLE, _SOURCES = "Provider inquiry", "".join(f'<li><a href="{u}">{t}</a></li>' for t, u in packet.SOURCES.items())
+_PARTS = [
+    _q('<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>Evidence packet</title></head><body><main>\n<p>Prepared 2026-01-01</p>\n<h2>What needs clarification</h2>'),
+    "coalesce(shown.t, '<p>No findings could be supported from the confirmed records.</p>')",
+    _q("\n<h2>Reconstruction from supplied records</h2>\n<table><thead><tr><th>Entry</th><th>Amount</th><th>Evidence</th></tr></thead><tbody>"),
+    "coalesce(booked.t, '')",
+    _q("</tbody></table>\n<h2>Attachment index</h2><ol>"),
+    "coalesce(a.attachments, '')",
+    _q("</ol>\n<h2>Reviewed facts and source passages</h2>\n<table><thead><tr><th>Evidence reference</th><th>Fact</th><th>Original source</th></tr></thead><tbody>"),
+    "coalesce(f.fact_rows, '')",
+    _q(f'</tbody></table>\n<section class="draft"><h2>{_TITLE} — draft</h2>\n<p><small>') + " || " + escape(_q(W.DRAFT_ASSEMBLED_FROM_THE_CONFIRMED)),
+    _q("</small></p><pre>"),
+    escape("letters.letter"),
+    _q(f"</pre></section>\n<h2>Official guidance</h2><ul>{_SOURCES}</ul>\n</main></body></html>"),
+]
+ORACLES["packet_html"] = f"""{_TOLD} SELECT letters.case_id, {" || ".join(_PARTS)} AS html
+  FROM letters LEFT JOIN shown ON shown.case_id = letters.case_id LEFT JOIN booked ON booked.case_id = letters.case_id
+  LEFT JOIN ({ORACLES["packet_attachments"]}) a ON a.case_id = letters.case_id LEFT JOIN ({ORACLES["packet_facts"]}) f ON f.case_id = letters.case_id"""
