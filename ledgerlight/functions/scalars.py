@@ -144,7 +144,7 @@ def supported_value(key: Column, value: Column, quote: Column) -> Column:
     return F.when(key.isin(*K.MONEY_FIELDS), money_ok).when(key.isin(*K.DATE_FIELDS), date_ok).otherwise(F.contains(F.lower(quote), F.lower(value)))
 
 
-def barrier(df: DataFrame) -> DataFrame:
+def barrier(df: DataFrame, *keys: str) -> DataFrame:
     """The same rows; filters (also those that Spark infers for an explode) stay above, where long expressions would be
-    repeated in them."""
-    return df.select(F.explode_outer(F.array(F.struct(*df.columns))).alias("r")).select("r.*")
+    repeated in them. ``keys`` are left out of it, so that rows still count as dealt by them."""
+    return df.select(*keys, F.explode_outer(F.array(F.struct(*[c for c in df.columns if c not in keys]))).alias("r")).select(*keys, "r.*")

@@ -41,23 +41,27 @@ def case_rows(documents: DataFrame, facts: DataFrame) -> DataFrame:
     # each value's normal form, day and cents are computed once, in generated code; the rules compare plain values
     facts = facts.withColumns({"_n": normal(F.col("_v")), "_day": F.when(F.col("field").isin(*K.DATE_FIELDS), strict_date(F.col("_v"))), "_cents": F.when(F.col("field").isin(*K.MONEY_FIELDS), money_cents(F.col("_v")))})
     value = F.when(F.col("_v").isNotNull(), F.struct(F.col("_v").alias("text"), F.col("_n").alias("n"), F.col("_day").alias("day"), F.col("_cents").alias("cents")))
+    raw = F.when(F.col("confirmed") & F.col("field").isin("account", "provider"), F.col("value"))  # as it stands, for letters
     by_case = facts.groupBy("case_id").agg(
-        F.collect_list(F.struct("doc_ordinal", "field_ordinal", "field", value.alias("v"), (F.col("confirmed") & (F.col("origin") != "document")).alias("own"), (~F.col("confirmed")).alias("pending"))).alias("facts")
+        F.collect_list(F.struct("doc_ordinal", "field_ordinal", "field", value.alias("v"), (F.col("confirmed") & (F.col("origin") != "document")).alias("own"), (~F.col("confirmed")).alias("pending"), raw.alias("raw"))).alias("facts")
     )
-    docs = documents.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_ordinal").alias("ord"), F.col("doc_id").alias("id"), "kind", "title", "text", "included"))).alias("docs"))
+    # of the text only whether two receipts have the same matters: a digest, not the text, goes to the case
+    content = F.when(F.col("kind") == "receipt", F.sha2(F.nullif(collapse(F.col("text")), F.lit("")), 256))
+    docs = documents.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_ordinal").alias("ord"), F.col("doc_id").alias("id"), "kind", "title", content.alias("content"), "included"))).alias("docs"))
     joined = docs.join(by_case, "case_id", "left")
-    own = lambda d: F.array_sort(F.filter(F.coalesce(F.col("facts"), F.array().cast("array<struct<doc_ordinal:int,field_ordinal:int,field:string,v:struct<text:string,n:string,day:date,cents:decimal(38,0)>,own:boolean,pending:boolean>>")), lambda f: f["doc_ordinal"] == d["ord"]))
+    own = lambda d: F.array_sort(F.filter(F.coalesce(F.col("facts"), F.array().cast("array<struct<doc_ordinal:int,field_ordinal:int,field:string,v:struct<text:string,n:string,day:date,cents:decimal(38,0)>,own:boolean,pending:boolean,raw:string>>")), lambda f: f["doc_ordinal"] == d["ord"]))
     step = joined.select("case_id", F.transform("docs", lambda d: F.struct(d.alias("d"), own(d).alias("f"))).alias("pairs"))
 
     def doc(p: Column) -> Column:
         known = F.filter(p["f"], lambda f: f["v"].isNotNull())
         ref = lambda f: F.concat(p["d"]["id"], F.lit("."), f["field"])
         return F.struct(
-            *[p["d"][c].alias(c) for c in ("ord", "id", "kind", "title", "text", "included")],
+            *[p["d"][c].alias(c) for c in ("ord", "id", "kind", "title", "content", "included")],
             F.map_from_entries(F.transform(known, lambda f: F.struct(f["field"], f["v"]))).alias("v"),
             F.array_sort(F.transform(known, lambda f: F.struct(f["field"], f["v"]["text"].alias("v")))).alias("signature"),
             F.transform(known, ref).alias("refs"),
             F.transform(F.filter(p["f"], lambda f: f["own"]), ref).alias("corrected"),
+            F.transform(F.filter(p["f"], lambda f: f["raw"].isNotNull()), lambda f: F.struct(f["field"], f["raw"])).alias("addressed"),
             F.size(F.filter(p["f"], lambda f: f["pending"])).alias("pending"),
             F.size(p["f"]).alias("n_facts"),
         )
@@ -159,7 +163,7 @@ def _groups(receipts: Column) -> Column:
     """Receipts linked by a repeated reference or repeated content: arrays of receipts, in order of their first. A fold
     over the case's receipts: each joins, and so joins together, all earlier groups it shares a key with."""
     kind = "array<struct<i:int,root:int,ref:string,content:string>>"
-    keys = F.transform(receipts, lambda d, i: F.struct(i.alias("i"), F.nullif(plain(d, "payment_reference"), F.lit("")).alias("ref"), F.nullif(collapse(d["text"]), F.lit("")).alias("content")))
+    keys = F.transform(receipts, lambda d, i: F.struct(i.alias("i"), F.nullif(plain(d, "payment_reference"), F.lit("")).alias("ref"), d["content"].alias("content")))
 
     def add(state: Column, x: Column) -> Column:
         shares = lambda h: F.coalesce(h["ref"] == x["ref"], F.lit(False)) | F.coalesce(h["content"] == x["content"], F.lit(False))
@@ -461,7 +465,7 @@ def _results(df: DataFrame, ok) -> DataFrame:
 def settled(result: DataFrame, *columns: str) -> DataFrame:
     """Some columns of a result behind a barrier: filters on them aren't pushed below it, where they would be rewritten
     in terms of the inputs, over and over, for each of the rules they depend on."""
-    return barrier(result.select("case_id", *columns))
+    return barrier(result.select("case_id", *columns), "case_id")
 
 
 def _exploded(result: DataFrame, column: str) -> DataFrame:

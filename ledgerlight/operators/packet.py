@@ -26,24 +26,28 @@ def single_confirmed(documents: DataFrame, facts: DataFrame, kind: str, key: str
     return hits.groupBy("case_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("value")).alias("value"))
 
 
-def letter_text(result: DataFrame, documents: DataFrame, facts: DataFrame, *, as_of: str, recipient: str = "provider") -> DataFrame:
-    """(case_id, letter). The date is given, so that a letter can be made again."""
-    rows = _addressed(result.select("case_id", "findings", "collection_cents"), documents, facts)
-    return rows.select("case_id", _letter(as_of, recipient).alias("letter"))
+LETTER_COLUMNS = ("all_docs", "findings", "collection_cents")
 
 
-def _addressed(result: DataFrame, documents: DataFrame, facts: DataFrame) -> DataFrame:
-    account = single_confirmed(documents, facts, "collection", "account").withColumnRenamed("value", "account")
-    provider = single_confirmed(documents, facts, "bill", "provider").withColumnRenamed("value", "provider")
-    return result.join(account, "case_id", "left").join(provider, "case_id", "left")
+def letter_text(result: DataFrame, *, as_of: str, recipient: str = "provider") -> DataFrame:
+    """(case_id, letter), from the result's LETTER_COLUMNS alone. The date is given, so that a letter can be made again."""
+    return result.select("case_id", _letter(as_of, recipient).alias("letter"))
+
+
+def _single(kind: str, key: str) -> Column:
+    """As ``single_confirmed``, from a case's row."""
+    documents = F.filter("all_docs", lambda d: d["included"] & (d["kind"] == kind))
+    hits = F.flatten(F.transform(documents, lambda d: F.transform(F.filter(d["addressed"], lambda f: f["field"] == key), lambda f: f["raw"])))
+    return F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))
 
 
 def _letter(as_of: str, recipient: str) -> Column:
-    """From findings, collection_cents, account and provider."""
+    """From a result's LETTER_COLUMNS."""
+    account, provider = _single("collection", "account"), _single("bill", "provider")
     if recipient not in RECIPIENTS:
         raise ValueError("Choose provider or collector.")
     if recipient == "provider":
-        greeting = F.concat(F.lit("To the billing team"), F.coalesce(F.concat(F.lit(" at "), F.nullif("provider", F.lit(""))), F.lit("")), F.lit(","))
+        greeting = F.concat(F.lit("To the billing team"), F.coalesce(F.concat(F.lit(" at "), F.nullif(provider, F.lit(""))), F.lit("")), F.lit(","))
         opening = W.I_AM_REQUESTING_A_REVIEW
     else:
         greeting = F.lit(W.TO_THE_DEBT_COLLECTOR)
@@ -55,7 +59,7 @@ def _letter(as_of: str, recipient: str) -> Column:
     body = F.flatten(
         F.array(
             some(always, as_of, "", greeting, "", opening),
-            some(F.coalesce(F.col("account") != "", F.lit(False)), "", F.concat(F.lit(W.ACCOUNT_REFERENCE_SHOWN_ON_THE), F.col("account"), F.lit("."))),
+            some(F.coalesce(account != "", F.lit(False)), "", F.concat(F.lit(W.ACCOUNT_REFERENCE_SHOWN_ON_THE), account, F.lit("."))),
             some(F.col("collection_cents").isNotNull(), F.concat(F.lit(W.THE_SUPPLIED_COLLECTION_NOTICE_REQUESTS), dollars(F.col("collection_cents")), F.lit("."))),
             some(F.size(useful) > 0, "", W.THE_FOLLOWING_POINTS_NEED_CLARIFICATION),
             F.transform(useful, bullet),
@@ -70,59 +74,41 @@ def _letter(as_of: str, recipient: str) -> Column:
     return F.array_join(body, "\n")
 
 
-def _list(rows: DataFrame, order: list[str], html: Column, name: str) -> DataFrame:
-    """One string for each case: pieces of markup in order."""
-    parts = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*order, html.alias("_html")))).alias("_p"))
-    return parts.select("case_id", F.array_join(F.transform("_p", lambda x: x["_html"]), "").alias(name))
-
-
 def attachments(documents: DataFrame) -> DataFrame:
-    label = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in K.KINDS.items()], F.col("kind"))
-    item = F.concat(F.lit("<li>"), html_escape(F.col("title")), F.lit(" · "), html_escape(label), F.lit(" · "), html_escape(F.col("doc_id")), F.lit("</li>"))
-    return _list(documents.where("included"), ["doc_ordinal"], item, "attachments")
+    """(case_id, attachments): a list item for each included document, in order."""
+    return _documents(documents).select("case_id", _joined("_d").alias("attachments"))
 
 
 def fact_rows(documents: DataFrame, facts: DataFrame) -> DataFrame:
-    docs = documents.where("included").select("case_id", "doc_ordinal", "doc_id")
-    rows = facts.where("confirmed").join(docs, ["case_id", "doc_ordinal"])
-    label = F.coalesce(*[F.when(F.col("field") == k, F.lit(v)) for k, v in K.FIELD_LABELS.items()], F.col("field"))
-    note = F.when(F.col("origin") == "user", W.USER_CORRECTED_VALUE_ORIGINAL_SOURCE).otherwise(W.REVIEWED_DOCUMENT_EXTRACTION)
-    item = F.concat(
-        F.lit("<tr><td>"), html_escape(F.concat("doc_id", F.lit("."), "field")), F.lit("</td><td>"), html_escape(label), F.lit("<br><strong>"), html_escape(F.col("value")),
-        F.lit("</strong></td><td>Page "), F.col("page").cast("string"), F.lit(": "), html_escape(F.col("quote")), F.lit("<br><small>"), html_escape(note), F.lit("</small></td></tr>"),
-    )
-    return _list(rows, ["doc_ordinal", "field_ordinal"], item, "fact_rows")
+    """(case_id, fact_rows): a table row for each confirmed fact of an included document, in order."""
+    return _exhibits(documents, facts).where("size(_f) > 0").select("case_id", _joined("_f").alias("fact_rows"))
 
 
-def finding_sections(result: DataFrame) -> DataFrame:
-    findings, ledger = _sections()
-    return result.select("case_id", findings.alias("findings_html"), ledger.alias("ledger_html"))
+def _joined(column: str) -> Column:
+    return F.array_join(F.transform(column, lambda x: x["html"]), "")
 
 
-def _sections() -> tuple[Column, Column]:
-    """Mark-up of the columns findings and ledger."""
-    one = lambda f: F.concat(F.lit("<article><h3>"), html_escape(f["title"]), F.lit("</h3><p>"), html_escape(f["detail"]), F.lit("</p><small>"), html_escape(F.array_join(f["refs"], ", ")), F.lit("</small></article>"))
-    row = lambda x: F.concat(F.lit("<tr><td>"), html_escape(x["label"]), F.lit("</td><td>"), html_escape(dollars(x["cents"])), F.lit("</td><td>"), html_escape(F.array_join(x["refs"], ", ")), F.lit("</td></tr>"))
-    return F.array_join(F.transform("findings", one), ""), F.array_join(F.transform("ledger", row), "")
+def _documents(documents: DataFrame) -> DataFrame:
+    label = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in K.KINDS.items()], F.col("kind"))
+    item = F.concat(F.lit("<li>"), html_escape(F.col("title")), F.lit(" · "), html_escape(label), F.lit(" · "), html_escape(F.col("doc_id")), F.lit("</li>"))
+    return documents.where("included").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("doc_ordinal", "doc_id", item.alias("html")))).alias("_d"))
 
 
-def packets(result: DataFrame, documents: DataFrame, facts: DataFrame, *, as_of: str, recipient: str = "provider", override: DataFrame | None = None) -> DataFrame:
-    """(case_id, html): the whole packet. ``override`` (case_id, letter) replaces drafted letters."""
-    # letter, findings and ledger all come from the one row of a case, so it is reconciled once
-    findings, ledger = _sections()
-    rows = _addressed(result.select("case_id", "findings", "ledger", "collection_cents"), documents, facts)
-    rows = rows.select("case_id", findings.alias("findings_html"), ledger.alias("ledger_html"), _letter(as_of, recipient).alias("letter"))
-    if override is not None:
-        rows = rows.join(override.select("case_id", F.col("letter").alias("edited")), "case_id", "left")
-    else:
-        rows = rows.withColumn("edited", F.lit(None).cast("string"))
-    all_ = rows.join(attachments(documents), "case_id", "left").join(fact_rows(documents, facts), "case_id", "left")
+def _exhibits(documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """(case_id, _d, _f): mark-up of the included documents of a case and of their confirmed facts. Each table goes to its
+    case once; facts find their document there."""
+    label = F.coalesce(*[F.when(F.col("field") == k, F.lit(v)) for k, v in K.FIELD_LABELS.items()], F.col("field"))
     note = F.when(F.col("origin") == "user", W.USER_CORRECTED_VALUE_ORIGINAL_SOURCE).otherwise(W.REVIEWED_DOCUMENT_EXTRACTION)
-    item = F.concat(
-        F.lit("<tr><td>"), html_escape(F.concat("doc_id", F.lit("."), "field")), F.lit("</td><td>"), html_escape(label), F.lit("<br><strong>"), html_escape(F.col("value")),
+    rest = F.concat(
+        F.lit("</td><td>"), html_escape(label), F.lit("<br><strong>"), html_escape(F.col("value")),
         F.lit("</strong></td><td>Page "), F.col("page").cast("string"), F.lit(": "), html_escape(F.col("quote")), F.lit("<br><small>"), html_escape(note), F.lit("</small></td></tr>"),
     )
-    return _list(rows, ["doc_ordinal", "field_ordinal"], item, "fact_rows")
+    rows = facts.where("confirmed").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("doc_ordinal", "field_ordinal", "field", rest.alias("rest")))).alias("_r"))
+    held = _documents(documents).join(rows, "case_id", "left")
+    name = lambda f: F.get(F.filter("_d", lambda d: d["doc_ordinal"] == f["doc_ordinal"]), F.lit(0))["doc_id"]
+    item = lambda f: F.struct(F.concat(F.lit("<tr><td>"), html_escape(F.concat(name(f), F.lit("."), f["field"])), f["rest"]).alias("html"))
+    known = F.filter(F.coalesce("_r", F.expr("array()")), lambda f: F.exists("_d", lambda d: d["doc_ordinal"] == f["doc_ordinal"]))
+    return held.select("case_id", "_d", F.transform(known, item).alias("_f"))
 
 
 def finding_sections(result: DataFrame) -> DataFrame:
@@ -137,14 +123,21 @@ def _sections() -> tuple[Column, Column]:
     return F.array_join(F.transform("findings", one), ""), F.array_join(F.transform("ledger", row), "")
 
 
+PACKET_COLUMNS = (*LETTER_COLUMNS, "ledger")
+
+
 def packets(result: DataFrame, documents: DataFrame, facts: DataFrame, *, as_of: str, recipient: str = "provider", override: DataFrame | None = None) -> DataFrame:
-    """(case_id, html): the whole packet. ``override`` (case_id, letter) replaces drafted letters."""
-    letters = letter_text(result, documents, facts, as_of=as_of, recipient=recipient)
+    """(case_id, html): the whole packet, from the result's PACKET_COLUMNS. ``override`` (case_id, letter) replaces drafted
+    letters. Letter, findings and ledger come from the one row of a case, so it is reconciled once; with its exhibits
+    that is four exchanges, all by case."""
+    findings, ledger = _sections()
+    rows = result.select("case_id", findings.alias("findings_html"), ledger.alias("ledger_html"), _letter(as_of, recipient).alias("letter"))
     if override is not None:
-        letters = letters.join(override.select("case_id", F.col("letter").alias("edited")), "case_id", "left")
+        rows = rows.join(override.select("case_id", F.col("letter").alias("edited")), "case_id", "left")
     else:
-        letters = letters.withColumn("edited", F.lit(None).cast("string"))
-    all_ = finding_sections(result).join(letters, "case_id").join(attachments(documents), "case_id", "left").join(fact_rows(documents, facts), "case_id", "left")
+        rows = rows.withColumn("edited", F.lit(None).cast("string"))
+    exhibits = _exhibits(documents, facts).select("case_id", _joined("_d").alias("attachments"), _joined("_f").alias("fact_rows"))
+    all_ = rows.join(exhibits, "case_id", "left")
     note = F.when(F.col("edited").isNotNull(), W.EDITED_DRAFT_SUPPLIED_BY_THE).otherwise(W.DRAFT_ASSEMBLED_FROM_THE_CONFIRMED)
     sources = "".join(f'<li><a href="{u}">{t}</a></li>' for t, u in SOURCES.items())
     title = "Provider inquiry" if recipient == "provider" else W.COLLECTOR_DISPUTE_INFORMATION_REQUEST

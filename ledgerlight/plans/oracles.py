@@ -113,6 +113,9 @@ def _in(items) -> str:
     return "(" + ", ".join(_quoted(x) for x in items) + ")"
 
 
+_ODD = _quoted(" <b class=\"x\">'&amp;'</b>")
+
+
 def escape(x: str) -> str:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         x = f"replace({x}, {_quoted(a)}, '{b}')"
@@ -127,8 +130,8 @@ ORACLES |= {
     "identity_norm": f"{_FACTS} SELECT case_id, doc_ordinal, field, {norm('value')} AS normal FROM facts WHERE field IN {_in(K.IDENTITY)}",
     "strict_dates": f"{_FACTS} SELECT case_id, doc_ordinal, field, strftime({day('value')}, '%Y-%m-%d') AS day FROM facts WHERE field IN {_in(K.DATE_FIELDS)}",
     "money_cents": f"{_FACTS} SELECT case_id, doc_ordinal, field, cast({cents('value')} AS varchar) AS cents FROM facts WHERE field IN {_in(K.MONEY_FIELDS)}",
-    "dollars_fmt": f"{_FACTS} SELECT case_id, doc_ordinal, {usd(cents('value'))} AS shown FROM facts WHERE field = 'balance'",
-    "html_escape": f"WITH {bridge.CASE_DOCS} SELECT case_id, doc_ordinal, {escape('title')} AS title FROM case_docs",
+    "dollars_fmt": f"{_FACTS} SELECT case_id, doc_ordinal, field, {usd(cents('value'))} AS shown FROM facts WHERE field IN {_in(K.MONEY_FIELDS)}",
+    "html_escape": f"WITH {bridge.CASE_DOCS} SELECT case_id, doc_ordinal, {escape('(title || ' + _ODD + ')')} AS title, {escape('(text || ' + _ODD + ')')} AS text FROM case_docs",
     "included_docs": f"WITH {bridge.CASE_DOCS} SELECT case_id, count(*) FILTER (included) AS included, count(*) FILTER (NOT included) AS left_out FROM case_docs GROUP BY 1",
     "masked_accounts": f"{_FACTS} SELECT case_id, doc_ordinal FROM facts WHERE field = 'account' AND regexp_matches(value, '\\*|[xX]{{3,}}')",
     "settled_payments": f"{_FACTS} SELECT case_id, doc_ordinal, {norm('value')} IN {_in(K.SETTLED)} AS settled FROM facts WHERE field = 'payment_status'",
@@ -156,11 +159,10 @@ ORACLES |= {
       FROM facts WHERE field NOT IN ('provider', 'balance')) SELECT * FROM n WHERE value IS NOT NULL""",
     # what a field's value becomes; texts of labels whose value can't be one give a warning
     "local_warnings": f"""{_FACTS}, n AS (SELECT *, CASE WHEN field IN {_in(K.MONEY_FIELDS)} THEN {cents('value')} IS NOT NULL
-          WHEN field IN {_in(K.DATE_FIELDS)} THEN coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%m/%d/%Y')) IS NOT NULL ELSE true END AS good FROM facts),
-        own AS (SELECT case_id, doc_ordinal, string_agg('Review ' || {_LABEL} || ': the source value could not be parsed. | ', '' ORDER BY field_ordinal) AS notes
-          FROM n WHERE NOT good AND field NOT IN ('provider', 'balance') GROUP BY 1, 2)
-      SELECT d.case_id, d.doc_ordinal, coalesce(notes, '') || 'Conflicting {K.FIELD_LABELS["balance"]} values; confirm the applicable one manually. | Review {K.FIELD_LABELS["charges"]}: the source value could not be parsed.' AS warnings
-      FROM case_docs d LEFT JOIN own ON d.case_id = own.case_id AND d.doc_ordinal = own.doc_ordinal""",
+          WHEN field IN {_in(K.DATE_FIELDS)} THEN coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%m/%d/%Y')) IS NOT NULL ELSE true END AS good FROM facts)
+      SELECT case_id, doc_ordinal, coalesce(string_agg('Review ' || {_LABEL} || ': the source value could not be parsed. | ', '' ORDER BY field_ordinal) FILTER (NOT good AND field NOT IN ('provider', 'balance')), '')
+        || 'Conflicting {K.FIELD_LABELS["balance"]} values; confirm the applicable one manually. | Review {K.FIELD_LABELS["charges"]}: the source value could not be parsed.' AS warnings
+      FROM n GROUP BY 1, 2""",
     "validate_fields": f"""{_FACTS}, n AS (SELECT *, CASE WHEN field IN {_in(K.MONEY_FIELDS)} THEN {cents('value')} IS NOT NULL
           WHEN field IN {_in(K.DATE_FIELDS)} THEN coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%m/%d/%Y')) IS NOT NULL ELSE true END AS good FROM facts)
       SELECT case_id, doc_ordinal, cast(count(*) FILTER (good) AS int) AS n_fields,

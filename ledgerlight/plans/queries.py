@@ -221,13 +221,15 @@ def money_cents(spark, sf_dir):
 @query
 def dollars_fmt(spark, sf_dir):
     _, facts = bundle(spark, sf_dir)
-    return facts.where(F.col("field") == "balance").select("case_id", "doc_ordinal", S.dollars(S.money_cents(F.col("value"))).alias("shown"))
+    return facts.where(F.col("field").isin(*K.MONEY_FIELDS)).select("case_id", "doc_ordinal", "field", S.dollars(S.money_cents(F.col("value"))).alias("shown"))
 
 
 @query
 def html_escape(spark, sf_dir):
+    """Titles and texts of all documents, each with all five characters that are escaped."""
     docs, _ = bundle(spark, sf_dir)
-    return docs.select("case_id", "doc_ordinal", S.html_escape(F.col("title")).alias("title"))
+    odd = lambda c: S.html_escape(F.concat(F.col(c), F.lit(" <b class=\"x\">'&amp;'</b>"))).alias(c)
+    return docs.select("case_id", "doc_ordinal", odd("title"), odd("text"))
 
 
 @query
@@ -514,7 +516,7 @@ def letter_points(spark, sf_dir):
 @query
 def letter_text(spark, sf_dir):
     docs, facts = bundle(spark, sf_dir)
-    return packet.letter_text(cases.settled(cases.reconcile(docs, facts), "findings", "collection_cents"), docs, facts, as_of="2026-01-01").select("case_id", "letter")
+    return packet.letter_text(cases.settled(cases.reconcile(docs, facts), *packet.LETTER_COLUMNS), as_of="2026-01-01").select("case_id", "letter")
 
 
 @query
@@ -535,4 +537,4 @@ def packet_findings(spark, sf_dir):
 @query
 def packet_html(spark, sf_dir):
     docs, facts = bundle(spark, sf_dir)
-    return packet.packets(cases.settled(cases.reconcile(docs, facts), "findings", "ledger", "collection_cents"), docs, facts, as_of="2026-01-01")
+    return packet.packets(cases.settled(cases.reconcile(docs, facts), *packet.PACKET_COLUMNS), docs, facts, as_of="2026-01-01")

@@ -103,12 +103,12 @@ def test_packet(spark, results):
     evil = copy.deepcopy(base())
     evil["bill"]["provider"] = evil["collection"]["provider"] = "<script>"
     d, f = frames(spark, [evil])
-    html = packet.packets(cases.settled(cases.reconcile(d, f), "findings", "ledger", "collection_cents"), d, f, as_of="2026-01-01").first()["html"]
+    html = packet.packets(cases.settled(cases.reconcile(d, f), *packet.PACKET_COLUMNS), d, f, as_of="2026-01-01").first()["html"]
     assert "<script>" not in html and "&lt;script&gt;" in html and "Provider inquiry" in html
-    letter = packet.letter_text(r, docs, facts, as_of="2026-01-01", recipient="collector").where("case_id = 0").first()["letter"]
+    letter = packet.letter_text(r, as_of="2026-01-01", recipient="collector").where("case_id = 0").first()["letter"]
     assert letter.startswith("2026-01-01\n\nTo the debt collector,") and "requests $150.00." in letter
     with pytest.raises(ValueError):
-        packet.letter_text(r, docs, facts, as_of="2026-01-01", recipient="nobody")
+        packet.letter_text(r, as_of="2026-01-01", recipient="nobody")
 
 
 def test_edits(spark, results):

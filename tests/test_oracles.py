@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "archive_totals", "pattern_counts", "narrative_extract", "fact_grid", "case_outcomes", "doc_cards", "normalize_value", "money_cents", "line_split", "label_parse", "local_fields",
-    "local_warnings", "validate_fields", "case_fingerprint", "evidence_refs", "evidence_resolve", "letter_text", "packet_findings", "packet_html",
+    "local_warnings", "validate_fields", "case_fingerprint", "evidence_refs", "evidence_resolve", "letter_text", "packet_findings", "packet_html", "packet_facts", "packet_attachments",
+    "html_escape", "dollars_fmt", "csv_scan", "payment_groups",
 ]
 
 
