@@ -3,7 +3,8 @@
 Texts are TF-IDF vectors of hashed byte n-grams (2 and 3 bytes of the lower-cased text, letters only), normalised to
 length one. Each language has several centroids, found by spherical k-means over its training vectors; a text gets the
 language of the centroid of the highest cosine, and is rejected if that cosine is farther than almost all training texts of the
-cluster are. Fitted on at most ``per_language`` texts of each language and ``SAMPLE`` in all (those of the lowest hash), taken whole.
+cluster are. Fitted on at most ``per_language`` texts of each language and ``SAMPLE`` in all (those of the lowest hash), taken
+whole; an id that rows repeat is one text, and rows without an id are not learnt from.
 
 Defined results: a null text or one without letters is ``und`` with score 0; very short texts are judged by what they
 have; very long ones are counted whole in bounded memory; a language with fewer texts than centroids has as many
@@ -111,11 +112,13 @@ def fit(rows: np.ndarray, langs: list[str], centroids: int = CENTROIDS, rejected
 
 
 def training_rows(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """(_id, _lang, _text) of at most ``per_language`` rows of each language, those of the lowest hash, and of ``SAMPLE`` rows in all."""
-    known = df.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where("_lang is not null")
-    languages = known.select("_lang").distinct().count()
+    """(_id, _lang, _text) of at most ``per_language`` distinct ids of each language, those of the lowest hash, and of ``SAMPLE``
+    ids in all; rows without an id are not learnt from."""
+    known = df.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where("_id is not null and _lang is not null")
+    ids = known.select("_id", "_lang").distinct()  # places are given to ids, so rows that repeat one take no more than one
+    languages = ids.select("_lang").distinct().count()
     most = max(1, min(per_language, SAMPLE // max(1, languages)))
-    some = lowest_hash(known.select("_id", "_lang"), "_lang", "_id", most).select("_id").distinct()
+    some = lowest_hash(ids, "_lang", "_id", most).select("_id").distinct()
     # at most SAMPLE ids, or one for each language; one text of an id that rows repeat
     return known.join(F.broadcast(some), "_id", "left_semi").groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
 

@@ -597,6 +597,16 @@ def test_language(spark, empty):
     assert {r["doc_id"]: r["rejected"] for r in langid.identify(far, langid.fit_on(df, centroids=2)).collect()} == {0: True, 1: False}
 
 
+def test_language_samples_take_ids_not_rows(spark):
+    """Rows without an id, or a hundred of one, take no places from the others."""
+    common.ship(spark)
+    good = [(i, f"text {i}", "en", "s", 0.1, "n") for i in range(60)]
+    crowd = [(None, "none", "en", "s", 0.1, "n")] * 500 + [(i, f"text {i}", "en", "s", 0.1, "n") for i in range(5) for _ in range(100)]
+    got = langid.training_rows(spark.createDataFrame(good + crowd, DOCS), id_col="doc_id", text_col="text", lang_col="lang", per_language=40).collect()
+    assert len({r["_id"] for r in got}) == len(got) == 40 and all(r["_text"] == f"text {r['_id']}" for r in got)
+    assert {r["_id"] for r in got} == {r["_id"] for r in langid.training_rows(spark.createDataFrame(good, DOCS), id_col="doc_id", text_col="text", lang_col="lang", per_language=40).collect()}
+
+
 def test_languages_against_brute_force():
     """The nearest of all centroids by cosine, one text at a time."""
     r = random.Random(1)
