@@ -177,11 +177,12 @@ def api_filter_verify(spark, sf_dir):
 
 @query
 def csv_scan(spark, sf_dir):
-    """Complaints written as CSV and read back, with quotes, line breaks and all columns as text."""
+    """Complaints with quotes and line breaks in their narratives, written as CSV in order and read back in splits."""
     from ledgerlight.sources import complaints_csv
 
-    rows = complaints(spark, sf_dir)
-    return complaints_csv.round_trip(rows).select("complaint_id", "date_received", "product", "sub_product", "issue", "sub_issue", "narrative")
+    odd = F.concat(F.col("narrative"), F.lit(' "so\n, ""they"" said"\n\n'), F.col("complaint_id"))
+    rows = complaints(spark, sf_dir).withColumn("narrative", F.when(F.col("row_idx") % 3 == 1, odd).otherwise(F.col("narrative")))
+    return complaints_csv.round_trip(rows).select("row_idx", "complaint_id", "date_received", "product", "sub_product", "issue", "sub_issue", "narrative")
 
 
 # ---------------------------------------------------------------- cases
