@@ -51,7 +51,11 @@ def matches(pattern: str) -> Column:
 
 def flags(df: DataFrame) -> DataFrame:
     """Each unique narrative with one boolean for each pattern (p_) and document mention (d_)."""
-    return unique_narratives(df).withColumns({**{f"p_{i}": matches(p) for i, _, p in K.PATTERNS}, **{f"d_{i}": matches(p) for i, _, p in K.DOCUMENT_MENTIONS}})
+    return flagged(unique_narratives(df))
+
+
+def flagged(narratives: DataFrame) -> DataFrame:
+    return narratives.withColumns({**{f"p_{i}": matches(p) for i, _, p in K.PATTERNS}, **{f"d_{i}": matches(p) for i, _, p in K.DOCUMENT_MENTIONS}})
 
 
 def _counted(df: DataFrame, rows: list[tuple], names: str) -> DataFrame:
@@ -103,8 +107,12 @@ def period_guard(df: DataFrame, first: str = "2025-01-01", last: str = "2025-02-
 
 def narrative_extract(df: DataFrame) -> DataFrame:
     """One row for each unique narrative with the ids of what it matches, in definition order."""
+    return extracted(flags(df))
+
+
+def extracted(flagged_rows: DataFrame) -> DataFrame:
     named = lambda items, prefix: F.filter(F.array(*[F.when(F.col(f"{prefix}_{i}"), F.lit(i)) for i, _, _ in items]), lambda x: x.isNotNull())
-    return flags(df).select(
+    return flagged_rows.select(
         "complaint_id", F.date_format("received", "yyyy-MM-dd").alias("date_received"), "issue", "sub_issue", "narrative", "narrative_sha256",
         named(K.PATTERNS, "p").alias("matched_patterns"), named(K.DOCUMENT_MENTIONS, "d").alias("document_mentions"),
     )

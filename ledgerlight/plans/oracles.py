@@ -69,6 +69,16 @@ def _ids(items) -> str:
 ORACLES["narrative_extract"] = (
     f"{_MED} SELECT complaint_id, strftime(received, '%Y-%m-%d') AS date_received, issue, sub_issue, told AS narrative, h AS narrative_sha256, {_ids(K.PATTERNS)} AS matched_patterns, {_ids(K.DOCUMENT_MENTIONS)} AS document_mentions FROM uniq"
 )
+ORACLES["refresh_narratives"] = f"{_MED} SELECT complaint_id, strftime(received, '%Y-%m-%d') AS date_received, issue, h AS narrative_sha256, {_ids(K.PATTERNS)} AS matched_patterns FROM uniq"
+_LISTED = {
+    "monthly_counts": ("strftime(received, '%Y-%m')", "med"), "issue_counts": ("issue", "med"), "not_owed_subissues": ("sub_issue", f"med WHERE issue = '{K.NOT_OWED}'"),
+    "narrative_issue_counts_before_dedup": ("issue", "hashed"), "unique_not_owed_subissues": ("sub_issue", f"uniq WHERE issue = '{K.NOT_OWED}'"),
+}
+ORACLES["research_refresh"] = (
+    _MED
+    + " UNION ALL ".join(f"SELECT '{n}' AS list, cast(row_number() OVER (ORDER BY count(*) DESC, min(row_idx)) AS int) AS place, {x} AS label, count(*) AS count FROM {rows} GROUP BY {x}" for n, (x, rows) in _LISTED.items())
+    + "".join(f" UNION ALL SELECT '{n}', {i + 1}, {_quoted(label)}, count(*) FILTER ({_hit(p)}) FROM uniq" for n, items in (("patterns", K.PATTERNS), ("document_mentions", K.DOCUMENT_MENTIONS)) for i, (_, label, p) in enumerate(items))
+)
 ORACLES["text_dedup"] = "SELECT sha256(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1"
 ORACLES["api_summary"] = f"""{_MED},
 per_issue AS (SELECT issue, count(*) AS n, row_number() OVER (ORDER BY issue) - 1 AS i FROM med GROUP BY issue),

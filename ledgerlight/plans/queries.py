@@ -185,6 +185,30 @@ def csv_scan(spark, sf_dir):
     return complaints_csv.round_trip(rows).select("row_idx", "complaint_id", "date_received", "product", "sub_product", "issue", "sub_issue", "narrative")
 
 
+@query
+def research_refresh(spark, sf_dir):
+    """The published artifact's lists, read back: the refresh scans the complaints once and publishes if all dates are in the period."""
+    from ledgerlight.sources import outputs, refresh
+
+    path = outputs.scratch(spark, "refresh")
+    refresh.refresh(complaints(spark, sf_dir), path)
+    entry = "array<struct<label:string,count:bigint>>"
+    parsed = spark.read.text(f"{path}/artifact").select(F.from_json("value", ", ".join(f"{name} {entry}" for name in (*refresh.LISTS, "patterns", "document_mentions")), {"mode": "FAILFAST"}).alias("a")).select("a.*")
+    listed = lambda name: F.transform(name, lambda x, i: F.struct(F.lit(name).alias("list"), (i + 1).alias("place"), x["label"].alias("label"), x["count"].alias("count")))
+    return parsed.select(F.inline(F.flatten(F.array(*map(listed, parsed.columns)))))
+
+
+@query
+def refresh_narratives(spark, sf_dir):
+    """The published extract of narratives, read back."""
+    from ledgerlight.sources import outputs, refresh
+
+    path = outputs.scratch(spark, "refresh")
+    refresh.refresh(complaints(spark, sf_dir), path)
+    rows = spark.read.schema("complaint_id string, date_received string, issue string, narrative_sha256 string, matched_patterns array<string>").json(f"{path}/narratives")
+    return rows.withColumn("matched_patterns", text("matched_patterns"))
+
+
 # ---------------------------------------------------------------- cases
 
 

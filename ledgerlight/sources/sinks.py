@@ -26,26 +26,6 @@ def write_packets(packets: DataFrame, path: str, files: int = 200) -> None:
     packets.select("case_id", "html").repartition(files, "case_id").sortWithinPartitions("case_id").write.json(path)
 
 
-def artifact(complaints: DataFrame) -> dict:
-    """The archive's aggregates, all of bounded size, as one document."""
-    rows = lambda df, *keys: [{k: r[k] for k in keys} for r in df.collect()]
-    prepared = research.prepared(complaints)
-    guard = research.period_guard(complaints).first()
-    if guard["unreadable"] or guard["out_of_period"]:
-        raise ValueError(f"Found {guard['unreadable'] + guard['out_of_period']} medical rows outside the specified archive period")
-    totals = research.archive_totals(complaints)
-    top = lambda df, c: rows(research.top_labels(df, c), "label", "count")
-    return {
-        **totals.first().asDict(),
-        **research.coverage_pct(totals).first().asDict(),
-        "issue_counts": top(prepared, "issue"),
-        "narrative_issue_counts_before_dedup": top(prepared.where("narrative is not null"), "issue"),
-        "patterns": rows(research.pattern_counts(complaints).orderBy("ordinal"), "id", "label", "count"),
-        "document_mentions": rows(research.document_mentions(complaints).orderBy("ordinal"), "id", "label", "count"),
-        "pattern_document_matrix": rows(research.pattern_matrix(complaints).orderBy("ordinal"), "pattern_id", "document_id", "count"),
-    }
-
-
 def source_entry(name: str, url: str, path: str, sha256: str, retrieved_at: str, root: str) -> dict:
     return {"name": name, "source_url": url, "retrieved_at": retrieved_at, "sha256": sha256, "bytes": os.path.getsize(path), "local_path": _shown_path(path, root)}
 
@@ -63,4 +43,4 @@ def manifest(path: str, sources: list[dict], output: str, output_sha256: str, *,
 
 def headline_numbers(api_total: int, totals: dict, output: str) -> str:
     """The run's summary as JSON text: five entries for a command line."""
-    return json.dumps({"annual_complaints": api_total, "archive_medical_complaints": totals["medical_total"], "with_narratives": totals["with_narrative"], "unique_narratives": totals["unique_narratives"], "output": output}, indent=2)
+    return json.dumps({"annual_complaints": api_total, "archive_medical_complaints": totals["medical_total"], "with_narratives": totals["medical_with_narrative"], "unique_narratives": totals["unique_narratives"], "output": output}, indent=2)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import scalars
 from ledgerlight.operators import research
-from ledgerlight.sources import artifacts, complaints_csv, sinks, uploads
+from ledgerlight.sources import artifacts, complaints_csv, outputs, refresh, sinks, uploads
 
 HEAD = ["Date received", "Product", "Sub-product", "Issue", "Sub-issue", "Consumer complaint narrative", "Complaint ID"]
 ROWS = [
@@ -150,7 +150,7 @@ def test_json_sinks(spark, complaints, tmp_path):
     assert (tmp_path / "a.json").read_text() == '{\n  "é": 1\n}\n'
     sinks.write_narratives(complaints, str(tmp_path / "n"))
     assert {r["complaint_id"] for r in spark.read.json(str(tmp_path / "n")).collect()} == {"1", "4"}
-    found = sinks.artifact(complaints)
+    found = refresh.refresh(complaints, str(tmp_path / "out"))
     assert found["unique_narratives"] == 2 and found["issue_counts"][0] == {"label": "Attempts to collect debt not owed", "count": 2}
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "s.bin").write_bytes(b"123")
@@ -174,3 +174,48 @@ def test_pasted_text(spark):
     assert uploads.pasted(spark, " \u00a0Balance: 1\n").first()["text"] == "Balance: 1"
     with pytest.raises(ValueError):
         uploads.pasted(spark, " \n")
+
+
+def plain_refresh(spark, rows):
+    """The artifact's numbers by separate queries, each with a scan of its own."""
+    made, top = research.prepared(rows), lambda df, c: [{"label": r["label"], "count": r["count"]} for r in research.top_labels(df, c).collect()]
+    totals, owed = research.archive_totals(rows).first(), F.col("issue") == "Attempts to collect debt not owed"
+    named = lambda df, *keys: [{k: r[k] for k in keys} for r in df.orderBy("ordinal").collect()]
+    return {
+        "archive_total_rows": totals["total_rows"], "medical_total": totals["medical_total"], "medical_with_narrative": totals["with_narrative"], "medical_without_narrative": totals["without_narrative"],
+        "unique_narratives": totals["unique_narratives"], "duplicate_narratives": totals["duplicate_narratives"], "narrative_coverage_pct": research.coverage_pct(research.archive_totals(rows)).first()[0],
+        "monthly_counts": top(made.withColumn("month", F.date_format("received", "yyyy-MM")), "month"), "issue_counts": top(made, "issue"), "not_owed_subissues": top(made.where(owed), "sub_issue"),
+        "narrative_issue_counts_before_dedup": top(made.where("narrative is not null"), "issue"), "unique_not_owed_subissues": top(research.unique_narratives(rows).where(owed), "sub_issue"),
+        "patterns": named(research.pattern_counts(rows), "id", "label", "count"), "document_mentions": named(research.document_mentions(rows), "id", "label", "count"),
+        "pattern_document_matrix": named(research.pattern_matrix(rows), "pattern_id", "document_id", "count"),
+    }
+
+
+def test_refresh_scans_once_and_publishes_whole(spark, tmp_path):
+    from ledgerlight.plans import queries
+
+    rows, read = queries.complaints(spark, "/root/testdata/sf0.001"), spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    path = str(tmp_path / "out")
+    got = refresh.refresh(rows.mapInArrow(counting, rows.schema), path)
+    assert read.value == rows.count()  # one scan
+    assert got == plain_refresh(spark, rows)
+    assert json.loads(spark.read.text(f"{path}/artifact").first()[0]) == got
+    written = {r["narrative_sha256"]: (r["complaint_id"], r["matched_patterns"]) for r in spark.read.json(f"{path}/narratives").collect()}
+    assert written == {r["narrative_sha256"]: (r["complaint_id"], r["matched_patterns"]) for r in research.narrative_extract(rows).collect()}
+    bad = rows.where("row_idx < 100").unionByName(rows.where("row_idx = 3 and product is not null").limit(1).withColumn("date_received", F.lit("2025-03-01")).withColumn("product", F.lit("Debt collection")).withColumn("sub_product", F.lit("Medical debt")))
+    with pytest.raises(refresh.OutOfPeriod, match="^1 medical rows"):
+        refresh.refresh(bad, path)
+    with pytest.raises(refresh.OutOfPeriod):
+        refresh.refresh(bad, str(tmp_path / "other"))
+    assert json.loads(spark.read.text(f"{path}/artifact").first()[0]) == got and [x.name for x in tmp_path.iterdir()] == ["out"]  # as it was
+    again = refresh.refresh(rows.where("row_idx < 100"), path)
+    assert json.loads(spark.read.text(f"{path}/artifact").first()[0]) == again != got and [x.name for x in tmp_path.iterdir()] == ["out"]
+    none = refresh.refresh(rows.limit(0), str(tmp_path / "none"))
+    assert none["unique_narratives"] == none["archive_total_rows"] == 0 and none["issue_counts"] == []
+    assert not outputs.exists(spark, str(tmp_path / "nothing"))
