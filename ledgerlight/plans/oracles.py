@@ -87,6 +87,7 @@ SELECT 'total' AS level, 0 AS ordinal, 'total' AS label, count(*) AS count FROM
 UNION ALL SELECT 'issue', cast(i AS int), issue, n FROM per_issue
 UNION ALL SELECT 'sub_issue', cast(i AS int), sub_issue, n FROM per_sub
 UNION ALL SELECT 'sample', 0, 'narratives', 0"""
+ORACLES["api_pages"] = f"{_MED} SELECT complaint_id, date_received, product, sub_product, issue, sub_issue, coalesce(narrative, '') AS narrative FROM med"
 ORACLES["api_filter_verify"] = "SELECT 3 AS hits, 0 AS wrong, true AS verified"
 ORACLES["csv_scan"] = f"""WITH {bridge.COMPLAINTS} SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, complaint_id, date_received, product, sub_product, issue, sub_issue,
   coalesce(CASE WHEN row_idx % 3 = 1 THEN narrative || ' "so' || chr(10) || ', ""they"" said"' || chr(10) || chr(10) || complaint_id ELSE narrative END, '') AS narrative FROM complaints"""

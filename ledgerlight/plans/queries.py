@@ -175,6 +175,23 @@ def api_filter_verify(spark, sf_dir):
     return research.api_filter_verified(api_response(spark, sf_dir))
 
 
+@query
+def api_pages(spark, sf_dir):
+    """Medical complaints laid down as pages of the API, a file each, and read through its data source."""
+    import json
+
+    from ledgerlight.sources import complaints_api, outputs
+
+    path, rows = outputs.scratch(spark, "pages"), research.medical(complaints(spark, sf_dir))
+    source = F.struct(*[F.col(c).alias(f) for c, f in complaints_api.FIELDS.items()]).alias("_source")
+    pages = rows.groupBy(F.floor(F.col("row_idx") / 10_000).alias("page")).agg(F.array_sort(F.collect_list(F.struct("row_idx", source))).alias("h"))  # at most 10,000 hits
+    hits = F.transform("h", lambda h: F.struct(h["_source"].alias("_source")))
+    body = F.to_json(F.struct(F.struct(F.struct(F.size("h").alias("value")).alias("total"), hits.alias("hits")).alias("hits")))
+    pages.select("page", body.alias("value")).write.partitionBy("page").text(path)
+    spark.dataSource.register(complaints_api.ComplaintsApi)
+    return spark.read.format("complaints_api").option("urls", json.dumps(sorted(spark.read.text(path).inputFiles()))).load().drop("row_idx")
+
+
 @query
 def csv_scan(spark, sf_dir):
     """Complaints with quotes and line breaks in their narratives, written as CSV in order and read back in splits."""
