@@ -465,3 +465,7 @@ _PARTS = [
 ORACLES["packet_html"] = f"""{_TOLD} SELECT letters.case_id, {" || ".join(_PARTS)} AS html
   FROM letters LEFT JOIN shown ON shown.case_id = letters.case_id LEFT JOIN booked ON booked.case_id = letters.case_id
   LEFT JOIN ({ORACLES["packet_attachments"]}) a ON a.case_id = letters.case_id LEFT JOIN ({ORACLES["packet_facts"]}) f ON f.case_id = letters.case_id"""
+ORACLES["sql_fields"] = ORACLES["local_fields"]
+ORACLES["sql_validated"] = f"""{_FACTS}, n AS (SELECT *, CASE WHEN field IN {_in(K.MONEY_FIELDS)} THEN cast(cast({cents('value')} / cast(100 AS decimal(5,0)) AS decimal(22,2)) AS varchar)
+        WHEN field IN {_in(K.DATE_FIELDS)} THEN strftime(coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%m/%d/%Y')), '%Y-%m-%d') ELSE value END AS given FROM facts)
+  SELECT case_id, doc_ordinal, field, given AS value, {_LABEL} || ': ' || value AS quote FROM n WHERE given IS NOT NULL"""

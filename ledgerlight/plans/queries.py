@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import constants as K
 from ledgerlight.functions import scalars as S
+from ledgerlight.functions import tables
 from ledgerlight.operators import cases, extract, packet, research, review
 from ledgerlight.plans import bridge
 
@@ -541,6 +542,29 @@ def validate_fields(spark, sf_dir):
     return extract.validated_fields(rows).select("case_id", "doc_ordinal", F.size("fields").alias("n_fields"), F.array_join("warnings", " | ").alias("warnings"))
 
 
+@query
+def sql_fields(spark, sf_dir):
+    """``local_fields`` as a query in SQL, with a table function."""
+    tables.register(spark)
+    bundle(spark, sf_dir)[0].createOrReplaceTempView("bridge_docs")
+    return spark.sql("SELECT d.case_id, d.doc_ordinal, f.field, f.value, f.page FROM bridge_docs d, LATERAL ll_fields(d.text, d.kind) f")
+
+
+@query
+def sql_validated(spark, sf_dir):
+    """The facts that ``validate_fields`` keeps, as a query in SQL: each proposed with its line, and one with a wrong quote."""
+    tables.register(spark)
+    docs, facts = bundle(spark, sf_dir)
+    docs.createOrReplaceTempView("bridge_docs")
+    facts.createOrReplaceTempView("bridge_facts")
+    return spark.sql("""
+        WITH given AS (
+          SELECT case_id, doc_ordinal, array_append(transform(array_sort(collect_list(struct(field_ordinal, field, value, quote))), x -> named_struct('key', x.field, 'value', x.value, 'quote', x.quote, 'page', 1)),
+                 named_struct('key', 'collector', 'value', 'Nobody', 'quote', 'no such line', 'page', 1)) AS proposals
+          FROM bridge_facts GROUP BY case_id, doc_ordinal)
+        SELECT d.case_id, d.doc_ordinal, f.field, f.value, f.quote FROM bridge_docs d JOIN given g ON d.case_id = g.case_id AND d.doc_ordinal = g.doc_ordinal, LATERAL ll_validated(d.text, g.proposals) f""")
+
+
 @query
 def doc_ids(spark, sf_dir):
     docs, _ = bundle(spark, sf_dir)
