@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import os
 import shutil
 import time
 import urllib.request
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,51 +21,61 @@ from ledgerlight.functions.scalars import strip
 from ledgerlight.operators.research import API_SCHEMA, api_filter_verified
 from ledgerlight.sources.sinks import write_json
 
+PLAIN, PDF = r"\.(txt|md)$", r"\.pdf$"
+# What can be the matter with a file, in the order it is looked for.
+TOO_LARGE, OTHER_KIND, NOT_TEXT, TOO_LONG = "file over 10 MiB", "neither text nor PDF by its name", "not UTF-8", "more than 60,000 characters"
+BROKEN, LOCKED, MANY_PAGES, NO_TEXT = "not a PDF that can be parsed", "PDF with a password", "more than 12 pages", "PDF without a text layer"
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.lower("path").alias("name"), "content")
+
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, problem) of .txt and .md files: UTF-8, with or without a mark, within the bounds. Files that can't be
     used have a problem and no text."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "length", F.lower("path").alias("name"), "content")
-    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^\ufeff", "")
-    plain = F.col("name").rlike(r"\.(txt|md)$")
-    problem = (
-        F.when(F.col("length") > UPLOAD_BYTES, "Please use a document smaller than 10 MB.")
-        .when(~plain, "Use a .txt, .md, or text-based .pdf document.")
-        .when(text.isNull(), "Please use UTF-8 text or a text PDF.")
-        .when(F.length(text) > UPLOAD_CHARS, "Document text exceeds 60,000 characters. Split it into smaller documents.")
+    decoded = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^\ufeff", "")
+    return _judged(
+        _files(spark, path).withColumn("given", decoded),
+        {TOO_LARGE: F.col("length") > UPLOAD_BYTES, OTHER_KIND: ~F.col("name").rlike(PLAIN), NOT_TEXT: F.col("given").isNull(), TOO_LONG: F.length("given") > UPLOAD_CHARS},
     )
-    return raw.select("path", F.when(problem.isNull(), text).alias("text"), problem.alias("problem"))
 
 
-def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, problem) of text PDFs, pages joined by form feeds. Needs pypdf on the executors."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
+def _judged(rows: DataFrame, problems: dict[str, F.Column]) -> DataFrame:
+    """(path, text, problem): the first problem that holds, else the text that is given."""
+    problem = F.coalesce(*[F.when(c, F.lit(p)) for p, c in problems.items()])
+    return rows.select("path", F.when(problem.isNull(), F.col("given")).alias("text"), problem.alias("problem"))
 
-    def run(frames):
-        import io
 
-        import pandas as pd
-        from pypdf import PdfReader
-
-        def one(data: bytes) -> tuple[str | None, str | None]:
-            if len(data) > UPLOAD_BYTES:
-                return None, "Please use a document smaller than 10 MB."
+def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text, problem) of text PDFs, pages joined by form feeds. Tasks take the pages out of the files (with pypdf,
+    which executors need); what is the matter with one is told from that, as for texts."""
+    files = _files(spark, path).where(F.col("name").rlike(PDF))
+    read = files.where(F.col("length") <= UPLOAD_BYTES).select("path", "content").mapInArrow(_pdf_pages, "path string, locked boolean, n int, pages array<string>")
+    rows = files.select("path", "length").join(read, "path", "left").withColumn("given", F.array_join("pages", "\f"))
+    blank = F.coalesce(strip(F.regexp_replace("given", "\f", " ")) == "", F.lit(True))
+    return _judged(rows, {TOO_LARGE: F.col("length") > UPLOAD_BYTES, BROKEN: F.col("n").isNull() & ~F.col("locked"), LOCKED: F.col("locked"), MANY_PAGES: F.col("n") > UPLOAD_PAGES, NO_TEXT: blank, TOO_LONG: F.length("given") > UPLOAD_CHARS})
+
+
+def _pdf_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, locked, n, pages): n is null for what isn't a PDF; pages are taken only of one that may be used."""
+    import pypdf
+
+    for batch in batches:
+        rows = []
+        for content in batch.column(1):
+            locked, n, pages = False, None, None
             try:
-                reader = PdfReader(io.BytesIO(data))
-                if reader.is_encrypted:
-                    return None, "Please provide an unlocked PDF."
-                if len(reader.pages) > UPLOAD_PAGES:
-                    return None, "Please upload at most 12 pages for one document."
-                text = "\f".join(p.extract_text() or "" for p in reader.pages)
-            except Exception:
-                return None, "This PDF could not be read. Paste its text instead."
-            return (text, None) if text.strip() else (None, "This PDF appears to be scanned. Paste its text; OCR is not enabled.")
-
-        for f in frames:
-            found = [one(bytes(x)) for x in f["content"]]
-            yield pd.DataFrame({"path": f["path"], "text": [x[0] for x in found], "problem": [x[1] for x in found]})
-
-    return raw.mapInPandas(run, "path string, text string, problem string")
+                found = pypdf.PdfReader(io.BytesIO(content.as_py()))
+                locked = found.is_encrypted
+                if not locked:
+                    n = found.get_num_pages()
+                    pages = [x.extract_text() or "" for x in found.pages] if n <= UPLOAD_PAGES else None
+            except Exception:  # a parser meets any bytes here; whatever it raises, the file can't be read
+                locked, n, pages = False, None, None
+            rows.append((locked, n, pages))
+        types = (pa.bool_(), pa.int32(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], ["path", "locked", "n", "pages"])
 
 
 def pasted(spark: SparkSession, text: str) -> DataFrame:
@@ -136,26 +149,26 @@ def utc(seconds: float) -> str:
     return datetime.fromtimestamp(int(seconds), UTC).isoformat()
 
 
-def download(url: str, path: str, sha256: str | None = None, limit: int = DOWNLOAD_BYTES) -> str:
-    """Fetch a file within a bound, by its header and by what arrives; renamed into place only when whole."""
-    part, digest, size = f"{path}.part", hashlib.sha256(), 0
-    try:
-        with urllib.request.urlopen(url, timeout=60) as source, open(part, "wb") as out:
-            if int(source.headers.get("Content-Length") or 0) > limit:
-                raise ValueError("Download exceeds the size limit")
-            while chunk := source.read(1 << 20):
-                size += len(chunk)
-                if size > limit:
-                    raise ValueError("Download exceeds the size limit")
-                digest.update(chunk)
-                out.write(chunk)
-        if sha256 and digest.hexdigest() != sha256:
-            raise ValueError("Checksum differs from the pinned release")
-        os.replace(part, path)
-    finally:
-        if os.path.exists(part):
-            os.remove(part)
-    return digest.hexdigest()
+def fetched(sources: DataFrame, limit: int = DOWNLOAD_BYTES) -> DataFrame:
+    """(url, content, sha256, problem) of sources (url, sha256): each is fetched by a task, which reads no more than the
+    limit. What is over it, doesn't have the digest that is given, or can't be fetched has a problem and no content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for url, pinned in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                problem, digest, data = None, None, b""
+                try:
+                    data = urllib.request.urlopen(url, timeout=60).read(limit + 1)
+                    digest = hashlib.sha256(data).hexdigest()
+                except OSError as e:
+                    problem = f"can't be fetched: {e}"
+                if len(data) > limit:
+                    problem = f"over {limit} bytes"
+                elif digest and pinned and pinned != digest:
+                    problem = "not the file that was pinned"
+                yield pa.RecordBatch.from_arrays([pa.array([url]), pa.array([None if problem else data], pa.binary()), pa.array([None if problem else digest], pa.string()), pa.array([problem], pa.string())], ["url", "content", "sha256", "problem"])
+
+    return sources.select("url", "sha256").mapInArrow(run, "url string, content binary, sha256 string, problem string")
 
 
 def file_sha256(path: str) -> str:

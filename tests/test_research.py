@@ -120,14 +120,63 @@ def test_responses_are_verified_and_kept_with_their_source(spark, tmp_path):
     assert set(uploads.cached_api(spark, good, kept, given=True)[1]) == {"retrieved_at"}
 
 
-def test_downloads_are_bounded_and_pinned(tmp_path):
+def test_downloads_are_bounded_and_pinned(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"x" * 5000)
-    url, to = f"file://{tmp_path}/a.bin", str(tmp_path / "b.bin")
-    assert uploads.download(url, to, sha256=uploads.file_sha256(tmp_path / "a.bin")) == uploads.file_sha256(to)
-    for limits in ({"limit": 4999}, {"sha256": "0" * 64}):
-        with pytest.raises(ValueError):
-            uploads.download(url, str(tmp_path / "c.bin"), **limits)
-    assert sorted(x.name for x in tmp_path.iterdir()) == ["a.bin", "b.bin"]
+    url, digest = f"file://{tmp_path}/a.bin", uploads.file_sha256(tmp_path / "a.bin")
+    sources = spark.createDataFrame([(url, digest), (url, None), (url, "0" * 64), (f"{url}.gone", None)], "url string, sha256 string")
+    got = [tuple(r) for r in uploads.fetched(sources).collect()]
+    assert got[0] == got[1] == (url, bytearray(b"x" * 5000), digest, None)
+    assert got[2] == (url, None, None, "not the file that was pinned") and got[3][1:3] == (None, None) and got[3][3].startswith("can't be fetched")
+    assert [r["problem"] for r in uploads.fetched(sources, limit=4999).collect()][:3] == ["over 4999 bytes"] * 3
+
+
+def test_archives_are_fetched_by_tasks(spark, tmp_path):
+    urls = [f"file://{archive(tmp_path / f'{n}.zip', {'t.csv': [HEAD, *ROWS[:k]]})}" for n, k in (("b", 2), ("a", 3))]
+    sources = spark.createDataFrame([(u, uploads.file_sha256(u.removeprefix("file://"))) for u in urls], "url string, sha256 string")
+    assert [r["complaint_id"] for r in complaints_csv.fetch_zipped(sources).orderBy("row_idx").collect()] == ["1", "2", "3", "1", "2"]
+    with pytest.raises(Exception, match="not the file that was pinned"):
+        complaints_csv.fetch_zipped(sources.withColumn("sha256", F.lit("0" * 64))).count()
+
+
+def test_pdfs_by_what_tasks_find(spark, tmp_path, monkeypatch):
+    """A stand-in for the parser: what is said of each file follows from what the task found in it."""
+    import pyarrow as pa
+
+    found = {"good": (False, 2, ["one", "two"]), "locked": (True, None, None), "broken": (False, None, None), "long": (False, 13, None), "scan": (False, 1, [" \n"]), "wide": (False, 1, ["x" * 60_001])}
+    for name in (*found, "huge", "text"):
+        (tmp_path / f"{name}.{'txt' if name == 'text' else 'PDF'}").write_bytes(b"x" * (uploads.UPLOAD_BYTES + 1 if name == "huge" else 3))
+
+    def pages(batches):
+        for b in batches:
+            rows = [found[p.rsplit("/", 1)[1].split(".")[0]] for p in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], ["path", "locked", "n", "pages"])
+
+    monkeypatch.setattr(uploads, "_pdf_pages", pages)
+    got = {r["path"].rsplit("/", 1)[1].split(".")[0]: (r["text"], r["problem"]) for r in uploads.read_pdfs(spark, str(tmp_path)).collect()}
+    assert got == {"good": ("one\ftwo", None), "locked": (None, uploads.LOCKED), "broken": (None, uploads.BROKEN), "long": (None, uploads.MANY_PAGES), "scan": (None, uploads.NO_TEXT), "wide": (None, uploads.TOO_LONG), "huge": (None, uploads.TOO_LARGE)}
+
+
+def test_pages_are_taken_out_of_pdfs(monkeypatch):
+    import sys
+    import types
+
+    import pyarrow as pa
+
+    class Reader:
+        def __init__(self, data):
+            kind = data.read().decode()
+            if kind == "bad":
+                raise KeyError("xref")
+            self.is_encrypted = kind == "locked"
+            self.pages = [types.SimpleNamespace(extract_text=lambda: None if kind == "bare" else "t")] * (13 if kind == "long" else 2)
+
+        def get_num_pages(self):
+            return len(self.pages)
+
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=Reader))
+    names = ["fine", "bare", "locked", "long", "bad"]
+    (out,) = uploads._pdf_pages([pa.RecordBatch.from_arrays([pa.array(names), pa.array([n.encode() for n in names])], ["path", "content"])])
+    assert [tuple(r.values()) for r in out.to_pylist()] == [("fine", False, 2, ["t", "t"]), ("bare", False, 2, ["", ""]), ("locked", True, None, None), ("long", False, 13, None), ("bad", False, None, None)]
 
 
 def test_artifacts_are_read_whatever_they_hold(spark, tmp_path):
