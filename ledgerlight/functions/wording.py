@@ -83,3 +83,9 @@ REVIEWED_DOCUMENT_EXTRACTION = "Reviewed document extraction"
 EDITED_DRAFT_SUPPLIED_BY_THE = "Edited draft supplied by the user; review every change against the evidence."
 DRAFT_ASSEMBLED_FROM_THE_CONFIRMED = "Draft assembled from the confirmed fields and the findings below."
 COLLECTOR_DISPUTE_INFORMATION_REQUEST = "Collector dispute / information request"
+
+# Warnings of extraction and validation (fixed values).
+REVIEW, COULD_NOT_BE_PARSED = "Review ", ": the source value could not be parsed."
+CONFLICTING, CONFIRM_MANUALLY, NEED_MANUAL_REVIEW = "Conflicting ", " values; confirm the applicable one manually.", " values need manual review."
+NO_LABELED_FIELDS_FOUND = "No labeled fields found. Add the relevant facts in review, or enable AI extraction."
+DISCARDED, NOT_SUPPORTED, NOT_VERIFIED = "Discarded ", ": its value was not supported by the quoted text.", ": its source quote could not be verified."

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import constants as K
+from ledgerlight.functions import wording as W
 from ledgerlight.functions.scalars import barrier, normalize_value, strip, supported_value
 
+
 def _map(items: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in items.items() for x in kv])
 
@@ -79,9 +81,9 @@ def local_fields(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_clash", clash_of)
     kept = F.transform(F.filter("_seen", lambda h: h["clash"].isNull()), lambda h: F.struct(h["field"], h["value"], h["quote"], h["page"]))
     open_ = lambda x: F.coalesce(x["pos"] < F.try_element_at(F.col("_clash"), x["field"]), F.lit(True))
-    bad = F.transform(F.filter("_lines", lambda x: x["value"].isNull() & open_(x)), lambda x: F.struct(x["pos"].alias("pos"), F.concat(F.lit("Review "), F.element_at(labels, x["field"]), F.lit(": the source value could not be parsed.")).alias("text")))
-    torn = F.transform(F.filter("_seen", lambda h: h["clash"].isNotNull()), lambda h: F.struct(h["clash"].alias("pos"), F.concat(F.lit("Conflicting "), F.element_at(labels, h["field"]), F.lit(" values; confirm the applicable one manually.")).alias("text")))
-    none = F.when(F.size("fields") == 0, F.array(F.lit("No labeled fields found. Add the relevant facts in review, or enable AI extraction."))).otherwise(F.array().cast("array<string>"))
+    bad = F.transform(F.filter("_lines", lambda x: x["value"].isNull() & open_(x)), lambda x: F.struct(x["pos"].alias("pos"), F.concat(F.lit(W.REVIEW), F.element_at(labels, x["field"]), F.lit(W.COULD_NOT_BE_PARSED)).alias("text")))
+    torn = F.transform(F.filter("_seen", lambda h: h["clash"].isNotNull()), lambda h: F.struct(h["clash"].alias("pos"), F.concat(F.lit(W.CONFLICTING), F.element_at(labels, h["field"]), F.lit(W.CONFIRM_MANUALLY)).alias("text")))
+    none = F.when(F.size("fields") == 0, F.array(F.lit(W.NO_LABELED_FIELDS_FOUND))).otherwise(F.array().cast("array<string>"))
     out = out.withColumn("fields", kept).withColumn("warnings", F.concat(_text_sorted(F.concat(bad, torn)), none))
     return barrier(out.drop("_lines", "_seen", "_clash"))
 
@@ -110,9 +112,9 @@ def validated_fields(docs: DataFrame) -> DataFrame:
     open_ = lambda x: F.coalesce(x["pos"] < F.try_element_at(F.col("_clash"), x["field"]), F.lit(True))
     bad = F.transform(
         F.filter("_items", lambda x: x["value"].isNull() & open_(x)),
-        lambda x: F.struct(x["pos"].alias("pos"), F.concat(F.lit("Discarded "), x["field"], F.when(x["found"], ": its value was not supported by the quoted text.").otherwise(": its source quote could not be verified.")).alias("text")),
+        lambda x: F.struct(x["pos"].alias("pos"), F.concat(F.lit(W.DISCARDED), x["field"], F.when(x["found"], W.NOT_SUPPORTED).otherwise(W.NOT_VERIFIED)).alias("text")),
     )
-    torn = F.transform(F.filter("_seen", lambda h: h["clash"].isNotNull()), lambda h: F.struct(h["clash"].alias("pos"), F.concat(F.lit("Conflicting "), h["field"], F.lit(" values need manual review.")).alias("text")))
+    torn = F.transform(F.filter("_seen", lambda h: h["clash"].isNotNull()), lambda h: F.struct(h["clash"].alias("pos"), F.concat(F.lit(W.CONFLICTING), h["field"], F.lit(W.NEED_MANUAL_REVIEW)).alias("text")))
     kept = F.transform(F.filter("_seen", lambda h: h["clash"].isNull()), lambda h: F.struct(h["field"], h["value"], h["quote"], h["page"]))
     return barrier(out.withColumn("fields", kept).withColumn("warnings", _text_sorted(F.concat(bad, torn))).drop("_pages", "_items", "_seen", "_clash"))
 

@@ -180,9 +180,10 @@ ORACLES |= {
       SELECT case_id, doc_ordinal, cast(count(*) FILTER (good) AS int) AS n_fields,
         coalesce(string_agg('Discarded ' || field || ': its value was not supported by the quoted text. | ', '' ORDER BY field_ordinal) FILTER (NOT good), '') || 'Discarded collector: its source quote could not be verified.' AS warnings
       FROM n GROUP BY 1, 2""",
-    "case_fingerprint": f"""{_FACTS}, f AS (SELECT case_id, string_agg(concat_ws(chr(30), cast(doc_ordinal AS varchar), field, value, cast(confirmed AS varchar), origin), chr(31) ORDER BY doc_ordinal, field_ordinal) AS t FROM facts GROUP BY 1),
-        d AS (SELECT case_id, string_agg(concat_ws(chr(30), cast(doc_ordinal AS varchar), doc_id, kind, title, text, cast(included AS varchar)), chr(31) ORDER BY doc_ordinal) AS t FROM case_docs GROUP BY 1)
-      SELECT d.case_id, substring(sha256(d.t || chr(29) || coalesce(f.t, '')), 1, 14) AS token FROM d LEFT JOIN f ON d.case_id = f.case_id""",
+    "case_fingerprint": f"""{_FACTS}, marked AS (
+        SELECT case_id, sha256(concat_ws(chr(30), 'document', cast(doc_ordinal AS varchar), doc_id, kind, title, text, cast(included AS varchar))) AS d FROM case_docs
+        UNION ALL SELECT case_id, sha256(concat_ws(chr(30), 'fact', cast(doc_ordinal AS varchar), cast(field_ordinal AS varchar), field, value, {_LABEL} || ': ' || value, '1', cast(confirmed AS varchar), origin)) FROM facts)
+      SELECT case_id, {" || ".join(f"format('{{:08x}}', cast(sum(cast('0x' || substr(d, {8 * i + 1}, 8) AS bigint)) % 4294967296 AS bigint))" for i in range(4))} AS token FROM marked GROUP BY 1""",
     "doc_ids": f"""WITH {bridge.CASE_DOCS}, h AS (SELECT case_id, doc_ordinal, 'doc-' || substring(sha256(kind || text), 1, 12) AS id FROM case_docs)
       SELECT case_id, doc_ordinal, CASE WHEN row_number() OVER (PARTITION BY case_id, id ORDER BY doc_ordinal) = 1 THEN id ELSE id || '-' || cast(doc_ordinal + 1 AS varchar) END AS new_id FROM h""",
     "packet_attachments": f"WITH {bridge.CASE_DOCS} SELECT case_id, string_agg('<li>' || {escape('title')} || ' · ' || {_KIND} || ' · ' || doc_id || '</li>', '' ORDER BY doc_ordinal) AS attachments FROM case_docs WHERE included GROUP BY 1",
@@ -469,3 +470,8 @@ ORACLES["sql_fields"] = ORACLES["local_fields"]
 ORACLES["sql_validated"] = f"""{_FACTS}, n AS (SELECT *, CASE WHEN field IN {_in(K.MONEY_FIELDS)} THEN cast(cast({cents('value')} / cast(100 AS decimal(5,0)) AS decimal(22,2)) AS varchar)
         WHEN field IN {_in(K.DATE_FIELDS)} THEN strftime(coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%m/%d/%Y')), '%Y-%m-%d') ELSE value END AS given FROM facts)
   SELECT case_id, doc_ordinal, field, given AS value, {_LABEL} || ': ' || value AS quote FROM n WHERE given IS NOT NULL"""
+_PROBLEM = f"""CASE WHEN field IN {_in(K.MONEY_FIELDS)} AND {cents('value')} IS NULL THEN 'Use an exact nonnegative dollar amount.'
+  WHEN field IN {_in(K.DATE_FIELDS)} AND NOT (regexp_full_match(value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_strptime(value, '%Y-%m-%d') IS NOT NULL) THEN 'Use YYYY-MM-DD for dates; leave unknown dates blank.' END"""
+ORACLES["field_problems"] = f"{_FACTS} SELECT case_id, doc_ordinal, field, {_PROBLEM} AS problem FROM facts"
+ORACLES["dollar_escape"] = f"WITH {bridge.CASE_DOCS} SELECT case_id, doc_ordinal, replace(text, '$', '\\$') AS text FROM case_docs"
+ORACLES["overlaid"] = f"{_FACTS} SELECT case_id, doc_ordinal, field, CASE WHEN field = 'patient' THEN 'Somebody New' ELSE value END AS value FROM facts UNION ALL SELECT case_id, doc_ordinal, 'note', 'added by hand' FROM case_docs"

@@ -275,6 +275,29 @@ def html_escape(spark, sf_dir):
     return docs.select("case_id", "doc_ordinal", odd("title"), odd("text"))
 
 
+@query
+def field_problems(spark, sf_dir):
+    """What a user would be told of each fact's value."""
+    _, facts = bundle(spark, sf_dir)
+    return facts.select("case_id", "doc_ordinal", "field", S.field_problem(F.col("field"), F.col("value")).alias("problem"))
+
+
+@query
+def dollar_escape(spark, sf_dir):
+    docs, _ = bundle(spark, sf_dir)
+    return docs.select("case_id", "doc_ordinal", S.dollar_escape(F.col("text")).alias("text"))
+
+
+@query
+def overlaid(spark, sf_dir):
+    """Each document's facts as a map, under a map of the user's own: another patient, and a note."""
+    docs, facts = bundle(spark, sf_dir)
+    base = facts.groupBy("case_id", "doc_ordinal").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("base"))
+    own = F.create_map(F.lit("note"), F.lit("added by hand"), F.when(F.array_contains(F.map_keys("base"), "patient"), "patient").otherwise("none"), F.lit("Somebody New"))
+    shown = S.overlay(F.col("base"), F.map_filter(own, lambda k, v: k != "none"))
+    return base.select("case_id", "doc_ordinal", F.explode(shown).alias("field", "value"))
+
+
 @query
 def included_docs(spark, sf_dir):
     docs, _ = bundle(spark, sf_dir)

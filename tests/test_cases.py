@@ -3,6 +3,7 @@
 import copy
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlight.operators import cases, packet, review
 from ledgerlight.plans.scenarios import SCENARIOS, frames, scenario
@@ -126,3 +127,22 @@ def test_only_touched_cases_are_reconciled_again(spark, results, tmp_path):
     got = []
     incremental.reconcile_stream(stream, lambda: docs, lambda: facts, lambda r, n: got.extend(r.collect()), str(tmp_path / "checkpoint")).awaitTermination(300)
     assert sorted((r["case_id"], r["supported_balance_cents"]) for r in got) == [(i, rows[n]["supported_balance_cents"]) for i, n in enumerate(list(CASES)[:2])]
+
+
+def test_fingerprints(spark, results):
+    docs, facts, _, _ = results
+    of = lambda d, f: {r["case_id"]: r["token"] for r in review.fingerprint(d, f).where("case_id < 3").collect()}
+    base_tokens = of(docs, facts)
+    assert len(set(base_tokens.values())) == 3 and of(docs.repartition(5, "title"), facts.repartition(3, "value")) == base_tokens
+    one = (F.col("case_id") == 1) & (F.col("doc_ordinal") == 0)
+    for c in ("doc_id", "kind", "title", "text"):
+        assert of(docs.withColumn(c, F.when(one, F.lit(None)).otherwise(F.col(c))), facts)[1] != of(docs.withColumn(c, F.when(one, "").otherwise(F.col(c))), facts)[1] != base_tokens[1], c
+    charges = one & (F.col("field") == "charges")
+    for c, v in {"value": "1", "quote": "", "page": 2, "origin": "user", "confirmed": False, "field_ordinal": 99}.items():
+        changed_tokens = of(docs, facts.withColumn(c, F.when(charges, F.lit(v)).otherwise(F.col(c))))
+        assert changed_tokens[1] != base_tokens[1] and changed_tokens[0] == base_tokens[0], c
+    new = facts.where(charges).withColumn("value", F.lit("5.00"))
+    kept = review.updated(review.summed(review.row_marks(docs, facts)), review.row_marks(docs.limit(0), new), review.row_marks(docs.limit(0), facts.where(charges)))
+    assert {r["case_id"]: r["token"] for r in review.tokens(kept).where("case_id < 3").collect()} == of(docs, facts.where(~charges).unionByName(new))
+    plan = review.fingerprint(docs, facts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(case_id") == 1
