@@ -475,3 +475,4 @@ _PROBLEM = f"""CASE WHEN field IN {_in(K.MONEY_FIELDS)} AND {cents('value')} IS
 ORACLES["field_problems"] = f"{_FACTS} SELECT case_id, doc_ordinal, field, {_PROBLEM} AS problem FROM facts"
 ORACLES["dollar_escape"] = f"WITH {bridge.CASE_DOCS} SELECT case_id, doc_ordinal, replace(text, '$', '\\$') AS text FROM case_docs"
 ORACLES["overlaid"] = f"{_FACTS} SELECT case_id, doc_ordinal, field, CASE WHEN field = 'patient' THEN 'Somebody New' ELSE value END AS value FROM facts UNION ALL SELECT case_id, doc_ordinal, 'note', 'added by hand' FROM case_docs"
+ORACLES["packet_files"] = f"SELECT case_id, sha256(html) AS sha256 FROM ({ORACLES['packet_html']}) AS packets"

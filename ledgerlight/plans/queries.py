@@ -627,3 +627,14 @@ def packet_findings(spark, sf_dir):
 def packet_html(spark, sf_dir):
     docs, facts = bundle(spark, sf_dir)
     return packet.packets(cases.settled(cases.reconcile(docs, facts), *packet.PACKET_COLUMNS), docs, facts, as_of="2026-01-01")
+
+
+@query
+def packet_files(spark, sf_dir):
+    """Digests of all packets, written through the committing data source and read back by its manifest."""
+    from ledgerlight.sources import outputs, packet_files
+
+    path = outputs.scratch(spark, "packets")
+    spark.dataSource.register(packet_files.PacketFiles)
+    packet_html(spark, sf_dir).write.format("packet_files").option("path", path).mode("append").save()
+    return packet_files.read_packets(spark, path).select("case_id", F.sha2("html", 256).alias("sha256"))

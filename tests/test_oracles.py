@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "archive_totals", "pattern_counts", "narrative_extract", "fact_grid", "case_outcomes", "doc_cards", "normalize_value", "money_cents", "line_split", "label_parse", "local_fields",
     "local_warnings", "validate_fields", "case_fingerprint", "evidence_refs", "evidence_resolve", "letter_text", "packet_findings", "packet_html", "packet_facts", "packet_attachments",
-    "html_escape", "dollars_fmt", "csv_scan", "field_problems", "dollar_escape", "overlaid", "sql_fields", "sql_validated", "api_pages", "research_refresh", "refresh_narratives", "payment_groups",
+    "html_escape", "dollars_fmt", "csv_scan", "packet_files", "field_problems", "dollar_escape", "overlaid", "sql_fields", "sql_validated", "api_pages", "research_refresh", "refresh_narratives", "payment_groups",
 ]
 
 
