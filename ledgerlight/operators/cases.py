@@ -11,7 +11,7 @@ supported balance.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,7 +136,7 @@ def entry(label: str, cents: Column, references: Column) -> Column:
 # ---------------------------------------------------------------- the rules
 
 
-def _selected(df: DataFrame, kind: str, name: str) -> DataFrame:
+def _selected(df: Rules, kind: str, name: str) -> Rules:
     """Adds the applicable statement of a kind (null if none or unclear), copies left out, and findings."""
     df = df.withColumn("_c", F.filter("docs", lambda d: d["kind"] == kind))
     first = F.get("_c", F.lit(0))
@@ -204,10 +204,40 @@ def _receipt_state(r: Column, bill: Column, notice: Column, ambiguous: Column) -
     return F.struct(r.alias("r"), state.alias("state"), why.alias("why"), money(r, "payment_amount").alias("cents"), refs(r, "payment_amount", "payment_date", "payment_status", "payment_reference").alias("refs"))
 
 
+class Rules:
+    """Steps that add columns, to be applied to any number of frames. Expressions are made once: each of some thousands is a
+    call of the JVM, which takes longer than Spark's planning."""
+
+    def __init__(self) -> None:
+        self.steps: list[tuple[str, tuple]] = []
+
+    def withColumns(self, columns: dict[str, Column]) -> Rules:
+        self.steps.append(("withColumns", (columns,)))
+        return self
+
+    def withColumn(self, name: str, column: Column) -> Rules:
+        return self.withColumns({name: column})
+
+    def drop(self, *names: str) -> Rules:
+        self.steps.append(("drop", names))
+        return self
+
+    def applied(self, df: DataFrame) -> DataFrame:
+        for name, given in self.steps:
+            df = getattr(df, name)(*given)
+        return df
+
+
 def reconcile(documents: DataFrame, facts: DataFrame) -> DataFrame:
     """One row for each case: findings, ledger, collection_cents, supported_balance_cents, applied_payments_cents,
     matched and excluded document ids, and the intermediate columns that the finer queries read."""
-    df = case_rows(documents, facts).withColumns({"docs": F.filter("all_docs", lambda d: d["included"]), "left_out": F.transform(F.filter("all_docs", lambda d: ~d["included"]), lambda d: d["id"])})
+    return _rules(documents.sparkSession.sparkContext._jvm).applied(case_rows(documents, facts))
+
+
+@lru_cache(maxsize=1)
+def _rules(jvm: object) -> Rules:
+    """The rules, as expressions of one JVM."""
+    df = Rules().withColumns({"docs": F.filter("all_docs", lambda d: d["included"]), "left_out": F.transform(F.filter("all_docs", lambda d: ~d["included"]), lambda d: d["id"])})
     ids = F.transform("docs", lambda d: d["id"])
     df = df.withColumn("duplicate_ids", F.size(F.array_distinct(ids)) != F.size(ids))
     df = df.withColumn("corrected", F.flatten(F.transform("docs", lambda d: d["corrected"])))
@@ -271,7 +301,7 @@ def reconcile(documents: DataFrame, facts: DataFrame) -> DataFrame:
     return _results(df, ok)
 
 
-def _results(df: DataFrame, ok) -> DataFrame:
+def _results(df: Rules, ok) -> Rules:
     b, n, reached, past = F.col("bill"), F.col("notice"), F.col("stop") == 99, lambda k: F.col("stop") > k
     ident = (*K.IDENTITY, "claim_id")
     early = joined(

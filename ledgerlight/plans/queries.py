@@ -189,7 +189,7 @@ def api_pages(spark, sf_dir):
     hits = F.transform("h", lambda h: F.struct(h["_source"].alias("_source")))
     body = F.to_json(F.struct(F.struct(F.struct(F.size("h").alias("value")).alias("total"), hits.alias("hits")).alias("hits")))
     pages.select("page", body.alias("value")).write.partitionBy("page").text(path)
-    spark.dataSource.register(complaints_api.ComplaintsApi)
+    complaints_api.register(spark)
     return spark.read.format("complaints_api").option("urls", json.dumps(sorted(spark.read.text(path).inputFiles()))).load().drop("row_idx")
 
 
@@ -635,6 +635,6 @@ def packet_files(spark, sf_dir):
     from ledgerlight.sources import outputs, packet_files
 
     path = outputs.scratch(spark, "packets")
-    spark.dataSource.register(packet_files.PacketFiles)
+    packet_files.register(spark)
     packet_html(spark, sf_dir).write.format("packet_files").option("path", path).mode("append").save()
     return packet_files.read_packets(spark, path).select("case_id", F.sha2("html", 256).alias("sha256"))

@@ -1,6 +1,6 @@
 """Pages of a complaint search API as a Spark data source.
 
-``spark.dataSource.register(ComplaintsApi)``, then ``spark.read.format("complaints_api")`` with one of
+``register(spark)``, then ``spark.read.format("complaints_api")`` with one of
 
 * ``url``: a template with ``{from}`` and ``{size}``. The planner asks for the first page, whose total tells how many there
   are; each page is then a partition, fetched by the task that reads it.
@@ -23,9 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ledgerlight.functions.constants import PRODUCT, SUB_PRODUCT
+from ledgerlight.shipping import ship
 
 #: Columns and where a hit has them.
 FIELDS = {"complaint_id": "complaint_id", "date_received": "date_received", "product": "product", "sub_product": "sub_product", "issue": "issue", "sub_issue": "sub_issue", "narrative": "complaint_what_happened"}
@@ -126,3 +128,8 @@ class ComplaintsApi(DataSource):
 
     def reader(self, schema) -> Pages:
         return Pages(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    ship(spark)
+    spark.dataSource.register(ComplaintsApi)

@@ -1,6 +1,6 @@
 """Packets as files, through a data source that commits: the files and their manifest appear together, or not at all.
 
-    spark.dataSource.register(PacketFiles)
+    register(spark)
     packets.select("case_id", "html").write.format("packet_files").option("path", folder).mode("append").save()
 
 Each task writes its packets as JSON lines into a staging folder beside the output and reports the file's name, cases, bytes
@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ledgerlight.shipping import ship
+
 MANIFEST = "manifest.json"
 SCHEMA = "case_id long, html string"
 
@@ -113,6 +115,11 @@ class PacketFiles(DataSource):
         return Writer(self.options, overwrite)
 
 
+def register(spark: SparkSession) -> None:
+    ship(spark)
+    spark.dataSource.register(PacketFiles)
+
+
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
     """(case_id, html) of the files that the manifest lists; a file that has other bytes than it did fails the read."""
     manifest = read_manifest(path)

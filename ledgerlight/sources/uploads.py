@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.constants import DOWNLOAD_BYTES, UPLOAD_BYTES, UPLOAD_CHARS, UPLOAD_PAGES
 from ledgerlight.functions.scalars import strip
 from ledgerlight.operators.research import API_SCHEMA, api_filter_verified
+from ledgerlight.shipping import ship
 from ledgerlight.sources.sinks import write_json
 
 PLAIN, PDF = r"\.(txt|md)$", r"\.pdf$"
@@ -50,6 +51,7 @@ def _judged(rows: DataFrame, problems: dict[str, F.Column]) -> DataFrame:
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, problem) of text PDFs, pages joined by form feeds. Tasks take the pages out of the files (with pypdf,
     which executors need); what is the matter with one is told from that, as for texts."""
+    ship(spark)
     files = _files(spark, path).where(F.col("name").rlike(PDF))
     read = files.where(F.col("length") <= UPLOAD_BYTES).select("path", "content").mapInArrow(_pdf_pages, "path string, locked boolean, n int, pages array<string>")
     rows = files.select("path", "length").join(read, "path", "left").withColumn("given", F.array_join("pages", "\f"))

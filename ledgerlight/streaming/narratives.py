@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ledgerlight.functions.scalars import narrative_hash
 from ledgerlight.operators import research
+from ledgerlight.shipping import ship
 from ledgerlight.streaming.state import ROCKSDB
 
 FIRST = "row_idx long, complaint_id string, received string, issue string, sub_issue string, narrative string"
@@ -56,6 +57,7 @@ class FirstRows(StatefulProcessor):
 def changed_narratives(stream: DataFrame) -> DataFrame:
     """(CHANGED) from a stream of complaint rows: each hash that a batch changes, with its first row so far. ``replaced``: the
     position that counted before, if another one does now."""
+    ship(stream.sparkSession)
     rows = research.prepared(stream).where("narrative is not null and row_idx is not null")
     rows = rows.select(narrative_hash(F.col("narrative")).alias("narrative_sha256"), "row_idx", "complaint_id", F.date_format("received", "yyyy-MM-dd").alias("received"), "issue", "sub_issue", "narrative")
     return rows.groupBy("narrative_sha256").transformWithStateInPandas(FirstRows(), CHANGED, "Update", "None")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ledgerlight.operators import cases
+from ledgerlight.shipping import ship
 
 #: ``field`` is null for a document; content is a JSON object of DOCUMENT or of FACT, or null to remove the entry.
 EVENTS = "case_id long, doc_ordinal int, field string, version long, content string"
@@ -85,6 +86,7 @@ class CaseState(StatefulProcessor):
 
 def changed_cases(stream: DataFrame) -> DataFrame:
     """(case_id, doc_ordinal, field, content): all entries of each case that the stream's events change."""
+    ship(stream.sparkSession)
     rows = usable(stream).where("field is null or field <> ''")
     return rows.groupBy("case_id").transformWithStateInPandas(CaseState(), "case_id long, doc_ordinal int, field string, content string", "Update", "None")
 

@@ -44,7 +44,7 @@ class Server:
 
 @pytest.fixture
 def server(spark):
-    spark.dataSource.register(complaints_api.ComplaintsApi)
+    complaints_api.register(spark)
     s = Server()
     yield s
     s.http.shutdown()

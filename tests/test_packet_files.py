@@ -11,7 +11,7 @@ from ledgerlight.sources import packet_files
 
 @pytest.fixture
 def packets(spark):
-    spark.dataSource.register(packet_files.PacketFiles)
+    packet_files.register(spark)
     return spark.range(200).select(F.col("id").alias("case_id"), F.concat(F.lit("<p>é "), F.col("id").cast("string"), F.lit("\n</p>")).alias("html")).repartition(6)
 
 
