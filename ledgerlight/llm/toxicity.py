@@ -39,6 +39,7 @@ PER_CLASS = 1000
 LANDMARKS, CONTRASTS = 64, 16
 FLOOR = 0.45  # similarities below it count as none
 ALTERED = 40
+SURE = (0.4, 0.8)  # scores from which a single word's own weighs more and more, without others beside it
 MEMO = 150_000  # words whose scores a task keeps
 _PUNCTUATION = bytes(c for c in string.punctuation.encode() if c not in b"/|")
 _BLANKS = bytes(32 if c in b"/|" else c for c in range(256))
@@ -196,13 +197,15 @@ class ToxicityModel:
 def bag_features(scores: list[float], offset: float) -> np.ndarray:
     top = sorted(scores, reverse=True)[:3] if len(scores) < 64 else np.sort(np.partition(scores, -3)[-3:])[::-1].tolist()
     top = [min(2.0, max(-2.0, s)) for s in [*top, offset, offset, offset][:3]]
-    return np.array([*top, min(top[0], 0.0), np.log1p(len(scores)) / 5 * (top[0] > 0), 1.0])
+    return np.array([*top, min(top[0], 0.0), *[max(top[0] - at, 0.0) for at in SURE], np.log1p(len(scores)) / 5 * (top[0] > 0), 1.0])
 
 
 def _inserted(window: str) -> list[str]:
-    """The window of a word with a letter put in at each inner place; too short a word has no such forms."""
+    """The window of a word with a letter put in at each inner place; too short a word has no such forms. What is then
+    longer than a window is taken as two, its first and its last ``WIDTH`` characters."""
     first, last = int(window.startswith("^")), len(window) - int(window.endswith("$"))
-    return [(window[:k] + "xqzk"[(k - first) % 4] + window[k:])[:WIDTH] for k in range(first + 1, last)] if last - first > 3 else []
+    forms = [window[:k] + "xqzk"[(k - first) % 4] + window[k:] for k in range(first + 1, last)] if last - first > 3 else []
+    return [part for form in forms for part in dict.fromkeys((form[:WIDTH], form[-WIDTH:]))]
 
 
 def _newton(rows: np.ndarray, labels: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
@@ -245,7 +248,8 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
         (t if label else c).update(b)
     nt, nc = int(y.sum()), int((1 - y).sum())
     odds = {w: np.log((n + 0.3) / (nt + 1)) - np.log((c[w] + 0.3) / (nc + 1)) for w, n in t.items()}
-    ranked = sorted((w for w in odds if odds[w] > 1.0 and (t[w] >= 2 or nt < 20)), key=lambda w: (-odds[w] * np.sqrt(t[w]), w))
+    weight_of = {w: odds[w] * np.sqrt(t[w]) for w in odds if odds[w] > 1.0}  # a word of one text comes after those of several
+    ranked = sorted(weight_of, key=lambda w: (-weight_of[w], w))
     found = ranked[:LANDMARKS]
     if not found:
         return nothing
@@ -269,7 +273,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
     hard = [clean[i] for i in at]
     hard_rows = rows_of(hard) @ root
     hard_count = np.array([c[w] for w in hard], float)
-    score = {w: odds[w] if w in set(ranked[: 4 * LANDMARKS]) else -9.0 for w in t}
+    score = {**dict.fromkeys(t, -9.0), **{w: weight_of[w] for w in ranked[: 4 * LANDMARKS]}}
     model = nothing
     for _ in range(3):
         picked = Counter()

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 import os
 import random
 import time
@@ -573,6 +574,55 @@ def test_no_match_is_pruned():
         assert np.allclose(full[k : k + 500], marks._values(codes, weights), atol=1e-5)
 
 
+def test_kernel_against_brute_force():
+    """Every subsequence of three characters within the span, one by one."""
+    from collections import Counter
+
+    def features(word):
+        out = Counter()
+        for i, j, k in itertools.combinations(range(len(word)), 3):
+            if k - i < toxicity.SPAN:
+                out[word[i], word[j], word[k]] += toxicity.DECAY ** (k - i - 2)
+        return out
+
+    def kernel(a, b):
+        x, y = features(a), features(b)
+        size = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+        k = sum(v * y[s] for s, v in x.items()) / size
+        return k**toxicity.POWER if k >= toxicity.FLOOR else 0.0
+
+    r = random.Random(11)
+    words = ["idiot", "idxiot", "i1diot", "iidiott", "idot", "tiodi", "moron", "banana", "mo", "nana", "a" * 20]
+    words += ["".join(r.choice("abdimnort") for _ in range(r.randrange(1, 21))) for _ in range(300)]
+    for base in ("idiot", "moron", "banana", "ab" * 10):  # and words with some letters put in or left out
+        words += ["".join(r.choice(("", c, c, c, c + r.choice("xyz1"))) for c in base)[:22] for _ in range(60)]
+    windows, marks = sorted({f"^{w}$" for w in words}), ["^idiot$", "^moron$", "^banana$", "^aaaaaa$", f"^{'ab' * 10}$"]
+    at, values = toxicity.Landmarks(marks).similarities(windows)
+    got = np.zeros((len(windows), len(marks)))
+    got[at] = values
+    want = np.array([[kernel(w, m) for m in marks] for w in windows])
+    sure = np.abs(want ** (1 / toxicity.POWER) - toxicity.FLOOR) > 1e-4
+    assert (want > 0).sum() > 20 and np.allclose(got[sure], want[sure], atol=1e-4)
+    assert want[windows.index("^idxiot$"), 0] > 0 and want[windows.index("^i1diot$"), 0] > 0  # inserted characters
+
+
+def test_words_of_one_toxic_text_are_learnt_however_many_there_are():
+    """An insult that one labelled text alone holds is known, with few toxic texts and with many, and tells by itself."""
+    for n in (6, 12, 30):
+        toxic = [f"{CLEAN[x % len(CLEAN)]} moron" for x in range(n)] + ["such a blockhead"]
+        clean = CLEAN * 3 + ["you are such a total star"] * 5
+        model = toxicity.fit(toxic + clean, [1] * len(toxic) + [0] * len(clean))
+        assert (model.score(["the blockhead", "the star", "a moron"], {}) >= 0.5).tolist() == [True, False, True], n
+
+
+def test_altered_words_are_not_cut():
+    window = f"^{'abcdefghij' * 2}kl$"  # a full window
+    assert len(window) == toxicity.WIDTH
+    forms = toxicity._inserted(window)
+    assert all(len(f) <= toxicity.WIDTH for f in forms) and any(f.startswith("^") for f in forms) and sum(f.endswith("kl$") for f in forms) >= 19
+    assert all(f.startswith("^") and f.endswith("$") for f in toxicity._inserted("^idiot$"))
+
+
 def test_samples_are_the_lowest_hashes(spark):
     rows = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("kind"))
     got = common.lowest_hash(rows, "kind", "id", 60)
