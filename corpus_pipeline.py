@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import decontaminate, line_dedup, minhash, packing, toxicity
-from ledgerlight.llm.common import crc_mod5_is_0, fresh, table, written
+from ledgerlight.llm.common import crc_mod5_is_0, forget, fresh, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +76,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name.replace(" ", "-"))
+            forget(before)  # the next stage reads what this one wrote
     return docs
