@@ -20,6 +20,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,6 +32,7 @@ from ledgerlight.shipping import ship
 
 MANIFEST = "manifest.json"
 SCHEMA = "case_id long, html string"
+CHUNK = 4 << 20  # bytes of a file that a reader holds at once
 
 
 @dataclass
@@ -69,8 +71,8 @@ class Writer(DataSourceArrowWriter):
         name, digest, cases, size = f"packets-{uuid.uuid4().hex}.jsonl", hashlib.sha256(), 0, 0
         with system.open_output_stream(f"{folder}/{name}") as out:
             for batch in iterator:
-                for case, html in zip(batch.column("case_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                    line = (json.dumps({"case_id": case, "html": html}, ensure_ascii=False) + "\n").encode()
+                for case, html in zip(batch.column("case_id"), batch.column("html"), strict=True):  # one packet at a time
+                    line = (json.dumps({"case_id": case.as_py(), "html": html.as_py()}, ensure_ascii=False) + "\n").encode()
                     out.write(line)
                     digest.update(line)
                     cases, size = cases + 1, size + len(line)
@@ -120,15 +122,36 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PacketFiles)
 
 
+def _chunks(path: str) -> Iterator[bytes]:
+    system, file = _at(path)
+    with system.open_input_stream(file) as f:
+        while chunk := f.read(CHUNK):
+            yield chunk
+
+
+def _lines(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of files (file, sha256) in a folder, chunk by chunk, after a first pass over each file for its digest."""
+    for file, sha256 in ((r["file"], r["sha256"]) for b in batches for r in b.to_pylist()):
+        digest = hashlib.sha256()
+        try:
+            for chunk in _chunks(f"{path}/{file}"):
+                digest.update(chunk)
+        except FileNotFoundError:
+            digest = None
+        if digest is None or digest.hexdigest() != sha256:
+            raise ValueError(f"{file} isn't the file that was published.")
+        begun = b""
+        for chunk in _chunks(f"{path}/{file}"):
+            *whole, begun = (begun + chunk).split(b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([x for x in whole if x], pa.string())], ["line"])
+
+
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
     """(case_id, html) of the files that the manifest lists; a file that has other bytes than it did fails the read."""
     manifest = read_manifest(path)
     if manifest is None:
         raise ValueError(f"{path} has no manifest: nothing was published there.")
+    ship(spark)
     listed = spark.createDataFrame([(m["file"], m["sha256"]) for m in manifest["files"]], "file string, sha256 string")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(path).select(F.col("path"), "content", F.element_at(F.split("path", "/"), -1).alias("file"))
-    rows = listed.join(found, "file", "left")  # a missing file has no digest
-    same = F.coalesce(F.sha2("content", 256) == F.col("sha256"), F.lit(False))
-    text = F.when(same, F.col("content").cast("string")).otherwise(F.raise_error(F.concat("file", F.lit(" isn't the file that was published."))))
-    lines = rows.select(F.explode(F.split(text, "\n")).alias("line")).where("line <> ''")
+    lines = listed.repartition(max(1, len(manifest["files"]))).mapInArrow(partial(_lines, path), "line string")  # a file a task
     return lines.select(F.from_json("line", SCHEMA, {"mode": "FAILFAST"}).alias("x")).select("x.*")
