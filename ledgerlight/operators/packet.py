@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions import constants as K
 from ledgerlight.functions import wording as W
 from ledgerlight.functions.scalars import dollars, html_escape
+from ledgerlight.operators import cases
 
 LETTER_CODES = ("possible_uncredited_payment", "amount_mismatch", "insufficient_itemization", "ambiguous_document_match", "missing_payment_evidence", "user_corrected_facts")
 RECIPIENTS = ("provider", "collector")
@@ -27,6 +28,7 @@ def single_confirmed(documents: DataFrame, facts: DataFrame, kind: str, key: str
 
 
 LETTER_COLUMNS = ("all_docs", "findings", "collection_cents")
+LETTER_PARTS = (*cases.TOLD, "addressed")
 
 
 def letter_text(result: DataFrame, *, as_of: str, recipient: str = "provider") -> DataFrame:

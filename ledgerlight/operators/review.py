@@ -90,6 +90,9 @@ def evidence(result: DataFrame, facts: DataFrame) -> DataFrame:
     return barrier(rows.select("case_id", refs.alias("refs")), "case_id").select("case_id", F.explode("refs").alias("x")).select("case_id", "x.*")
 
 
+OVERVIEW_PARTS = ("included", "pending", "n_facts")
+
+
 def overview(result: DataFrame) -> DataFrame:
     """(case_id, documents, active, pending, exportable)."""
     active = F.filter("all_docs", lambda d: d["included"])
