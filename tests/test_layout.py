@@ -64,3 +64,10 @@ def test_parts_give_the_same_results(spark):
     assert len(whole) == 1500 and rows(*columns) == whole
     for c in ("duplicate_ids", "corrected", "stop"):
         assert {k: x[c] for k, x in rows(c).items()} == {k: x[c] for k, x in whole.items()}
+
+
+def test_payments_and_letters_are_dealt_once(spark):
+    known = __spark_entry__.queries()
+    for name in ("earlier_payments", "payment_conflicts", "payment_groups", "bill_arithmetic", "letter_points", "headline_finding"):
+        df = known[name](spark, BASE)
+        assert "Generate stack" not in df._jdf.queryExecution().executedPlan().toString() and len(exchanges(df)) == 1, name
