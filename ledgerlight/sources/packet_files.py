@@ -4,7 +4,7 @@
     packets.select("case_id", "html").write.format("packet_files").option("path", folder).mode("append").save()
 
 Each task writes its packets as JSON lines into a staging folder beside the output and reports the file's name, cases, bytes
-and SHA-256. When all tasks are done, the reported files are moved into the folder and their reports become its
+and SHA-256 (of the file as it lies there). A file of more than PLAIN bytes is compressed (``.zst``): packets repeat much. When all tasks are done, the reported files are moved into the folder and their reports become its
 ``manifest.json``, which goes last; what a failed or doubled task left stays behind in the staging folder, which is deleted,
 as it is when the write fails. The manifest counts: a reader takes the files that it lists, and holds them to their
 digests (``read_packets``). A later write adds a manifest's worth of files to the one before. ``generated_at`` and
@@ -15,7 +15,9 @@ Paths are those of pyarrow's file systems: plain ones, file://, hdfs:// or s3://
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import io
 import json
 import uuid
 from collections.abc import Iterator
@@ -33,6 +35,7 @@ from ledgerlight.shipping import ship
 MANIFEST = "manifest.json"
 SCHEMA = "case_id long, html string"
 CHUNK = 4 << 20  # bytes of a file that a reader holds at once
+PLAIN = 1 << 20  # bytes of lines up to which a file isn't compressed
 
 
 @dataclass
@@ -55,6 +58,29 @@ def read_manifest(path: str) -> dict | None:
         return json.loads(f.read())
 
 
+class Counted:
+    """A stream to a file, with the number and the digest of the bytes that went there."""
+
+    def __init__(self, out: pa.NativeFile):
+        self.out, self.size, self.digest = out, 0, hashlib.sha256()
+
+    @property
+    def closed(self) -> bool:
+        return self.out.closed
+
+    def write(self, data: bytes) -> int:
+        self.out.write(data)
+        self.digest.update(data)
+        self.size += len(data)
+        return len(data)
+
+    def flush(self) -> None:
+        self.out.flush()
+
+    def close(self) -> None:
+        self.out.close()
+
+
 class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         if "path" not in options:
@@ -68,15 +94,29 @@ class Writer(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, folder = _at(self.staging)
-        name, digest, cases, size = f"packets-{uuid.uuid4().hex}.jsonl", hashlib.sha256(), 0, 0
-        with system.open_output_stream(f"{folder}/{name}") as out:
-            for batch in iterator:
-                for case, html in zip(batch.column("case_id"), batch.column("html"), strict=True):  # one packet at a time
-                    line = (json.dumps({"case_id": case.as_py(), "html": html.as_py()}, ensure_ascii=False) + "\n").encode()
-                    out.write(line)
-                    digest.update(line)
-                    cases, size = cases + 1, size + len(line)
-        return Written(name, cases, size, digest.hexdigest())
+        name, cases, held = f"packets-{uuid.uuid4().hex}.jsonl", 0, io.BytesIO()
+        lines = self._lines(iterator)
+        for line in lines:
+            cases += 1
+            held.write(line)
+            if held.tell() > PLAIN:
+                name += ".zst"
+                break
+        file = Counted(system.open_output_stream(f"{folder}/{name}", compression=None))
+        with pa.CompressedOutputStream(pa.PythonFile(file, "w"), "zstd") if name.endswith(".zst") else contextlib.closing(file) as out:
+            out.write(held.getvalue())
+            held.close()
+            for line in lines:  # of a file that is compressed, the rest
+                out.write(line)
+                cases += 1
+        file.close()
+        return Written(name, cases, file.size, file.digest.hexdigest())
+
+    @staticmethod
+    def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for batch in batches:
+            for case, html in zip(batch.column("case_id"), batch.column("html"), strict=True):  # one packet at a time
+                yield (json.dumps({"case_id": case.as_py(), "html": html.as_py()}, ensure_ascii=False) + "\n").encode()
 
     def commit(self, messages: list[Written | None]) -> None:
         system, staged = _at(self.staging)
@@ -122,9 +162,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PacketFiles)
 
 
-def _chunks(path: str) -> Iterator[bytes]:
+def _chunks(path: str, stored: bool = False) -> Iterator[bytes]:
+    """A file's lines, or its bytes as ``stored``."""
     system, file = _at(path)
-    with system.open_input_stream(file) as f:
+    with system.open_input_stream(file, compression=None if stored else "detect") as f:
         while chunk := f.read(CHUNK):
             yield chunk
 
@@ -134,7 +175,7 @@ def _lines(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for file, sha256 in ((r["file"], r["sha256"]) for b in batches for r in b.to_pylist()):
         digest = hashlib.sha256()
         try:
-            for chunk in _chunks(f"{path}/{file}"):
+            for chunk in _chunks(f"{path}/{file}", stored=True):
                 digest.update(chunk)
         except FileNotFoundError:
             digest = None
