@@ -29,3 +29,12 @@ def test_held_facts_give_the_same_fact_rows(spark):
         held = held.withColumn("facts", F.col("facts").withField(f"{k}.confirmed", F.col(f"facts.{k}.confirmed") & (F.col("case_id") % 11 != 0)))
     flat, rows = ({r["case_id"]: r["fact_rows"] for r in df.collect()} for df in (packet.fact_rows(nameless(docs), facts), packet.fact_rows(nameless(held))))
     assert 1300 < len(flat) < 1500 and rows == flat and "&lt;&quot;&#x27;&amp;Clinic" in rows[1]
+
+
+def test_packets_are_written_in_the_row_of_their_case(spark, monkeypatch):
+    monkeypatch.setattr(queries, "PACKETS_A_TASK", 100)
+    df = __spark_entry__.queries()["packet_html"](spark, BASE)
+    assert plan(df).count("Exchange hashpartitioning") == 1 and not any(x in plan(df) for x in ("SortMergeJoin", "ShuffledHashJoin")) and df.rdd.getNumPartitions() == 15
+    frames = packet.packets(queries.reconciled(spark, BASE, *packet.PACKET_COLUMNS, parts=packet.LETTER_PARTS), *queries.bundle(spark, BASE), as_of="2026-01-01")
+    once, apart = ({r["case_id"]: r["html"] for r in x.collect()} for x in (df, frames))
+    assert len(once) == 1500 and once == apart
