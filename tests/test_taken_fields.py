@@ -29,6 +29,26 @@ def test_local_fields_are_the_same_by_rules_alone(spark, monkeypatch):
     assert taken == ruled and sum("Row(field" in r for r in taken) > 500 and sum("could not be" in r for r in taken) > 100
 
 
+def test_validated_fields_are_the_same_by_rules_alone(spark, monkeypatch):
+    pick, rows_ = random.Random(4), []
+    for i, t in enumerate(texts()):
+        lines = t.splitlines() or [""]
+        given = [(pick.choice([*K.FIELD_LABELS, "nonsense", None]), *pick.choice([(v, x), (v, x), (v.upper(), x), (v, " " + x + " "), (v, x + "z"), (None, x), (v, v)]), pick.choice([1, 1, 1, 2, 0, None])) for x in lines for v in [x.replace("=", ":").partition(":")[2].strip()]]
+        named = [(k, x.replace("=", ":").partition(":")[2].strip(), x.strip(), 1) for x in lines for k, a in K.ALIASES.items() if x.strip().lower().startswith(tuple(a))]
+        rows_.append((i, t, pick.choice([given, named, named, named + given, named + [("collector", "Nobody", "no such line", 1)], None])))
+    rows_ += [(1000 + i, t, p) for i, (t, p) in enumerate(zip(TEXTS, PROPOSALS, strict=True))] + [(2000, None, named)]
+    docs = spark.createDataFrame(rows_, "id int, text string, proposals array<struct<key:string,value:string,quote:string,page:int>>").repartition(4)
+    rows = lambda: sorted(map(repr, extract.validated_fields(docs).collect()))
+    taken = rows()
+    monkeypatch.setattr(extract, "PLAIN", r"^(?!)")
+    assert taken == rows() and sum("fields=[Row(" in r for r in taken) > 150
+
+
+def test_proposals_are_made_where_documents_lie(spark):
+    plan = __spark_entry__.queries()["validate_fields"](spark, BASE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate stack" not in plan and "SortMergeJoin" not in plan
+
+
 def test_rules_see_few_lines(spark):
     known = __spark_entry__.queries()
     assert "array_position" in known["local_fields"](spark, BASE)._jdf.queryExecution().executedPlan().toString()
