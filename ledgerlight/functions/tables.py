@@ -67,29 +67,32 @@ def day(x: str) -> str:
 
 
 def normalised(key: str, value: str) -> str:
-    shown = lambda v: f"cast(cast(cast({cents(v)} AS decimal(30,0)) / 100 AS decimal(32,2)) AS string)"
-    return let(strip(value), lambda v: f"CASE WHEN {key} IN ({_list(K.MONEY_FIELDS)}) THEN {shown(v)} WHEN {key} IN ({_list(K.DATE_FIELDS)}) THEN {day(v)} WHEN length({v}) <= {K.FIELD_CHARS} THEN {v} END")
+    shown = lambda v: f"if(rlike({v}, {_text(K.CANONICAL_MONEY)}), replace({v}, '$', ''), cast(cast(cast({cents(v)} AS decimal(30,0)) / 100 AS decimal(32,2)) AS string))"
+    dated = lambda v: f"if(rlike({v}, {_text(K.CANONICAL_DATE)}), {v}, {day(v)})"
+    return let(value, lambda v: f"CASE WHEN {key} IN ({_list(K.MONEY_FIELDS)}) THEN {shown(v)} WHEN {key} IN ({_list(K.DATE_FIELDS)}) THEN {dated(v)} WHEN length({v}) <= {K.FIELD_CHARS} THEN {v} END")
 
 
 def labelled(text: str, kind: str) -> str:
-    """Array of (pos, page, quote, field, value): lines that name a field and have text behind it; null values can't be one."""
+    """Array of (pos, page, quote, field, value): lines that name a field and have text behind it; null values can't be one.
+    Plain text is cut at line feeds and stripped of spaces, all that it has of either."""
     names = {a: k for k, labels in K.ALIASES.items() for a in labels} | {k.replace("_", " "): k for k in K.FIELD_LABELS}
-    known = f"map({', '.join(f'{_text(a)}, {_text(k)}' for a, k in names.items())})"
-    lines = f"flatten({numbered(f'split({text}, {_text(chr(12))})', lambda p, i: each(f'split({p}, {_text(K.LINE_END)})', lambda x: struct(page=f'{i} + 1', quote=x)))})"
+    # by the length of names: a map is searched from end to end
+    some = lambda n: f"map({', '.join(f'{_text(a)}, {_text(k)}' for a, k in ({'': ''} | {a: k for a, k in names.items() if len(a) == n}).items())})"
+    known = f"array({', '.join(map(some, range(max(map(len, names)) + 1)))})"
 
-    def cut(x: str, i: str) -> str:
-        ends = lambda e: f"if({e}.c > 0 AND {e}.q > 0, least({e}.c, {e}.q), greatest({e}.c, {e}.q))"
-        at = let(struct(c=f"locate(':', {x}.quote)", q=f"locate('=', {x}.quote)"), ends)
-        return struct(pos=i, page=f"{x}.page", quote=f"{x}.quote", at=at)
+    def found(lines: str, bare: Callable[[str], str]) -> str:
+        def parse(x: str) -> str:
+            head = let(f"substring_index(substring_index({x}.quote, ':', 1), '=', 1)", lambda h: struct(label=f"lower({bare(h)})", given=f"if(length({h}) < length({x}.quote), {bare(f'substring({x}.quote, length({h}) + 2)')}, '')"))
+            field = lambda h: f"if({h}.given = '', NULL, if({kind} = 'eob' AND {h}.label = 'amount due', 'patient_responsibility', nullif(try_element_at(get({known}, length({h}.label)), {h}.label), '')))"
+            return let(head, lambda h: struct(pos=f"{x}.pos", page=f"{x}.page", quote=f"{x}.quote", field=field(h), given=f"{h}.given"))
 
-    def parse(x: str) -> str:
-        label = f"lower({strip(f'substring({x}.quote, 1, {x}.at - 1)')})"
-        field = let(label, lambda n: f"if({kind} = 'eob' AND {n} = 'amount due', 'patient_responsibility', try_element_at({known}, {n}))")
-        return struct(pos=f"{x}.pos", page=f"{x}.page", quote=f"{x}.quote", field=field, given=strip(f"substring({x}.quote, {x}.at + 1)"))
+        return each(each(lines, parse), lambda x: f"{x}.field IS NOT NULL", "filter")
 
-    found = each(each(numbered(lines, cut), lambda x: f"{x}.at > 0", "filter"), parse)
-    found = each(found, lambda x: f"{x}.field IS NOT NULL AND {x}.given <> ''", "filter")
-    return each(found, lambda x: struct(pos=f"{x}.pos", page=f"{x}.page", quote=f"{x}.quote", field=f"{x}.field", value=normalised(f"{x}.field", f"{x}.given")))
+    plain = found(numbered(f"split({text}, '\\n')", lambda x, i: struct(pos=i, page="1", quote=x)), lambda x: f"trim({x})")
+    pages = numbered(f"split({text}, {_text(chr(12))})", lambda p, i: each(f"split({p}, {_text(K.LINE_END)})", lambda x: struct(page=f"{i} + 1", quote=x)))
+    paged = found(numbered(f"flatten({pages})", lambda x, i: struct(pos=i, page=f"{x}.page", quote=f"{x}.quote")), strip)
+    rows = f"if(rlike({text}, {_text(K.PLAIN)}), {plain}, {paged})"
+    return each(rows, lambda x: struct(pos=f"{x}.pos", page=f"{x}.page", quote=f"{x}.quote", field=f"{x}.field", value=normalised(f"{x}.field", f"{x}.given")))
 
 
 def proposed(text: str, proposals: str) -> str:
@@ -103,12 +106,17 @@ def proposed(text: str, proposals: str) -> str:
         dates = each(f"regexp_extract_all({quote}, {_text(K.QUOTED_DATE)}, 0)", lambda d: f"coalesce({day(d)} = {value}, false)", "exists")
         return f"CASE WHEN {key} IN ({_list(K.MONEY_FIELDS)}) THEN {money} WHEN {key} IN ({_list(K.DATE_FIELDS)}) THEN {dates} ELSE contains(lower({quote}), lower({value})) END"
 
+    def sure(key: str, value: str, quote: str) -> str:
+        """A quote that ends with its value, in canonical form, and has no digit before: for amounts and dates."""
+        before = f"substring({quote}, 1, length({quote}) - length({value}))"
+        return f"coalesce({key} IN ({_list((*K.MONEY_FIELDS, *K.DATE_FIELDS))}) AND (rlike({value}, {_text(K.CANONICAL_MONEY)}) OR rlike({value}, {_text(K.CANONICAL_DATE)})) AND endswith({quote}, concat(' ', {value})) AND NOT rlike({before}, '[0-9$]') AND NOT rlike({before}, {_text(K.NOT_PLAIN)}), false)"
+
     def judge(x: str) -> str:
         found = f"{x}.quote <> '' AND {x}.page >= 1 AND contains(get(split({text}, {_text(chr(12))}), {x}.page - 1), {x}.quote)"
-        return f"if(coalesce({found}, false) AND coalesce({x}.value IS NOT NULL AND {held(f'{x}.field', f'{x}.value', f'{x}.quote')}, false), {x}.value, NULL)"
+        return f"if(coalesce({found}, false) AND coalesce({x}.value IS NOT NULL AND ({sure(f'{x}.field', f'{x}.value', f'{x}.quote')} OR {held(f'{x}.field', f'{x}.value', f'{x}.quote')}), false), {x}.value, NULL)"
 
     known = each(proposals, lambda x: f"{x}.key IN ({_list(K.FIELD_LABELS)})", "filter")
-    read = numbered(known, lambda x, i: struct(pos=i, page=f"{x}.page", quote=strip(f"{x}.quote"), field=f"{x}.key", value=normalised(f"{x}.key", f"{x}.value")))
+    read = numbered(known, lambda x, i: struct(pos=i, page=f"{x}.page", quote=strip(f"{x}.quote"), field=f"{x}.key", value=normalised(f"{x}.key", strip(f"{x}.value"))))
     return each(read, lambda x: struct(pos=f"{x}.pos", page=f"{x}.page", quote=f"{x}.quote", field=f"{x}.field", value=judge(x)))
 
 
@@ -116,7 +124,8 @@ def settled(entries: str) -> str:
     """The fact of each field: its value, and its last quote; none for a field that is given two values."""
 
     def facts(rows: str) -> str:
-        own = each(f"array({_list(K.FIELD_LABELS)})", lambda k: struct(field=k, own=each(rows, lambda x: f"{x}.field = {k} AND {x}.value IS NOT NULL", "filter")))
+        named = f"array_intersect(array({_list(K.FIELD_LABELS)}), {each(rows, lambda x: f'{x}.field')})"
+        own = each(f"coalesce({named}, cast(array() AS array<string>))", lambda k: struct(field=k, own=each(rows, lambda x: f"{x}.field = {k} AND {x}.value IS NOT NULL", "filter")))
         one = each(own, lambda h: f"size({h}.own) > 0 AND {each(f'{h}.own', lambda x: f'{x}.value = {h}.own[0].value', 'forall')}", "filter")
         return each(one, lambda h: struct(field=f"{h}.field", value=f"{h}.own[0].value", quote=f"element_at({h}.own, -1).quote", page=f"element_at({h}.own, -1).page"))
 

@@ -6,6 +6,7 @@ from test_sql_tables import PROPOSALS, TEXTS
 
 import __spark_entry__
 from ledgerlight.functions import constants as K
+from ledgerlight.functions import tables
 from ledgerlight.operators import extract
 
 BASE = "/root/testdata/sf0.001"
@@ -44,6 +45,23 @@ def test_validated_fields_are_the_same_by_rules_alone(spark, monkeypatch):
     assert taken == rows() and sum("fields=[Row(" in r for r in taken) > 150
 
 
+def test_sql_functions_are_the_same_by_the_longer_way(spark, monkeypatch):
+    rows_ = [(i, kind, t, [(k, x.replace("=", ":").partition(":")[2], x, 1) for x in (t or "").splitlines() for k in ("balance", "patient", "service_date")]) for i, t in enumerate([None, *texts()]) for kind in ("bill", "eob")]
+    spark.createDataFrame(rows_, "id int, kind string, text string, proposals array<struct<key:string,value:string,quote:string,page:int>>").repartition(4).createOrReplaceTempView("taken_docs")
+
+    def rows() -> list[str]:
+        tables.register(spark)
+        return sorted(map(repr, spark.sql("SELECT id, kind, ll_field_array(text, kind) AS a, ll_validated_array(text, proposals) AS b FROM taken_docs").collect()))
+
+    short = rows()
+    for name in ("PLAIN", "CANONICAL_MONEY", "CANONICAL_DATE"):
+        monkeypatch.setattr(K, name, r"^(?!)")
+    long = rows()
+    monkeypatch.undo()
+    tables.register(spark)
+    assert short == long and sum("a=[Row(" in r for r in short) > 200 and sum("b=[Row(" in r for r in short) > 100
+
+
 def test_proposals_are_made_where_documents_lie(spark):
     plan = __spark_entry__.queries()["validate_fields"](spark, BASE)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Generate stack" not in plan and "SortMergeJoin" not in plan
